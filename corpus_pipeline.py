@@ -1,21 +1,60 @@
-"""Corpus pipeline: quality rules, near-dedup, personal data, source mixing, BPE."""
+"""Corpus pipeline: quality rules, near-dedup, personal data, source mixing, BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and is written as Parquet before the next reads
+it. All but the last return the columns of documents; the last returns doc_id and the ids of each text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagloom.llm import quality
+from tagloom.llm import bpe, mixing, pii, quality, simhash
+from tagloom.llm.common import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the base rule or the learned cutoffs reject."""
+    return quality.keep_good(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest doc_id of each group of near copies."""
+    return simhash.drop_near(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Generalises personal data to its kind and removes the terms that reveal it; n_chars follows the text."""
+    from pyspark.sql import functions as F
+
+    return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents to the target weights of their sources, in a global order by hash."""
+    return mixing.mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every row."""
+    return bpe.encode(docs)
+
 
 STAGES = [
-    ("quality rules", lambda spark, docs, sf_dir: quality.keep_good(docs)),
+    ("quality rules", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("PII", pii_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
-#: Stages of Python code and iteration can't be written as SQL; tests compare them with brute force.
+#: Components and merges of byte pairs can't be written as one SQL query; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage-{i}")
     return docs
