@@ -26,10 +26,10 @@ PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 METRICS = (
     ("symbol_rate", "n_symbols / greatest(word_chars, 1)", 0.05),
     ("punct_rate", "n_punct / greatest(word_chars, 1)", 0.08),
-    ("digit_rate", "n_digits / greatest(word_chars, 1)", 0.15),
+    ("digit_rate", "n_digits / greatest(word_chars, 1)", 0.25),
     ("upper_rate", "n_upper / greatest(word_chars, 1)", 0.30),
-    ("dup_line_rate", "n_dup_lines / greatest(n_lines, 1)", 0.25),
-    ("repeat_rate", "n_repeat_words / greatest(n_words, 1)", 0.15),
+    ("dup_line_rate", "n_dup_lines / greatest(n_lines, 1)", 0.40),
+    ("repeat_rate", "n_repeat_words / greatest(n_words, 1)", 0.30),
     ("word_length", "word_chars / greatest(n_words, 1)", 4.0),
 )
 #: A sketch bin holds values within this share of each other; so is the relative error of its quantiles.
