@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from .plans.catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
