@@ -41,12 +41,11 @@ def title_number(title: Column) -> Column:
 
 
 def base_title(title: Column) -> Column:
-    """The title without its numbering; the title itself if nothing else is in it."""
+    """The title without its numbering, with single spaces; empty if nothing else is in it."""
     out = F.trim(title)
     for p in STRIP:
         out = F.regexp_replace(out, p, "")
-    out = F.trim(out)
-    return F.when(out == "", F.trim(title)).otherwise(out)
+    return F.regexp_replace(F.trim(out), r"\s+", " ")
 
 
 def title_key(base: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,23 +52,25 @@ def url_groups(meta: DataFrame) -> DataFrame:
 
 
 def title_groups(meta: DataFrame) -> DataFrame:
-    """(file_id, source_type, source_id, title, position) of title tags; a page tag's number wins over the title's own."""
+    """(file_id, source_type, source_id, title, position) of title tags; a page tag's number wins over the
+    title's own, and titles that are empty or a number without it group nothing."""
     raw = current_tags(meta)
     low = F.lower("raw")
     titles = raw.where(low.startswith("title:")).select("file_id", F.trim(F.substring("raw", 7, 1 << 30)).alias("t")).where("t <> ''")
     pages = raw.where(low.startswith("page:")).select("file_id", F.regexp_extract(F.trim(F.substring("raw", 6, 1 << 30)), r"^(\d+)", 1).try_cast("long").alias("page")).where("page > 0").groupBy("file_id").agg(F.min("page").alias("page"))
     rows = titles.join(pages, "file_id", "left").withColumn("title", base_title(F.col("t"))).withColumn("position", F.coalesce("page", title_number(F.col("t"))))
-    rows = rows.withColumn("source_id", title_key(F.col("title")))
+    rows = rows.where("title <> '' AND NOT rlike(title, '^[0-9]+$')").withColumn("source_id", title_key(F.col("title")))
     return rows.groupBy("file_id", F.lit("TITLE").alias("source_type"), "source_id").agg(F.min("title").alias("title"), F.min("position").alias("position"))
 
 
 def diff(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """The keys whose row was added, removed or changed, with the change; nulls are values like others."""
-    a = old.select(*keys, F.struct(*values).alias("was")) if values else old.select(*keys, F.lit(1).alias("was"))
-    b = new.select(*keys, F.struct(*values).alias("is")) if values else new.select(*keys, F.lit(1).alias("is"))
-    joined = a.join(b, keys, "full_outer")
-    change = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
-    return joined.select(*keys, change.alias("change")).where("change IS NOT NULL")
+    has = lambda df, n: df.select(*[F.col(k).alias(f"{n}_{k}") for k in keys], F.lit(True).alias(f"{n}_has"), *[F.col(v).alias(f"{n}_{v}") for v in values])
+    cond = reduce(Column.__and__, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys])
+    joined = has(old, "a").join(has(new, "b"), cond, "full_outer")
+    same = reduce(Column.__and__, [F.col(f"a_{v}").eqNullSafe(F.col(f"b_{v}")) for v in values], F.lit(True))
+    change = F.when(F.col("a_has").isNull(), "added").when(F.col("b_has").isNull(), "removed").when(~same, "changed")
+    return joined.select(*[F.when(F.col("a_has").isNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys], change.alias("change")).where("change IS NOT NULL")
 
 
 def changed_owners(old: DataFrame, new: DataFrame, owner: str, values: list[str]) -> DataFrame:

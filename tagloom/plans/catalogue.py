@@ -638,13 +638,13 @@ def _stripped() -> str:
     out = "trim(title)"
     for p in titles.STRIP:
         out = f"regexp_replace({out}, '{p}', '')"
-    return f"trim({out})"
+    return f"regexp_replace(trim({out}), '\\s+', ' ', 'g')"
 
 
 _NUMBER = "coalesce(" + ", ".join(f"nullif(regexp_extract(trim(title), '{p}', 1), '')" for p in titles.NUMBER) + ", '0')"
 
 
-@query(f"{_TITLES} SELECT id, CASE WHEN {_stripped()} = '' THEN trim(title) ELSE {_stripped()} END AS base, CAST({_NUMBER} AS BIGINT) AS number, lower(CASE WHEN {_stripped()} = '' THEN trim(title) ELSE {_stripped()} END) AS key FROM t")
+@query(f"{_TITLES} SELECT id, {_stripped()} AS base, CAST({_NUMBER} AS BIGINT) AS number, lower({_stripped()}) AS key FROM t")
 def title_normalise(g):
     base = titles.base_title(F.col("title"))
     return _titles(g).select("id", base.alias("base"), titles.title_number(F.col("title")).alias("number"), titles.title_key(base).alias("key"))
