@@ -54,3 +54,16 @@ def ship(module_name: str) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as the one column tl_row, so that no name of theirs clashes with what is put beside them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tl_row"))
+
+
+def row(name: str) -> Column:
+    return F.col(f"tl_row.`{name}`")
+
+
+def unpacked(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    return rows.select(*[replaced.get(c, row(c)).alias(c) for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table
+from .common import packed, row, small_side, table, unpacked
 
 #: Target weights by source; others weigh DEFAULT_WEIGHT.
 WEIGHTS = {"src0": 2.0, "src1": 1.5, "src2": 0.5}
@@ -36,8 +36,11 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
-    """A Poisson number of the mean rate, by inversion at uniform numbers seeded with doc_id."""
+def copies(doc_id: Column, rate: Column, seed: str = SEED) -> tuple[Column, Column]:
+    """The distribution function of a part of the mean rate, and, given that as tl_cdf, a Poisson number of that mean.
+
+    The number is found by inversion at uniform numbers seeded with doc_id.
+    """
     parts = F.greatest(F.ceil(rate / MOST_MEAN), F.lit(1)).cast("int")
     mean = rate / parts
     zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.array(F.exp(-mean)).alias("cdf"))
@@ -53,14 +56,14 @@ def copies(doc_id: Column, rate: Column, seed: str = SEED) -> Column:
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs with each row as often as drawn, and tl_rate, tl_copies, tl_replica and tl_order, in no particular order."""
-    cdf, drawn = copies(F.col("doc_id"), F.col("tl_rate"), seed)
+    """(tl_row, tl_rate, tl_copies, tl_replica, tl_order): each row of docs as often as drawn, in no particular order."""
+    cdf, drawn = copies(row("doc_id"), F.col("tl_rate"), seed)
     table_ = rates(docs, weights, epochs).select(F.col("source").alias("tl_source"), F.col("rate").alias("tl_rate"))
     table_ = small_side(table_.withColumn("tl_cdf", cdf), MOST_SOURCES)  # a distribution function a source, not a document
-    joined = docs.join(table_, docs["source"].eqNullSafe(F.col("tl_source"))).withColumn("tl_copies", drawn)
+    joined = packed(docs).join(table_, row("source").eqNullSafe(F.col("tl_source"))).withColumn("tl_copies", drawn)
     exploded = joined.where("tl_copies > 0").withColumn("tl_replica", F.explode(F.sequence(F.lit(0), F.col("tl_copies") - 1)))
-    order = F.md5(F.concat_ws("|", F.lit(seed + "/order"), F.col("doc_id").cast("string"), F.col("tl_replica").cast("string")))
-    return exploded.withColumn("tl_order", order).drop("tl_source", "tl_cdf")
+    order = F.md5(F.concat_ws("|", F.lit(seed + "/order"), row("doc_id").cast("string"), F.col("tl_replica").cast("string")))
+    return exploded.select("tl_row", "tl_rate", "tl_copies", "tl_replica", order.alias("tl_order"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
@@ -70,13 +73,13 @@ def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EP
     without a doc_id as one. A null source has the default weight. An empty table gives an empty one.
     """
     rows = replicate(docs, weights, epochs, seed)
-    return rows.repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(rows.repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order"), docs.columns)
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     rows = replicate(docs).repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order")
-    return rows.select("doc_id", "source", F.round("tl_rate", 9).alias("rate"), F.col("tl_copies").alias("n_copies"), F.col("tl_replica").alias("replica"), F.col("tl_order").alias("order_key"))
+    return rows.select(row("doc_id").alias("doc_id"), row("source").alias("source"), F.round("tl_rate", 9).alias("rate"), F.col("tl_copies").alias("n_copies"), F.col("tl_replica").alias("replica"), F.col("tl_order").alias("order_key"))
 
 
 def op4_sql() -> str:

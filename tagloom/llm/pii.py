@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table, text_or_empty, written
+from .common import packed, row, small_side, table, text_or_empty, unpacked, written
 from .spans import SPAN, digest, listed, matches, of_kind
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -160,11 +160,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     terms = revealing(docs, found)
     text = text_or_empty()
     has = reduce(Column.__or__, [text.rlike(p) for p in (EMAIL_PATTERN, IP_PATTERN, CARD_PATTERN, PHONE_PATTERN)])
-    marked = docs.where(has).withColumn("tl_spans", base_spans(text)).withColumn("tl_context", F.when(F.size("tl_spans") > 0, context(text, F.col("tl_spans"))))
+    marked = packed(docs.where(has)).select("tl_row", row("doc_id").alias("doc_id"), base_spans(row("text")).alias("tl_spans"))
+    marked = marked.withColumn("tl_context", F.when(F.size("tl_spans") > 0, context(row("text"), F.col("tl_spans"))))
     marked = marked.withColumn("tl_key", context_key()).join(terms.withColumnRenamed("tl_key", "tl_of"), F.col("tl_key") == F.col("tl_of"), "left")
     spans = F.concat("tl_spans", F.coalesce("tl_terms", F.array().cast(SPAN)))
-    clean = marked.withColumn("text", masked(F.col("text"), spans)).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return docs.where(~has).unionByName(clean)
+    return docs.where(~has).unionByName(unpacked(marked, docs.columns, text=masked(row("text"), spans)))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

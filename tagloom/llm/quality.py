@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small_side, table, written
+from .common import packed, row, ship, small_side, table, unpacked, written
 
 ship(__name__)
 
@@ -187,11 +187,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that quality_rules keeps, all columns as they were; texts are not shuffled."""
-    with_f = docs.withColumn("tl_f", features(F.col("text")))
-    rows = written(with_f.select(F.col("lang").cast("string"), F.col("source").cast("string"), "tl_f.*").withColumn("base_failed", base_failed()), "features")
+    with_f = packed(docs).select("tl_row", features(row("text")).alias("tl_f"), row("lang").cast("string").alias("lang"), row("source").cast("string").alias("source"))
+    rows = written(with_f.select("lang", "source", "tl_f.*").withColumn("base_failed", base_failed()), "features")
     cuts = small_side(thresholds(rows.where(~F.col("base_failed"))), MOST_GROUPS)
-    joined = with_f.where(~base_failed("tl_f.")).join(cuts, with_f["lang"].cast("string").eqNullSafe(F.col("q_lang")) & with_f["source"].cast("string").eqNullSafe(F.col("q_source")), "left")
-    return joined.where(within(f="tl_f.")).select(*[with_f[c] for c in docs.columns])
+    joined = with_f.where(~base_failed("tl_f.")).join(cuts, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
+    return unpacked(joined.where(within(f="tl_f.")), docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small_side, table, written
+from .common import packed, row, ship, small_side, table, unpacked, written
 from .components import components
 
 ship(__name__)
@@ -287,15 +287,15 @@ def drop_near(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     groups = written(near_groups(docs, most_bits), "near-groups")
     dropped = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("tl_drop"))
     twice = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("tl_twice")).agg(F.count("*").alias("n")).where("n > 1").select("tl_twice")
-    left = docs.join(small_side(written(dropped.distinct(), "dropped"), MOST_DROPPED), docs["doc_id"].eqNullSafe(F.col("tl_drop")), "left_anti")
+    left = packed(docs).join(small_side(written(dropped.distinct(), "dropped"), MOST_DROPPED), row("doc_id").eqNullSafe(F.col("tl_drop")), "left_anti")
     twice = written(twice, "repeated")
     if twice.isEmpty():
-        return left
+        return unpacked(left, docs.columns)
     again = small_side(twice, MOST_DROPPED)
-    once = left.join(again, left["doc_id"].eqNullSafe(F.col("tl_twice")), "left_anti")
-    first = ["text", *(c for c in docs.columns if c != "text")]
-    rows = left.join(again, left["doc_id"].eqNullSafe(F.col("tl_twice")), "left_semi").groupBy(F.col("doc_id").alias("tl_id")).agg(F.min(F.struct(*first)).alias("tl_first"))
-    return once.unionByName(rows.select(*[F.col(f"tl_first.`{c}`").alias(c) for c in docs.columns]))
+    repeated = row("doc_id").eqNullSafe(F.col("tl_twice"))
+    order = F.struct(row("text").alias("tl_text"), F.col("tl_row"))
+    first = left.join(again, repeated, "left_semi").groupBy(row("doc_id").alias("tl_id")).agg(F.min(order)["tl_row"].alias("tl_row"))
+    return unpacked(left.join(again, repeated, "left_anti").unionByName(first.select("tl_row")), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
