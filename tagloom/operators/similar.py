@@ -66,29 +66,3 @@ def near_hashes(hashes: DataFrame, query_hash: int, *, exclude: int | None = Non
     threshold, limit = min(max(threshold, 0), 64), min(max(limit, 1), 100)
     rows = hashes if exclude is None else hashes.where(F.col("item_id") != exclude)
     return rows.select("item_id", hamming(F.col("phash"), F.lit(query_hash).cast("long")).alias("distance")).where(F.col("distance") <= threshold).orderBy("distance", "item_id").limit(limit)
-
-
-def near_pairs(hashes: DataFrame, threshold: int = 10) -> DataFrame:
-    """(a, b, distance) of all pairs of different items within the threshold, each pair of distinct hashes found once.
-
-    Distinct hashes are joined on bands: with threshold + 1 bands, two within the threshold agree on one. Items of equal hash
-    are members of one class; pairs are given between the classes' smallest items, and class_of() has the members.
-    """
-    bands = threshold + 1
-    width = -(-64 // bands)
-    classes = hashes.groupBy("phash").agg(F.min("item_id").alias("id"))
-    keys = F.posexplode(F.array(*[F.col("phash").bitwiseAND(F.lit(_signed(((1 << max(0, min(width, 64 - i * width))) - 1) << (i * width))).cast("long")) for i in range(bands)]))
-    rows = classes.select("id", "phash", keys.alias("band", "key"))
-    other = rows.select(F.col("id").alias("b"), F.col("phash").alias("other"), "band", "key")
-    pairs = rows.withColumnRenamed("id", "a").join(other, ["band", "key"]).where("a < b")
-    distance = hamming(F.col("phash"), F.col("other"))
-    return pairs.select("a", "b", distance.alias("distance")).where(F.col("distance") <= threshold).distinct()
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >= 1 << 63 else mask
-
-
-def class_of(hashes: DataFrame) -> DataFrame:
-    """(item_id, class_id): the smallest item of equal hash."""
-    return hashes.join(hashes.groupBy("phash").agg(F.min("item_id").alias("class_id")), "phash").select("item_id", "class_id")

@@ -78,7 +78,7 @@ def terms(name: str, text: str, condition: str, *, page: int = 1, null_mode: str
 
     def run(g):
         fav = g.favourite if "favorite" in text else None
-        return search.newest(search.search(g.item, g.tag, g.item_tag, parse_terms(text), favourite=fav, null_mode=null_mode), page).select(*CARD)
+        return search.newest(search.search(g.item, g.tag, g.item_tag if "*" in text else g.edges, parse_terms(text), favourite=fav, null_mode=null_mode), page).select(*CARD)
 
     query(f"{ctes} {PAGE.format(condition, (page - 1) * 48)}", name)(run)
 
@@ -128,7 +128,7 @@ def _around(condition: str) -> str:
 
 @query(_around(f"i.id IN {TAGGED.format('red plate')}"))
 def neighbors_search(g):
-    return search.neighbours(search.search(g.item, g.tag, g.item_tag, parse_terms("red plate")), g.item.where("id = 77"))
+    return search.neighbours(search.search(g.item, g.tag, g.edges, parse_terms("red plate")), g.item.where("id = 77"))
 
 
 @query(_around("true"))
@@ -400,11 +400,6 @@ def phash_hamming(g):
     return similar.near_hashes(g.phash, at, exclude=5, threshold=24, limit=100)
 
 
-@query("c AS (SELECT phash, min(item_id) AS id FROM phash GROUP BY phash) SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.phash, b.phash)) AS INTEGER) AS distance FROM c a JOIN c b ON a.id < b.id WHERE bit_count(xor(a.phash, b.phash)) <= 12")
-def phash_pairs(g):
-    return similar.near_pairs(g.phash, 12)
-
-
 # --- feed
 
 _AGE = "greatest(epoch_us(TIMESTAMP '{}') - epoch_us({}), 0) / 86400000000.0"
@@ -475,13 +470,19 @@ def feed_dedupe_visual(g):
 @query(None)
 def feed_full(g):
     """Seeds, neighbourhoods of both channels, merge, exclusions, boosts and dedupe, to a feed of at most FEED_SIZE items."""
-    newest = feed.recency_weights(g.favourite, AS_OF).orderBy(F.desc("at"), "item_id").select("item_id", "weight").limit(2_000).collect()  # one person's favourites
+    claimed: set[int] = set()
+    favourites = feed.collapsed(g.favourite, g.grp_item, claimed)
+    newest = feed.recency_weights(favourites, AS_OF).orderBy(F.desc("at"), "item_id").select("item_id", "weight").collect()  # at most MOST_SIGNALS rows
     picked = feed.select_seeds([(r["item_id"], r["weight"]) for r in newest], 5688000)
     if not picked:
         return g.item.limit(0).select(F.col("id").alias("item_id"), F.lit(0.0).alias("score"))
     plus = g.spark.createDataFrame(picked, "seed long, weight double").withColumn("positive", F.lit(True))
-    views = feed.view_seeds(g.view, g.favourite.unionByName(g.dismissal), AS_OF).withColumn("positive", F.lit(True))
-    seeds = plus.unionByName(views).unionByName(feed.negative_seeds(g.dismissal, AS_OF).withColumn("positive", F.lit(False)))
+    explicit = g.favourite.unionByName(g.dismissal)
+    unmarked = g.view.join(explicit.select("item_id").distinct(), "item_id", "left_anti")
+    viewed = feed.collapsed(unmarked, g.grp_item, claimed, feed.VIEWS * feed.OVERFETCH)
+    views = feed.view_seeds(viewed, explicit, AS_OF).withColumn("positive", F.lit(True))
+    dismissed = feed.collapsed(g.dismissal, g.grp_item, set(), feed.NEGATIVES * feed.OVERFETCH)
+    seeds = plus.unionByName(views).unionByName(feed.negative_seeds(dismissed, AS_OF).withColumn("positive", F.lit(False)))
     near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED)
     by_tag = near.select(F.col("item_id").alias("seed"), F.col("recommended_id").alias("item_id"), F.col("score").alias("similarity"), F.lit("tag").alias("channel"))
     own = seeds.join(g.embedding, F.col("seed") == F.col("item_id")).select("seed", F.col("v").alias("q"))

@@ -40,9 +40,14 @@ class Gallery:
         category = F.create_map(*[F.lit(x) for kv in CATEGORIES.items() for x in kv])
         return self.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), category[F.col("p_type")].alias("category"))
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """item_tag with repeated rows: semi and anti joins need no distinct, which would be a shuffle."""
+        return self.table("lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("tag_id"))
+
     @cached_property
     def item_tag(self) -> DataFrame:
-        return self.table("lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("tag_id")).distinct()
+        return self.edges.distinct()
 
     @cached_property
     def grp_item(self) -> DataFrame:

@@ -8,11 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.functions import titles, urls
+from tagloom.functions import listing, titles, urls
 from tagloom.functions.tags import META_TAGS, min_score, parse_terms, positive_int, refine, search_meta, tag_category, tag_name, valid_creator, wildcard_error, wildcard_like
 from tagloom.functions.vectors import dct_hash, format_vector, hamming, image_hashes, parse_vector, valid_vector
-from tagloom.operators import facets, feed, fulltext, groups, ingest, recommend, search, similar, stats
-from tagloom.sources import metadata, upsert
+from tagloom.operators import facets, feed, fulltext, groups, ingest, recommend, search, similar, stats, vector_cache
+from tagloom.sources import metadata, retry, upsert
 from tagloom.streaming import counters
 
 
@@ -143,13 +143,12 @@ def test_recommendations(spark):
 
 def test_similar(spark):
     rng = np.random.default_rng(3)
-    hashes = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 40)]
-    hashes += [h ^ (1 << 63 if i % 2 else 5) for i, h in enumerate(hashes[:20])]
-    hashes = [h - (1 << 64) if h >= 1 << 63 else h + (1 << 64) if h < -(1 << 63) else h for h in hashes]
+    hashes = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 60)]
+    hashes[7] = hashes[3] ^ 5
     df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "item_id long, phash long")
-    got = {(r["a"], r["b"]): r["distance"] for r in similar.near_pairs(df, 10).collect()}
-    exp = {(i, j): bin((hashes[i] ^ hashes[j]) & (1 << 64) - 1).count("1") for i in range(60) for j in range(i + 1, 60)}
-    assert got == {k: d for k, d in exp.items() if d <= 10} and len(got) >= 20
+    distance = lambda h: bin((h ^ hashes[3]) & (1 << 64) - 1).count("1")
+    got = [(r["item_id"], r["distance"]) for r in similar.near_hashes(df, hashes[3], exclude=3, threshold=28, limit=100).collect()]
+    assert got == sorted(((i, distance(h)) for i, h in enumerate(hashes) if i != 3 and distance(h) <= 28), key=lambda x: (x[1], x[0])) and got[0] == (7, 2)
     vec = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(20)] + [(99, [0.0] * 4)], "item_id long, v array<double>")
     base = similar.baseline(vec.where("item_id < 10")).first()
     assert (base["baseline"], base["sample"]) == (0.0, 10)
@@ -174,6 +173,56 @@ def test_feed(spark):
     assert sorted(r["item_id"] for r in feed.one_of_each_group(ranked, pairs).collect()) == [1, 3]
 
 
+def test_collapsed_signals(spark):
+    signals = spark.createDataFrame([(1, 30), (2, 20), (3, 10), (9, 5)], "item_id long, at int")
+    pairs = spark.createDataFrame([(7, 1), (7, 2), (8, 2), (8, 3)], "group_id long, item_id long")
+    claimed: set = set()
+    assert sorted(r["item_id"] for r in feed.collapsed(signals, pairs, claimed).collect()) == [1, 3, 9] and claimed == {7, 8}
+    assert sorted(r["item_id"] for r in feed.collapsed(signals, pairs, {8}, most=3).collect()) == [1]
+
+
+def test_vector_cache(spark):
+    key = vector_cache.text_key("  red   ring ")
+    assert key == vector_cache.text_key("red ring") != vector_cache.image_key("a" * 64, 1024) != vector_cache.image_key("a" * 64, 512)
+    for bad in (("A" * 64, 5), ("a" * 64, 0)):
+        with pytest.raises((TypeError, ValueError)):
+            vector_cache.image_key(*bad)
+    kind = "query_hash string, base_url string, model string, dimensions int, query string, embedding array<double>, last_used_at timestamp"
+    time = __import__("datetime").datetime(2024, 1, 1)
+    cache = spark.createDataFrame([(key, "u", "m", 2, "red ring", [1.0, 2.0], time), (key, "u", "other", 2, "red ring", [5.0, 2.0], time), ("k2", "u", "m", 2, None, [1.0], time)], kind)
+    row = vector_cache.lookup(cache, key, "u", "m", 2)
+    assert [r["embedding"] for r in row.collect()] == [[1.0, 2.0]] and vector_cache.lookup(cache, "k2", "u", "m", 2).count() == 0
+    used = vector_cache.touched(cache, row, "2024-02-01 00:00:00")
+    assert used.where("last_used_at > timestamp '2024-01-15 00:00:00'").count() == 1 and used.count() == 3
+    new = spark.createDataFrame([(key, "u", "m", 2, "red ring", [7.0, 7.0], time), ("k3", "u", "m", 2, "x", [1.0], time)], kind)
+    assert [r["embedding"] for r in vector_cache.lookup(vector_cache.remember(cache, new), key, "u", "m", 2).collect()] == [[7.0, 7.0]]
+    assert vector_cache.remember(cache, new).count() == 3
+
+
+def test_listing_context():
+    found = listing.parse({"ctx": "search", "tags": " Red , ,blue", "page": "3"})
+    assert (found.tags, found.page) == (("red", "blue"), 3) and found.query() == "ctx=search&tags=red%2Cblue&page=3"
+    assert listing.parse({"ctx": "search", "tags": " ,"}) is None and listing.parse({"ctx": "gallery", "sort": "random", "seed": "UPPER"}) is None
+    assert listing.parse({"ctx": "gallery", "sort": "random", "seed": "abcd1234", "page": "1"}).seed == "abcd1234"
+    assert listing.parse({"ctx": "gallery", "sort": "odd", "page": "x"}).sort == "newest" and listing.parse({}) is None
+
+
+def test_retry():
+    calls, slept = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 4:
+            raise retry.UpstreamError(503)
+        return "ok"
+
+    assert retry.call(flaky, sleep=slept.append) == "ok" and slept == [0.1, 0.2, 0.4]
+    assert max(retry.waits()) == 5.0 and len(retry.waits()) == 10
+    with pytest.raises(retry.UpstreamError):
+        retry.call(lambda: (_ for _ in ()).throw(retry.UpstreamError(404)), sleep=slept.append)
+    assert not retry.worth_retrying(KeyError()) and retry.worth_retrying(retry.UpstreamError(429))
+
+
 def test_fulltext(spark):
     hit = lambda text, q, **k: one(spark, lambda c: fulltext.matches(fulltext.words(c), q, **k), text)[0]
     assert hit("The background noise", "back") and not hit("The background", "back", prefix=False)
