@@ -1,17 +1,18 @@
 """BPE encoding and decoding through a table of distinct words (operator 1).
 
-Texts are split into words in Spark; each distinct word is encoded once; ids are joined back by position. Words among the
-HOT_WORDS most frequent are joined from a broadcast of that bounded size; all others travel as (document, word, positions)
-rows and are joined with the whole word table by shuffle. Decoding looks ids up in the table of pieces, which has as many rows
-as the vocabulary.
+Words are what white space parts: no token of the vocabulary and no special string spans it. Each task splits its documents in
+chunks and notes every text as codes of its chunk's distinct words. The words go to the part of the word table that a hash
+assigns them to, where each distinct word is encoded once; ids come back to the chunks and are joined to the codes by
+position. A chunk sends a word once however often it holds it, so frequent words don't skew the exchange. Decoding looks ids
+up in the table of pieces, which has as many rows as the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
-from collections import Counter
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import lean, modest_batches, ship, table, written
 
 ship(__name__)
 
-#: Most frequent words that are broadcast: a bound on rows, as MOST_WORD_CHARS is one on their length.
-HOT_WORDS = 200_000
-MOST_WORD_CHARS = 40
-#: Marks a word that is not among the hot ones.
-HOLE = 0xFFFFFF
+#: A chunk ends after this many distinct words or characters.
+CHUNK_WORDS, CHUNK_CHARS = 150_000, 32_000_000
+#: Parts of the word table for each shuffle partition.
+PARTS = 1
+#: Unicode's white space; Python's own split() takes four separators more.
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+MORE = re.compile("[\x1c-\x1f]")
 
 
 def default_tokenizer() -> str:
@@ -36,196 +39,213 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: What a worker has built from a tokenizer file's JSON.
-_built: dict[tuple[str, str], object] = {}
-
-
-def _splitter(config: str):
-    """(special strings -> ids, pattern of special strings, pattern of words) of a tokenizer file's JSON."""
-    import regex
-
-    if ("split", config) in _built:
-        return _built["split", config]
-    spec = json.loads(config)
-    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    # Fixed values of the word pattern; white space is Unicode's own, without U+001C to U+001F.
-    words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-    marks = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-    _built["split", config] = special, marks, words
-    return special, marks, words
-
-
-def split_words(config: str, text: str | None) -> list[str]:
-    """Normalised words of the whole text, in order; special strings are words of their own."""
-    special, marks, words = _splitter(config)
+def split_words(text: str | None) -> list[str]:
+    """The words of the whole text, in order, as they stand."""
     if not text:
         return []
-    if marks is not None and any(s in text for s in special):
-        out: list[str] = []
-        for part in marks.split(text):
-            out += [part] if part in special else words.findall(_normal(part))
-        return out
-    return words.findall(_normal(text))
-
+    if MORE.search(text):
+        return [w for w in WHITE.split(text) if w]
+    return text.split()
 
-def _normal(text: str) -> str:
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # no final sigma: letters are lowered one by one
 
+#: What a worker has built from a tokenizer file's JSON.
+_built: dict[str, object] = {}
 
-def _count_rows(config: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for b in batches:
-            for x in b.column(0):
-                seen.update(split_words(config, x.as_py()))
-                if len(seen) > 400_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return rows
 
+def encode_words(config: str, words: list[str]) -> list[list[int]]:
+    import os
 
-def _word_encoder(config: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    if ("encode", config) in _built:
-        return _built["encode", config]
-    spec = json.loads(config)
-    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-    return _built.setdefault(("encode", config), Tokenizer.from_str(json.dumps(spec)))
-
+    if config not in _built:
+        tokenizer = Tokenizer.from_str(config)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _built[config] = tokenizer
+    return [e.ids for e in _built[config].encode_batch_fast(words, add_special_tokens=False)]
 
-def encode_words(config: str, words: list[str]) -> list[list[int]]:
-    special = _splitter(config)[0]
-    found = [e.ids for e in _word_encoder(config).encode_batch(words, add_special_tokens=False)]
-    return [[special[w]] if w in special else ids for w, ids in zip(words, found)]
-
-
-def _encode_rows(config: str):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 5000):
-                part = b.slice(lo, 5000)
-                ids = encode_words(config, part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
-    return rows
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**24, byte plane by byte plane, compressed."""
+    import zstandard
 
+    flat = [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(flat))
 
-def word_table(texts: DataFrame, config: str) -> DataFrame:
-    """(word, n, ids): every distinct word of the column text of texts, how often it occurs, and its ids, encoded once."""
-    counted = texts.select("text").mapInArrow(_count_rows(config), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(counted.mapInArrow(_encode_rows(config), "word string, n long, ids array<int>"), "words")
 
+def _unpacked(packed: bytes, n: int = 1) -> list[np.ndarray]:
+    import zstandard
 
-def piece_table(config: str) -> list[str]:
-    """The piece of each id."""
-    spec = json.loads(config)
-    pieces = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    out = [""] * (max(pieces.values()) + 1)
-    for piece, i in pieces.items():
-        out[i] = piece
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    out, at = [], 8 * n
+    for size in np.frombuffer(raw, "<i8", n).tolist():
+        planes = np.frombuffer(raw, np.uint8, 3 * size, at).reshape(3, size).astype(np.uint32)
+        out.append((planes[0] | planes[1] << 8 | planes[2] << 16).astype(np.int64))
+        at += 3 * size
     return out
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    import zstandard
+class _Chunk:
+    """Documents in a row, their distinct words, and a key that tells the same documents from others."""
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.docs: list[tuple] = []
+        self.digest, self.chars = hashlib.blake2b(digest_size=16), 0
 
+    def add(self, doc_id, text: str | None) -> None:
+        index = self.index
+        words = split_words(text)
+        self.docs.append((doc_id, np.fromiter((index.setdefault(w, len(index)) for w in words), np.int32, len(words))))
+        self.digest.update(f"{doc_id}\0{len(text or '')}\0".encode() + (text or "").encode("utf-8", "surrogatepass"))
+        self.chars += len(text or "")
 
-def _unpack(packed: bytes) -> np.ndarray:
-    import zstandard
+    def full(self) -> bool:
+        return len(self.index) >= CHUNK_WORDS or self.chars >= CHUNK_CHARS
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(3, -1).astype(np.uint32)
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    def ranks(self) -> np.ndarray:
+        """Of each word, its place by frequency in the chunk: frequent words get small codes."""
+        counts = np.bincount(np.concatenate([c for _, c in self.docs]), minlength=len(self.index))
+        out = np.empty(len(counts), np.int64)
+        out[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        return out
 
 
-def _text_key(doc_id, text: str | None) -> bytes:
-    """Rows of equal doc_id and text have one key: whatever is joined to it holds for each of them."""
-    return hashlib.blake2b(f"{doc_id}\0{text or ''}".encode("utf-8", "surrogatepass"), digest_size=12).digest()
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
+    chunk = _Chunk()
+    for b in batches:
+        for doc_id, text in zip(b.column(0), b.column(1)):
+            chunk.add(doc_id.as_py(), text.as_py())
+            if chunk.full():
+                yield chunk
+                chunk = _Chunk()
+    if chunk.docs:
+        yield chunk
 
 
-def _rare_rows(config: str, hot):
-    """(key, word, positions) of the words that aren't hot; positions as packed 32-bit numbers."""
+def _word_rows(parts: int):
+    """(part, chunk, ranks, words): the words of a chunk that belong to a part of the word table, by rank."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = hot.value
-        for b in batches:
-            keys, words, places = [], [], []
-            for doc_id, x in zip(b.column(0), b.column(1)):
-                text, own = x.as_py(), {}
-                for i, w in enumerate(split_words(config, text)):
-                    if w not in rank:
-                        own.setdefault(w, []).append(i)
-                keys += [_text_key(doc_id.as_py(), text)] * len(own)
-                words += own
-                places += [np.array(p, "<u4").tobytes() for p in own.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.string()), pa.array(places, pa.binary())], names=["key", "word", "places"])
+        import zstandard
+
+        for chunk in _chunks(batches):
+            ranks, words = chunk.ranks(), list(chunk.index)
+            raw = [w.encode("utf-8", "surrogatepass") for w in words]
+            part = np.fromiter((zlib.crc32(w) % parts for w in raw), np.int64, len(raw))
+            order = np.lexsort((ranks, part))
+            cuts = np.flatnonzero(np.diff(part[order])) + 1
+            own = [x for x in np.split(order, cuts) if len(x)]
+            pack = zstandard.ZstdCompressor(level=3).compress
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(part[x[0]]) for x in own], pa.int32()),
+                pa.array([chunk.digest.digest()] * len(own), pa.binary()),
+                pa.array([_packed(np.diff(ranks[x], prepend=0)) for x in own], pa.binary()),
+                pa.array([pack(b" ".join([raw[i] for i in x.tolist()])) for x in own], pa.binary()),
+            ], names=["part", "chunk", "ranks", "words"])
 
     return rows
 
 
-def _code_rows(config: str, hot):
-    """(doc_id, key, codes): the rank of each word by position, HOLE where it isn't hot."""
+def _id_rows(config: str):
+    """(chunk, doc, place, payload) with the ids of each row's words, from rows in order of part.
+
+    A part's table of distinct words lives while its rows pass, and each word in it is encoded once.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = hot.value
-        get = rank.get
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        part, known = None, {}
         for b in batches:
-            keys, codes = [], []
-            for doc_id, x in zip(b.column(0), b.column(1)):
-                words = split_words(config, x.as_py())
-                keys.append(_text_key(doc_id.as_py(), x.as_py()))
-                codes.append(_pack(np.fromiter((get(w, HOLE) for w in words), np.uint32, len(words))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(codes, pa.binary())], names=["doc_id", "key", "codes"])
+            for at, chunk, ranks, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if at != part:
+                    part, known = at, {}
+                words = unpack(packed.as_py()).decode("utf-8", "surrogatepass").split(" ")
+                new = [w for w in words if w not in known]
+                for lo in range(0, len(new), 10_000):
+                    known.update(zip(new[lo : lo + 10_000], encode_words(config, new[lo : lo + 10_000])))
+                found = [known[w] for w in words]
+                lens = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter((i for x in found for i in x), np.int64, int(lens.sum()))
+                payload = _packed(np.cumsum(_unpacked(ranks.as_py())[0]), lens, flat)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.binary()), pa.array([0], pa.int8()), pa.array([payload], pa.binary())], names=["chunk", "kind", "payload"])
 
     return rows
 
 
-def _fill(codes: bytes, rare, ids_of_rank: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The ids of a text: hot words by rank, rare ones from their rows."""
-    flat, start = ids_of_rank
-    code = _unpack(codes).astype(np.int64)
-    hole = code == HOLE
-    code[hole] = 0
-    lens = start[code + 1] - start[code] if len(start) > 1 else np.zeros(len(code), np.int64)
-    base = start[code] if len(start) > 1 else np.zeros(len(code), np.int64)
-    extra: list[np.ndarray] = []
-    if rare:
-        at = len(flat)
-        for r in rare:
-            place = np.frombuffer(r["places"], "<u4")
-            lens[place], base[place] = len(r["ids"]), at
-            extra.append(np.array(r["ids"], flat.dtype))
-            at += len(r["ids"])
-    every = np.concatenate([flat, *extra]) if extra else flat
-    ends = np.cumsum(lens)
-    if not len(ends) or not ends[-1]:
-        return np.zeros(0, np.int32)
-    index = np.repeat(base - (ends - lens), lens) + np.arange(ends[-1])
-    return every[index]
-
-
-def _id_rows(hot_ids):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, start = hot_ids.value
+def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, kind, doc_id, payload): the codes of each text by position."""
+    for chunk in _chunks(batches):
+        ranks, key = chunk.ranks(), chunk.digest.digest()
+        for lo in range(0, len(chunk.docs), 1000):
+            docs = chunk.docs[lo : lo + 1000]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(docs), pa.binary()), pa.array([1] * len(docs), pa.int8()), pa.array([_packed(ranks[c]) for _, c in docs], pa.binary()), pa.array([d for d, _ in docs])], names=["chunk", "kind", "payload", "doc_id"])
+
+
+def _joined_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) from rows in order of chunk, its ids before its codes."""
+    key, lens, base, flats, size = None, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    flat = None
+    for b in batches:
+        ids, out = [], []
+        for chunk, kind, packed, doc_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            if chunk != key:
+                key, lens, base, flats, size, flat = chunk, np.full(0, -1, np.int64), np.zeros(0, np.int64), [], 0, None
+            if kind == 0:
+                ranks, n, own = _unpacked(packed.as_py(), 3)
+                if len(ranks) and ranks[-1] >= len(lens):
+                    grown = max(int(ranks[-1]) + 1, 2 * len(lens))
+                    lens = np.concatenate([lens, np.full(grown - len(lens), -1, np.int64)])
+                    base = np.concatenate([base, np.zeros(grown - len(base), np.int64)])
+                lens[ranks], base[ranks] = n, size + np.cumsum(n) - n
+                flats.append(own.astype(np.int32))
+                size += len(own)
+                continue
+            if flat is None:
+                flat = np.concatenate(flats) if flats else np.zeros(0, np.int32)
+            code = _unpacked(packed.as_py())[0]
+            n = lens[code]
+            if len(n) and n.min() < 0:
+                raise RuntimeError("a chunk has words without ids: its documents came in another order the second time")
+            ends = np.cumsum(n)
+            ids.append(doc_id)
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(flat[np.repeat(base[code] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, np.int32))
+            if len(out) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(3).type), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                ids, out = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(3).type), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+
+def word_table(texts: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """(word, ids) of every distinct word of the column text."""
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
+        config = f.read()
+    own = texts.select(F.lit(0).cast("long").alias("doc_id"), "text")
+    rows = own.mapInArrow(lean(_word_rows(64)), "part int, chunk binary, ranks binary, words binary").repartition("part").sortWithinPartitions("part")
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        part, seen = None, set()
         for b in batches:
-            out = [_fill(c.as_py(), r.as_py(), (flat, start)) for c, r in zip(b.column(1), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for at, packed in zip(b.column(0).to_pylist(), b.column(3)):
+                if at != part:
+                    part, seen = at, set()
+                new = [w for w in zstandard.ZstdDecompressor().decompress(packed.as_py()).decode("utf-8", "surrogatepass").split(" ") if w not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array(encode_words(config, new), pa.list_(pa.int32()))], names=["word", "ids"])
 
-    return rows
+    return rows.mapInArrow(lean(words), "word string, ids array<int>")
 
 
-def _hot_words(words: DataFrame) -> tuple[list[str], tuple[np.ndarray, np.ndarray]]:
-    rows = words.where(F.length("word") <= MOST_WORD_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "ids").toArrow()
-    ids = rows.column("ids").combine_chunks()
-    flat = ids.flatten().to_numpy().astype(np.int32) if len(ids) else np.zeros(0, np.int32)
-    lens = np.array(rows.column("ids").combine_chunks().value_lengths(), np.int64) if len(ids) else np.zeros(0, np.int64)
-    return rows.column("word").to_pylist(), (flat, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
+def _repeatable(df: DataFrame) -> bool:
+    """Whether df is a plain scan, whose rows come in the same order each time that they are read."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.splitlines() if x.strip())
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -233,21 +253,30 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     Null and empty texts have no ids. Rows are never dropped or merged; repeated rows give repeated results; an empty table an
     empty one. Columns besides doc_id and text are not read. tokenizer: path of the file on the driver; workers get its text.
+    The documents are read twice and must come in the same order; what isn't a plain scan is written first.
     """
-    spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         config = f.read()
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    modest_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    words = word_table(own, config)
-    hot, ids = _hot_words(words)
-    rank = spark.sparkContext.broadcast({w: i for i, w in enumerate(hot)})
-    hot_ids = spark.sparkContext.broadcast(ids)
-    rare = own.mapInArrow(_rare_rows(config, rank), "key binary, word string, places binary").distinct()
-    # One document's rare words: as many as the document is long.
-    joined = rare.join(words.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("places", "ids")).alias("rare"))
-    codes = own.mapInArrow(_code_rows(config, rank), f"doc_id {kind}, key binary, codes binary")
-    return codes.join(joined, "key", "left").select("doc_id", "codes", "rare").mapInArrow(_id_rows(hot_ids), f"doc_id {kind}, ids array<int>")
+    own = own if _repeatable(own) else written(own, "texts")
+    kind = own.schema["doc_id"].dataType.simpleString()
+    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = own.mapInArrow(lean(_word_rows(parts)), "part int, chunk binary, ranks binary, words binary")
+    ids = words.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_id_rows(config)), "chunk binary, kind byte, payload binary")
+    codes = own.mapInArrow(lean(_code_rows), f"chunk binary, kind byte, payload binary, doc_id {kind}")
+    both = ids.withColumn("doc_id", F.lit(None).cast(kind)).unionByName(codes)
+    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(lean(_joined_rows), f"doc_id {kind}, ids array<int>")
+
+
+def piece_table(config: str) -> list[str]:
+    """The piece of each id."""
+    spec = json.loads(config)
+    pieces = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [""] * (max(pieces.values()) + 1)
+    for piece, i in pieces.items():
+        out[i] = piece
+    return out
 
 
 def _decode_rows(pieces):
@@ -267,7 +296,7 @@ def decode(ids: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         pieces = ids.sparkSession.sparkContext.broadcast(piece_table(f.read()))
-    return ids.select("doc_id", "ids").mapInArrow(_decode_rows(pieces), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(_decode_rows(pieces)), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def _digest_rows(pieces):
@@ -293,7 +322,7 @@ def digests(ids: DataFrame, tokenizer: str | None = None) -> DataFrame:
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         pieces = ids.sparkSession.sparkContext.broadcast(piece_table(f.read()))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("doc_id", "ids").mapInArrow(_digest_rows(pieces), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(_digest_rows(pieces)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

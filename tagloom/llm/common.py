@@ -67,3 +67,44 @@ def row(name: str) -> Column:
 
 def unpacked(rows: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
     return rows.select(*[replaced.get(c, row(c)).alias(c) for c in columns])
+
+
+#: Rows of an Arrow batch: texts may be long, and JVM and worker each hold a batch.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS rows where they are larger; a plan reads this when it runs."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def relieve() -> None:
+    """Gives a worker's free memory back to the system: workers live on idle after their task."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(rows):
+    """rows, a function from batches to batches, with relief at its end."""
+
+    def task(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            relieve()
+
+    return task
+
+
+ship(__name__)
