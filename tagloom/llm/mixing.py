@@ -51,8 +51,8 @@ def copies(doc_id: Column, rate: Column, seed: str = SEED) -> tuple[Column, Colu
 
     cdf = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), zero, term, lambda acc: acc["cdf"])
     draw = lambda i: uniform(F.concat_ws("|", F.lit(seed), doc_id.cast("string"), i.cast("string")))
-    below = lambda i: F.size(F.filter(F.col("tl_cdf"), lambda c: c <= draw(i)))
-    return cdf, F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + below(i))
+    below = lambda n, u: n + F.size(F.filter(F.col("tl_cdf"), lambda c: c <= u))
+    return cdf, F.aggregate(F.transform(F.sequence(F.lit(0), parts - 1), draw), F.lit(0), below)
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
