@@ -154,17 +154,25 @@ def masked(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """All documents and columns, with personal data generalised and disclosive terms removed from text; null texts stay null.
 
-    Only texts that hold personal data are joined with their terms, so only those are shuffled.
+    Terms are joined by broadcast while they are at most MOST_ROWS rows; beyond, only texts that hold personal data are
+    shuffled to theirs.
     """
     found = written(spotted(docs), "spotted")
-    terms = revealing(docs, found)
+    terms = written(revealing(docs, found), "revealing").withColumnRenamed("tl_key", "tl_of")
+
+    def cleaned(rows: DataFrame, terms: DataFrame) -> DataFrame:
+        marked = packed(rows).select("tl_row", row("doc_id").alias("doc_id"), base_spans(F.coalesce(row("text"), F.lit(""))).alias("tl_spans"))
+        marked = marked.withColumn("tl_context", F.when(F.size("tl_spans") > 0, context(row("text"), F.col("tl_spans"))))
+        marked = marked.withColumn("tl_key", context_key()).join(terms, F.col("tl_key") == F.col("tl_of"), "left")
+        spans = F.concat("tl_spans", F.coalesce("tl_terms", F.array().cast(SPAN)))
+        return unpacked(marked, docs.columns, text=masked(row("text"), spans))
+
+    if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        return cleaned(docs, F.broadcast(terms))
     text = text_or_empty()
-    has = reduce(Column.__or__, [text.rlike(p) for p in (EMAIL_PATTERN, IP_PATTERN, CARD_PATTERN, PHONE_PATTERN)])
-    marked = packed(docs.where(has)).select("tl_row", row("doc_id").alias("doc_id"), base_spans(row("text")).alias("tl_spans"))
-    marked = marked.withColumn("tl_context", F.when(F.size("tl_spans") > 0, context(row("text"), F.col("tl_spans"))))
-    marked = marked.withColumn("tl_key", context_key()).join(terms.withColumnRenamed("tl_key", "tl_of"), F.col("tl_key") == F.col("tl_of"), "left")
-    spans = F.concat("tl_spans", F.coalesce("tl_terms", F.array().cast(SPAN)))
-    return docs.where(~has).unionByName(unpacked(marked, docs.columns, text=masked(row("text"), spans)))
+    cheap = {EMAIL_PATTERN: text.contains("@"), PHONE_PATTERN: text.contains("+")}
+    has = reduce(Column.__or__, [cheap.get(p, F.lit(True)) & text.rlike(p) for p in (EMAIL_PATTERN, IP_PATTERN, CARD_PATTERN, PHONE_PATTERN)])
+    return docs.where(~has).unionByName(cleaned(docs.where(has), terms))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

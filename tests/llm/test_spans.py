@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagloom.llm import pii, secrets
@@ -53,13 +54,15 @@ def test_links_against_brute_force(spark):
     assert some > 20
 
 
-def test_disclosure(spark):
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_disclosure(spark, monkeypatch, most):
     """A rare word beside an address in several documents gives it away; a common word does not."""
     rows = [(i, f"common words here then zyxxy jane@example.com follows with common words {i}") for i in range(3)]
     rows += [(10 + i, f"common words here then follows with something {i}") for i in range(40)] + [(90, "nothing of note"), (91, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
     assert [s["value"] for s in found[0]["tl_terms"]] == ["zyxxy"] and found[10]["tl_terms"] == []
+    monkeypatch.setattr(pii, "MOST_ROWS", most)
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
     assert clean[1] == "common words here then [...] [email] follows with common words 1"
     assert clean[10] == rows[3][1] and clean[91] is None and len(clean) == len(rows)
