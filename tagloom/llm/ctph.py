@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, modest_batches, ship, table
 
 ship(__name__)
 
@@ -195,6 +195,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     empty table gives an empty one. Columns besides doc_id and text are not read.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
@@ -206,10 +207,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
         bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < place))
     most = [(r["bucket"], r["top"]) for r in own.groupBy(bucket.alias("bucket")).agg(F.max(place).alias("top")).orderBy("bucket").collect()]
     halo = {top: most[(i + 1) % len(most)][0] for i, (_, top) in enumerate(most)}
-    rows = own.mapInArrow(_deal_rows(bounds, halo), "bucket int, halo byte, doc_id long, place long, tie binary, packed binary")
+    rows = own.mapInArrow(lean(_deal_rows(bounds, halo)), "bucket int, halo byte, doc_id long, place long, tie binary, packed binary")
     placed = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("place"), "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return placed.select("bucket", "halo", "doc_id", "packed").mapInArrow(_fingerprint_rows, schema)
+    return placed.select("bucket", "halo", "doc_id", "packed").mapInArrow(lean(_fingerprint_rows), schema)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

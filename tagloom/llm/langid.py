@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, modest_batches, ship, table
 
 ship(__name__)
 
@@ -172,7 +172,8 @@ def fit(docs: DataFrame) -> Filters:
     """
     from pyspark.sql import Window
 
-    counts = training_docs(docs).mapInArrow(_gram_rows, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    modest_batches(docs.sparkSession)
+    counts = training_docs(docs).mapInArrow(lean(_gram_rows), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where("n >= 2")
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
@@ -202,9 +203,10 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     Null texts and texts without a letter are `und` with score 0, as is everything if nothing was learned. Repeated rows give
     repeated results, an empty table an empty one; columns besides doc_id and text are not read.
     """
+    modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters.state())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict_rows(sent), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(_predict_rows(sent)), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, row, ship, small_side, table, unpacked, written
+from .common import lean, modest_batches, packed, row, ship, small_side, table, unpacked, written
 
 ship(__name__)
 
@@ -89,14 +89,17 @@ def _feature_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def features(text: Column) -> Column:
-    """A struct of counts over the whole text, Arrow batch by Arrow batch; a null text counts as empty."""
+    """A struct of counts over the whole text, Arrow batch by Arrow batch; a null text counts as empty.
+
+    Called non-deterministic so that the planner computes it once, where it stands, and not again in each filter above.
+    """
     from pyspark.sql.functions import arrow_udf
 
-    return arrow_udf(f"struct<{FEATURES.replace(' ', ':').replace(',:', ',')}>")(_each)(text)
+    return arrow_udf(f"struct<{FEATURES.replace(' ', ':').replace(',:', ',')}>")(_each).asNondeterministic()(text)
 
 
 def _each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    yield from _feature_rows(batches)
+    yield from lean(_feature_rows)(batches)
 
 
 _each.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -178,6 +181,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     groups fall back to the language, then to all documents), and joins them back. Null and empty texts have no words and so
     fail the base rule. Repeated rows give repeated results, an empty table an empty one; further columns are not read.
     """
+    modest_batches(docs.sparkSession)
     own = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), features(F.col("text")).alias("f")).select("doc_id", "lang", "source", "f.*")
     rows = written(own.withColumn("base_failed", base_failed()), "features")
     cuts = small_side(thresholds(rows.where(~F.col("base_failed"))), MOST_GROUPS)
@@ -187,6 +191,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that quality_rules keeps, all columns as they were; texts are not shuffled."""
+    modest_batches(docs.sparkSession)
     with_f = packed(docs).select("tl_row", features(row("text")).alias("tl_f"), row("lang").cast("string").alias("lang"), row("source").cast("string").alias("source"))
     rows = written(with_f.select("lang", "source", "tl_f.*").withColumn("base_failed", base_failed()), "features")
     cuts = small_side(thresholds(rows.where(~F.col("base_failed"))), MOST_GROUPS)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, row, ship, small_side, table, unpacked, written
+from .common import lean, modest_batches, packed, row, ship, small_side, table, unpacked, written
 from .components import components
 
 ship(__name__)
@@ -61,8 +61,9 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. A null text counts as empty."""
+    modest_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprint_rows, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(lean(_fingerprint_rows), f"doc_id {kind}, fp long")
 
 
 def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def _bit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bit_correlation(classes: DataFrame, n: int) -> np.ndarray:
     """Absolute correlation of each two bits over all distinct fingerprints: 4096 sums, whatever the input."""
-    rows = classes.select("fp").mapInArrow(_bit_rows, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    rows = classes.select("fp").mapInArrow(lean(_bit_rows), "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     both = np.zeros(4096)
     for r in rows:
         both[r["i"]] = r["n"]
@@ -244,7 +245,7 @@ def _verified(most_bits: int):
 def fingerprint_edges(classes: DataFrame, n: int, most_bits: int = MOST_BITS) -> DataFrame:
     """Edges (u, v) of distinct fingerprints (column fp) whose components are those of all links at most_bits or fewer bits."""
     parts = plan(classes, n, most_bits)
-    rows = classes.select("fp").mapInArrow(_probe_rows(parts), "p int, key long, probe byte, fp long")
+    rows = classes.select("fp").mapInArrow(lean(_probe_rows(parts)), "p int, key long, probe byte, fp long")
     sizes = rows.groupBy("p", "key").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET)
     hot = small_side(written(sizes, "hot-buckets").select(F.col("p").alias("hp"), F.col("key").alias("hkey"), F.ceil(F.col("size") / BUCKET).cast("int").alias("blocks")), 100_000)
     # A hot bucket becomes all pairs (i, j), i <= j, of its blocks; a row goes to the pairs that its own block is part of.
@@ -252,7 +253,7 @@ def fingerprint_edges(classes: DataFrame, n: int, most_bits: int = MOST_BITS) ->
     to = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(block, j).cast("long") * F.col("blocks") + F.greatest(block, j)))
     dealt = rows.join(hot, (F.col("p") == F.col("hp")) & (F.col("key") == F.col("hkey")), "left").select("p", "key", F.explode(to).alias("part"), "probe", "fp")
     placed = dealt.repartition("p", "key", "part").sortWithinPartitions("p", "key", "part", "probe")
-    return placed.select(F.col("p").cast("long"), "key", "part", "probe", "fp").mapInArrow(_verified(most_bits), "u long, v long")
+    return placed.select(F.col("p").cast("long"), "key", "part", "probe", "fp").mapInArrow(lean(_verified(most_bits)), "u long, v long")
 
 
 def near_groups(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:

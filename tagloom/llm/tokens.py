@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table, written
+from .common import lean, modest_batches, ship, table, written
 
 ship(__name__)
 
@@ -79,10 +79,11 @@ def _file_rows(vocabulary, pattern: str):
 
 def write_token_files(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, manifest) of flat token files in the shared folder, one a task: (file, block, payload) and (file, ordinal, doc_id)."""
+    modest_batches(docs.sparkSession)
     path, pattern = default_ranks()
     with open(path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    files = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_file_rows(vocabulary, pattern), "file long, kind byte, at long, payload binary, docs array<long>"), "token-files")
+    files = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_file_rows(vocabulary, pattern)), "file long, kind byte, at long, payload binary, docs array<long>"), "token-files")
     blocks = files.where("kind = 0").select("file", F.col("at").alias("block"), "payload")
     manifest = files.where("kind = 1").select("file", "at", F.posexplode("docs").alias("i", "doc_id")).select("file", (F.col("at") + F.col("i")).alias("ordinal"), "doc_id")
     return blocks, manifest
@@ -122,7 +123,7 @@ def document_lengths(blocks: DataFrame, *, dtype: str = "<u2", end: int = END) -
     separator has none. Two separators in a row are an empty document. A document may span any number of blocks.
     """
     kind = blocks.schema["file"].dataType.simpleString()
-    scanned = blocks.select("file", "block", "payload").mapInArrow(_scan_rows(dtype, end), f"file {kind}, block long, n long, at array<int>")
+    scanned = blocks.select("file", "block", "payload").mapInArrow(lean(_scan_rows(dtype, end)), f"file {kind}, block long, n long, at array<int>")
     scanned = written(scanned, "separators").withColumn("grp", F.floor(F.col("block") / GROUP))
     # Prefix scan in two levels: over the groups of a file, then over the blocks of a group.
     inside = Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
