@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(a: Column) -> Column:
@@ -41,9 +41,10 @@ def format_vector(v: Column) -> Column:
 def median_bits(v: Column) -> Column:
     """A 63-bit hash of 64 numbers: without the first, bit 62 - i says whether number i is above the median of the 63."""
     rest = F.slice(v, 2, 63)
-    mid = F.get(F.array_sort(rest), F.lit(31))
-    bits = F.transform(rest, lambda x, i: F.when(x > mid, F.call_function("shiftleft", F.lit(1).cast("long"), 62 - i)).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    bit = lambda mid: lambda x, i: F.when(x > mid, F.call_function("shiftleft", F.lit(1).cast("long"), 62 - i)).otherwise(F.lit(0).cast("long"))
+    # An array of one element binds the median, which would else be sorted out anew for each number.
+    of_median = F.transform(F.array(F.get(F.array_sort(rest), F.lit(31))), lambda mid: F.aggregate(F.transform(rest, bit(mid)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    return F.get(of_median, F.lit(0))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, hamming
+from ..functions.vectors import cosine, dot, hamming, norm
 
 # Results of a search, candidates and limit of a panel, sample of a calibration.
 SEARCH_CAP, CANDIDATES, PANEL, PANEL_FLOOR = 288, 200, 20, 0.25
@@ -33,8 +33,11 @@ def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame |
     """
     if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
         raise ValueError(f"more than {MOST_SEEDS} seeds")
-    rows = vectors.join(F.broadcast(seeds), F.col("item_id") != F.col("seed"))
-    scored = rows.select("seed", "item_id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score")).where("score IS NOT NULL")
+    # Each vector's length is found once, not once a pair.
+    sized = vectors.select("item_id", "v", norm(F.col("v")).alias("nv")).where("nv > 0")
+    asked = seeds.select("seed", "q", norm(F.col("q")).alias("nq")).where("nq > 0")
+    rows = sized.join(F.broadcast(asked), F.col("item_id") != F.col("seed"))
+    scored = rows.select("seed", "item_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
     if grp_item is not None:
         same = grp_item.select("group_id", F.col("item_id").alias("seed")).join(F.broadcast(seeds.select("seed")), "seed", "left_semi").join(grp_item.select("group_id", "item_id"), "group_id").select("seed", "item_id").distinct()
         scored = scored.join(same, ["seed", "item_id"], "left_anti")
