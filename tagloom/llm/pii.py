@@ -2,8 +2,9 @@
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. Information-theoretic
 sanitisation finds what gives them away: with N documents, an entity e has the information content IC(e) = log2(N / df(e)),
-and a term t near it discloses PMI(e, t) = IC(e) - log2(df(t) / df(e, t)) bits of it. Terms that disclose at least DISCLOSURE
-of IC(e) become further spans; sanitising generalises entities to their kind and removes such terms.
+and a term t of its documents discloses PMI(e, t) = IC(e) - log2(df(t) / df(e, t)) bits of it. All counts are of whole documents,
+and an entity of one document is scored like any other. Terms that disclose at least DISCLOSURE of IC(e) become further spans
+wherever they stand in a document that holds the entity; sanitising generalises entities to their kind and removes such terms.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ CARD_PATTERN = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![0-
 PHONE_PATTERN = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: Code points of context on either side of an entity, least documents in which term and entity meet, and the share of an
-#: entity's information content from which a term is disclosive.
-CONTEXT, SUPPORT, DISCLOSURE = 60, 2, 0.8
+#: The share of an entity's information content from which a term is disclosive.
+DISCLOSURE = 0.8
 TERM_PATTERN = r"(?<=[\x20\x09-\x0D])\p{L}[\p{L}\p{N}'-]{2,}+(?=[\x20\x09-\x0D.,;:!?])"
+#: Stands around disclosive terms while their positions are found; texts are freed of it first.
+MARK = "\x01"
 #: Rows up to which terms or pairs are broadcast; beyond, joins are by shuffle.
 MOST_ROWS = 200_000
 
@@ -64,31 +66,44 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"].isin(CARD, PHONE), _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def context(text: Column, spans: Column) -> Column:
-    """(entity, term, start, end) of the terms within CONTEXT code points of each span."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text, with a blank before and after, in which NULs stand for the spans; positions stay, shifted by one."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["at"])
+        new = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")), F.repeat(F.lit("\0"), (s["end"] - begin).cast("int")))
+        out = F.when(s["end"] > acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    def near(span: Column, left: bool) -> Column:
-        begin = F.greatest(span["start"] + 1 - CONTEXT - 1, F.lit(0)) if left else span["end"] + 1
-        length = (span["start"] + 1 - begin) if left else F.lit(CONTEXT + 2)
-        # The window takes in one character of the entity's own neighbour, so a term must end or start inside it.
-        piece = F.substring(padded, (begin + 1).cast("int"), length.cast("int"))
-        return F.transform(matches(piece, TERM_PATTERN, TERM), lambda t: F.struct(entity(span).alias("entity"), F.lower(t["value"]).alias("term"), (begin - 1 + t["start"]).alias("start"), (begin - 1 + t["end"]).alias("end")))
+    tail = lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1))))
+    return F.concat(F.lit(" "), F.translate(F.aggregate(F.array_sort(spans), start, step, tail), MARK, "\0"), F.lit(" "))
 
-    both = F.transform(spans, lambda s: F.concat(near(s, True), near(s, False)))
-    return F.array_distinct(F.flatten(both))
 
+def words_of(blank: Column) -> Column:
+    """Distinct lower-cased terms of a blanked text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(blank, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
 
-def spotted(docs: DataFrame) -> DataFrame:
-    """doc_id, tl_spans, tl_context and tl_key of every row; rows of equal doc_id and context share a key."""
-    text = text_or_empty()
-    own = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("tl_spans"))
-    out = own.select("doc_id", "tl_spans", F.when(F.size("tl_spans") > 0, context(F.col("text"), F.col("tl_spans"))).alias("tl_context"))
-    return out.select("doc_id", "tl_spans", "tl_context", context_key().alias("tl_key"))
+
+def spans_of(blank: Column, terms: Column) -> Column:
+    """The spans of the given terms in a blanked text. They are marked first, so that only their positions are added up."""
+    pieces = F.zip_with(F.split(blank, TERM_PATTERN, -1), F.regexp_extract_all(blank, F.lit(TERM_PATTERN), F.lit(0)), lambda gap, hit: F.concat(
+        gap, F.when(F.array_contains(terms, F.lower(hit)), F.concat(F.lit(MARK), hit, F.lit(MARK))).otherwise(F.coalesce(hit, F.lit("")))))
+    found = matches(F.concat_ws("", pieces), f"{MARK}[^{MARK}]++{MARK}", TERM)
+    own = lambda s, i: F.struct((s["start"] - 2 * i - 1).alias("start"), (s["end"] - 2 * i - 3).alias("end"), s["kind"].alias("kind"), F.lower(F.translate(s["value"], MARK, "")).alias("value"))
+    return F.transform(found, own).cast(SPAN)
 
 
-def context_key() -> Column:
-    return F.when(F.size("tl_context") > 0, F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), F.to_json("tl_context"))))
+def key_of(doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat_ws("\0", doc_id.cast("string"), text))
+
+
+def spotted(docs: DataFrame) -> DataFrame:
+    """doc_id, tl_spans and, where there are some, tl_blank, tl_words and tl_key of every row; equal doc_id and text share a key."""
+    text, has = F.col("text"), F.size("tl_spans") > 0
+    own = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", base_spans(text).alias("tl_spans"))
+    own = own.select("doc_id", "tl_spans", F.when(has, key_of(F.col("doc_id"), text)).alias("tl_key"), F.when(has, blanked(text, F.col("tl_spans"))).alias("tl_blank"))
+    return own.select("*", F.when(has, words_of(F.col("tl_blank"))).alias("tl_words"))
 
 
 def terms_of(text: Column) -> Column:
@@ -96,30 +111,38 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}'-]+"))
 
 
-def disclosive(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the pairs above the threshold; all counts are of documents and cover the whole corpus."""
-    n = max(found.count(), 1)
-    entities = found.select(F.explode(F.array_distinct(F.transform("tl_spans", entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    met = found.where("tl_key IS NOT NULL").select(F.explode(F.array_distinct(F.transform("tl_context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("c"))
-    pairs = written(met.select("c.*").groupBy("entity", "term").agg(F.count("*").alias("df_et")).where(F.col("df_et") >= SUPPORT), "met")
+def counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df_t): the documents of the whole corpus that hold each wanted term."""
     words = docs.select(F.explode(terms_of(text_or_empty())).alias("term"))
-    wanted = written(pairs.select("term").distinct(), "terms")
-    if wanted.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
+    few = wanted.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
     counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    ic = F.log2(F.lit(float(n)) / F.col("df_e"))
-    pmi = ic - F.log2(F.greatest(F.col("df_t"), F.col("df_et")) / F.col("df_et"))
-    scored = pairs.join(counts, "term").join(entities, "entity").withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    return scored.where(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure")
+    return counts if few else counts.join(wanted, "term", "left_semi")
 
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(tl_key, tl_terms): the spans of the disclosive terms of each key."""
-    strong = small_side(written(disclosive(docs, found), "disclosive").select(F.col("entity").alias("d_entity"), F.col("term").alias("d_term")), MOST_ROWS)
-    rows = found.where("tl_key IS NOT NULL").select("tl_key", F.explode("tl_context").alias("c"))
-    hits = rows.join(strong, (F.col("c.entity") == F.col("d_entity")) & (F.col("c.term") == F.col("d_term")))
-    span = F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.lit(TERM).alias("kind"), F.col("c.term").alias("value"))
-    return hits.groupBy("tl_key").agg(F.array_sort(F.collect_set(span)).cast(SPAN).alias("tl_terms"))
+    """(tl_key, tl_terms): the disclosive terms of each key.
+
+    All entities that stand under one key only have the same counts, so they are scored as one. df(e, t) <= df(e) bounds the
+    df(t) of a disclosive term by df(e)^DISCLOSURE * n^(1 - DISCLOSURE); terms beyond are not paired.
+    """
+    n = float(max(found.count(), 1))
+    keyed = found.where("tl_key IS NOT NULL").groupBy("tl_key").agg(F.count("*").alias("copies"), F.first("tl_spans").alias("spans"), F.first("tl_words").alias("words"))
+    held = keyed.select("tl_key", "copies", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    entities = written(held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("keys")), "entities")
+    terms = written(keyed.select("tl_key", F.explode("words").alias("term")), "words")
+    bound = F.pow(F.col("df_e"), DISCLOSURE) * n ** (1 - DISCLOSURE) * 1.000001
+    counts = counted(docs, written(terms.select("term").distinct(), "terms")).where(F.col("df_t") <= (entities.agg(F.max(bound)).first()[0] or 0.0))
+    rare = terms.join(small_side(written(counts, "rare"), MOST_ROWS), "term")
+    many = small_side(entities.where("keys > 1").select("entity", "df_e"), MOST_ROWS)
+    who = F.coalesce(F.when(F.col("df_e").isNotNull(), F.col("entity")), F.concat(F.lit("key:"), F.col("tl_key")))
+    own = held.join(many, "entity", "left").select("tl_key", "copies", who.alias("who"), F.coalesce("df_e", "copies").alias("df_e")).distinct()
+    pairs = written(own.join(rare, "tl_key").where(F.col("df_t") <= bound), "pairs")
+    ic = F.log2(F.lit(n) / F.col("df_e"))
+    pmi = ic - F.log2(F.greatest(F.col("df_t"), F.col("df_et")) / F.col("df_et"))
+    scored = pairs.groupBy("who", "term", "df_e", "df_t").agg(F.sum("copies").alias("df_et")).withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
+    strong = small_side(written(scored.where(F.col("disclosure") >= DISCLOSURE).select("who", "term"), "disclosive"), MOST_ROWS)
+    return pairs.join(strong, ["who", "term"], "left_semi").groupBy("tl_key").agg(F.array_sort(F.collect_set("term")).alias("tl_terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -132,7 +155,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     terms = revealing(docs, found)
     none = F.array().cast(SPAN)
     bare = found.where("tl_key IS NULL").select("doc_id", "tl_spans", none.alias("tl_terms"))
-    rest = found.where("tl_key IS NOT NULL").join(terms, "tl_key", "left").select("doc_id", "tl_spans", F.coalesce("tl_terms", none).alias("tl_terms"))
+    rest = found.where("tl_key IS NOT NULL").join(terms, "tl_key", "left")
+    rest = rest.select("doc_id", "tl_spans", F.when(F.col("tl_terms").isNotNull(), spans_of(F.col("tl_blank"), F.col("tl_terms"))).otherwise(none).alias("tl_terms"))
     return bare.unionByName(rest)
 
 
@@ -162,9 +186,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def cleaned(rows: DataFrame, terms: DataFrame) -> DataFrame:
         marked = packed(rows).select("tl_row", row("doc_id").alias("doc_id"), base_spans(F.coalesce(row("text"), F.lit(""))).alias("tl_spans"))
-        marked = marked.withColumn("tl_context", F.when(F.size("tl_spans") > 0, context(row("text"), F.col("tl_spans"))))
-        marked = marked.withColumn("tl_key", context_key()).join(terms, F.col("tl_key") == F.col("tl_of"), "left")
-        spans = F.concat("tl_spans", F.coalesce("tl_terms", F.array().cast(SPAN)))
+        marked = marked.withColumn("tl_key", F.when(F.size("tl_spans") > 0, key_of(F.col("doc_id"), row("text"))))
+        marked = marked.join(terms, F.col("tl_key") == F.col("tl_of"), "left")
+        marked = marked.withColumn("tl_blank", F.when(F.col("tl_terms").isNotNull(), blanked(row("text"), F.col("tl_spans"))))
+        hidden = F.when(F.col("tl_terms").isNotNull(), spans_of(F.col("tl_blank"), F.col("tl_terms"))).otherwise(F.array().cast(SPAN))
+        spans = F.concat("tl_spans", hidden)
         return unpacked(marked, docs.columns, text=masked(row("text"), spans))
 
     if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:

@@ -68,6 +68,42 @@ def test_disclosure(spark, monkeypatch, most):
     assert clean[10] == rows[3][1] and clean[91] is None and len(clean) == len(rows)
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_disclosure_of_one_document(spark, monkeypatch, most):
+    """On a table without copies, each entity stands in one document, and terms go wherever they stand there."""
+    common = "common words here then follows with something"
+    rows = [(i, f"{common} else") for i in range(40)] + [(50, f"Quuxley {common} " + "filler " * 30 + f"quuxley, o'neil.x@y.com \U0001f600 {common} QUUXLEY."), (51, f"{common} filler plover 10.1.2.3")]
+    docs = spark.createDataFrame([*rows, (60, "filler xyzzy"), (60, "filler xyzzy"), (61, None)], "doc_id long, text string")
+    monkeypatch.setattr(pii, "MOST_ROWS", most)
+    found = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    text = rows[40][1]
+    assert [text[s["start"] : s["end"]] for s in found[50]["tl_terms"]] == ["Quuxley", "quuxley", "QUUXLEY"]
+    assert [s["value"] for s in found[51]["tl_terms"]] == ["plover"] and found[60]["tl_terms"] == []
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[50] == f"[...] {common} " + "filler " * 30 + f"[...], o'[email] \U0001f600 {common} [...]."
+    assert clean[51] == f"{common} filler [...] [ip]" and clean[60] == "filler xyzzy" and clean[61] is None
+
+
+def test_disclosure_against_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(5)
+    word = lambda: "w" + str(int(rnd.expovariate(0.04))).translate(str.maketrans("0123456789", "abcdefghij")) + "x"
+    texts = [(i, " ".join(["the", *(word() for _ in range(25)), "end,"] + [f"u{rnd.randrange(9)}@x.org"] * (i % 3 > 0) + [f"v{i}@y.org"] * (i % 4 == 0))) for i in range(60)]
+    texts += texts[:3]  # repeated rows
+    words = [{w.strip(",") for w in t.split()} for _, t in texts]
+    df = lambda *of: sum(set(of) <= w for w in words)
+    exp = []
+    for (i, _), own in zip(texts, words, strict=True):
+        ents, terms = [w for w in own if "@" in w], [w for w in own if "@" not in w]
+        bits = lambda e: math.log2(len(texts) / df(e))
+        exp.append((i, sorted(t for t in terms if any(bits(e) - math.log2(df(t) / df(e, t)) >= pii.DISCLOSURE * bits(e) for e in ents))))
+    found = pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], sorted({s["value"] for s in r["tl_terms"]})) for r in found) == sorted(exp)
+    assert 20 < sum(len(t) for _, t in exp) < sum(map(len, words))
+
+
 def test_sanitise_edges(spark):
     docs = cases.edge_docs(spark)
     out = pii.sanitise(docs)
