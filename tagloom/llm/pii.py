@@ -128,21 +128,23 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     n = float(max(found.count(), 1))
     keyed = found.where("tl_key IS NOT NULL").groupBy("tl_key").agg(F.count("*").alias("copies"), F.first("tl_spans").alias("spans"), F.first("tl_words").alias("words"))
-    held = keyed.select("tl_key", "copies", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    keyed = written(keyed.withColumn("k", F.monotonically_increasing_id()), "keyed")  # short numbers are shuffled instead of keys
+    held = keyed.select("k", "copies", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
     entities = written(held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("keys")), "entities")
-    terms = written(keyed.select("tl_key", F.explode("words").alias("term")), "words")
+    terms = written(keyed.select("k", F.explode("words").alias("term")), "words")
     bound = F.pow(F.col("df_e"), DISCLOSURE) * n ** (1 - DISCLOSURE) * 1.000001
     counts = counted(docs, written(terms.select("term").distinct(), "terms")).where(F.col("df_t") <= (entities.agg(F.max(bound)).first()[0] or 0.0))
     rare = terms.join(small_side(written(counts, "rare"), MOST_ROWS), "term")
     many = small_side(entities.where("keys > 1").select("entity", "df_e"), MOST_ROWS)
-    who = F.coalesce(F.when(F.col("df_e").isNotNull(), F.col("entity")), F.concat(F.lit("key:"), F.col("tl_key")))
-    own = held.join(many, "entity", "left").select("tl_key", "copies", who.alias("who"), F.coalesce("df_e", "copies").alias("df_e")).distinct()
-    pairs = written(own.join(rare, "tl_key").where(F.col("df_t") <= bound), "pairs")
+    who = F.coalesce(F.when(F.col("df_e").isNotNull(), F.col("entity")), F.concat(F.lit("key:"), F.col("k").cast("string")))
+    own = held.join(many, "entity", "left").select("k", "copies", who.alias("who"), F.coalesce("df_e", "copies").alias("df_e")).distinct()
+    pairs = written(own.join(rare, "k").where(F.col("df_t") <= bound), "pairs")
     ic = F.log2(F.lit(n) / F.col("df_e"))
     pmi = ic - F.log2(F.greatest(F.col("df_t"), F.col("df_et")) / F.col("df_et"))
     scored = pairs.groupBy("who", "term", "df_e", "df_t").agg(F.sum("copies").alias("df_et")).withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
     strong = small_side(written(scored.where(F.col("disclosure") >= DISCLOSURE).select("who", "term"), "disclosive"), MOST_ROWS)
-    return pairs.join(strong, ["who", "term"], "left_semi").groupBy("tl_key").agg(F.array_sort(F.collect_set("term")).alias("tl_terms"))
+    hidden = pairs.join(strong, ["who", "term"], "left_semi").groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("tl_terms"))
+    return keyed.select("k", "tl_key").join(hidden, "k").select("tl_key", "tl_terms")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     an empty one; columns besides doc_id and text are not read. Copies count as documents in all statistics.
     """
     found = written(spotted(docs), "spotted")
-    terms = revealing(docs, found)
+    terms = small_side(written(revealing(docs, found), "revealing"), MOST_ROWS)
     none = F.array().cast(SPAN)
     bare = found.where("tl_key IS NULL").select("doc_id", "tl_spans", none.alias("tl_terms"))
     rest = found.where("tl_key IS NOT NULL").join(terms, "tl_key", "left")
