@@ -20,8 +20,9 @@ ASSIGN, ACCESS, HEX, WEAK, IDENTIFIER, ENDPOINT = range(6)
 ASSIGN_PATTERN = r"""(?i:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+([A-Za-z0-9+/_.=-]++)"""
 ACCESS_PATTERN = r"AKIA[A-Z0-9]{14,}+"
 HEX_PATTERN = r"[0-9a-f]{16,}+"
-#: Weak parts: runs of 16 to 128 token characters, values of identifier names, and urls or host settings.
-WEAK_PATTERN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: Weak parts: runs of 16 token characters or more, also after a name and '=', values of identifier names, and urls or host
+#: settings.
+WEAK_PATTERN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}(?![A-Za-z0-9+/_=-])"
 IDENTIFIER_PATTERN = r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account_?id)["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9_.@-]{3,}+"""
 ENDPOINT_PATTERN = r"""(?:https?|jdbc:[a-z0-9]+|ftp|ssh|postgres|mysql|mongodb|redis|amqp)://[^\x00-\x20"'<>]++|(?i:host|server|endpoint|base_?url)["']?+\x20*+[:=]\x20*+["']?+[A-Za-z0-9.-]+\.[A-Za-z0-9.:-]+"""
 
@@ -40,7 +41,8 @@ def base_spans(text: Column) -> Column:
 
 def weak_spans(text: Column, strong: Column) -> Column:
     """Weak parts that no strong span overlaps."""
-    looks_random = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= DISTINCT_CHARS)
+    # A digit and a letter: UUIDs, lower-case and base32 keys count; whether they are reported is for their complement to say.
+    looks_random = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= DISTINCT_CHARS)
     found = F.concat(F.filter(matches(text, WEAK_PATTERN, WEAK), looks_random), matches(text, IDENTIFIER_PATTERN, IDENTIFIER), matches(text, ENDPOINT_PATTERN, ENDPOINT))
     return F.filter(found, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
 

@@ -35,6 +35,15 @@ def test_links(spark):
     assert found[407] == []  # a weak candidate far from its complement
 
 
+def test_weak_forms(spark):
+    """Secrets after '=', long ones, and ones without all three classes are found beside their complement, and not alone."""
+    secrets_ = ["Zx9Qw8Er7Ty6Ui5Op4As", "aB3" + "xY7kLm2pQ9" * 40, "3f2b8c1e-9d47-4a60-b5e3-7c81f0d2a694", "k7w2m9x4q8r1t6y3u5", "JBSWY3DPEHPK3PXPQ2LK7VTN", "q1w2e3r4t5y6u7i8o9p0=="]
+    texts = [f"client_id=bob77\nkey={s}\nhost=db.example.com" for s in secrets_]
+    texts += [f"AccountName=..;AccountKey={s};server: db.example.com" for s in secrets_] + [f"key={s} and more" for s in secrets_]
+    found = {r["doc_id"]: [s["value"] for s in r["tl_linked"] if s["kind"] == secrets.WEAK] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == [[s] for s in secrets_] * 2 + [[]] * len(secrets_)
+
+
 def test_links_against_brute_force(spark):
     texts = [(i, " ".join(("user=u%03d" % j if (i * 7 + j) % 5 == 0 else "Ab1Cd2Ef3Gh4Ij5K%02dLm" % j if (i + j) % 3 == 0 else "https://h%d.example.org" % j if (i * j) % 7 == 3 else "filler word " * ((i + j) % 9)) for j in range(25))) for i in range(20)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
