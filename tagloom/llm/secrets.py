@@ -65,9 +65,9 @@ def linked(found: DataFrame) -> DataFrame:
     keyed = found.where("tl_key IS NOT NULL").dropDuplicates(["tl_key"])
     parts = keyed.select("tl_key", F.explode(F.concat("tl_strong", "tl_weak")).alias("s"))
     parts = parts.select("tl_key", role[F.col("s.kind")].alias("p_role"), F.col("s.start").alias("p_start"), F.col("s.end").alias("p_end"))
-    parts = parts.select("*", F.explode(F.array_distinct(F.array(cell(F.col("p_start")), cell(F.col("p_end"))))).alias("cell"))
+    parts = parts.select("*", F.explode(F.sequence(cell(F.col("p_start")), cell(F.col("p_end")))).alias("cell"))
     weak = keyed.select("tl_key", F.explode("tl_weak").alias("w"))
-    near = F.array_distinct(F.flatten(F.transform(F.array(cell(F.col("w.start")), cell(F.col("w.end"))), lambda c: F.array(c - 1, c, c + 1))))
+    near = F.sequence(cell(F.col("w.start")) - 1, cell(F.col("w.end")) + 1)
     weak = weak.select("tl_key", "w", F.explode(near).alias("cell"))
     gap = F.greatest(F.col("p_start") - F.col("w.end"), F.col("w.start") - F.col("p_end"), F.lit(0))
     met = weak.join(parts, ["tl_key", "cell"]).where(gap <= SCOPE)

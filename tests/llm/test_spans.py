@@ -44,6 +44,13 @@ def test_weak_forms(spark):
     assert [found[i] for i in range(len(texts))] == [[s] for s in secrets_] * 2 + [[]] * len(secrets_)
 
 
+def test_links_inside_long_parts(spark):
+    """An identifier in the middle of a url of thousands of characters, beside a secret, lies at no distance from the url."""
+    text = "https://h.example.org/" + "a." * 1500 + "?user_name=bob123&key=Zx9Qw8Er7Ty6Ui5Op4As&" + "b." * 1500
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert {(s["kind"], s["value"][:8]) for s in found["tl_linked"]} == {(secrets.ENDPOINT, "https://"), (secrets.IDENTIFIER, "user_nam"), (secrets.WEAK, "Zx9Qw8Er")}
+
+
 def test_links_against_brute_force(spark):
     texts = [(i, " ".join(("user=u%03d" % j if (i * 7 + j) % 5 == 0 else "Ab1Cd2Ef3Gh4Ij5K%02dLm" % j if (i + j) % 3 == 0 else "https://h%d.example.org" % j if (i * j) % 7 == 3 else "filler word " * ((i + j) % 9)) for j in range(25))) for i in range(20)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
