@@ -356,6 +356,13 @@ def rec_batch(g):
     return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item).withColumn("score", F.round("score", 6))
 
 
+@query(None)
+def rec_all(g):
+    """rec_batch for every item; a brute-force test stands for SQL, which is too slow over all."""
+    seeds = g.item.select(F.col("id").alias("item_id"))
+    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item).withColumn("score", F.round("score", 6))
+
+
 @query(f"{WEIGHT} SELECT count(*) AS tags, count(*) FILTER (WHERE post_count > 1 AND post_count <= greatest(500, floor(0.30 * items))) AS kept FROM weight")
 def rec_floor(g):
     ok = (F.col("post_count") > 1) & (F.col("post_count") <= F.greatest(F.lit(500), F.floor(F.lit(0.30) * F.col("items"))))
@@ -384,6 +391,13 @@ def knn_batch(g):
     return similar.nearest_to_each(g.embedding, seeds, g.grp_item)
 
 
+@query(None)
+def knn_all(g):
+    """knn_batch for every vector, block by block; a brute-force test stands for SQL."""
+    seeds = g.embedding.select(F.col("item_id").alias("seed"), F.col("v").alias("q"))
+    return similar.nearest_to_each(g.embedding, seeds, g.grp_item)
+
+
 @query(f"s AS (SELECT item_id, v FROM embedding ORDER BY md5(CAST(item_id AS VARCHAR)) LIMIT 48), p AS (SELECT list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM s a JOIN s b ON md5(CAST(a.item_id AS VARCHAR)) < md5(CAST(b.item_id AS VARCHAR))) SELECT round(least(greatest(quantile_cont(c, 0.9), 0.0), 0.95), 6) AS baseline, (SELECT count(*) FROM s) AS sample FROM p")
 def calibration_baseline(g):
     return similar.baseline(g.embedding)
@@ -472,7 +486,7 @@ def feed_full(g):
     """Seeds, neighbourhoods of both channels, merge, exclusions, boosts and dedupe, to a feed of at most FEED_SIZE items."""
     claimed: set[int] = set()
     favourites = feed.collapsed(g.favourite, g.grp_item, claimed)
-    newest = feed.recency_weights(favourites, AS_OF).orderBy(F.desc("at"), "item_id").select("item_id", "weight").collect()  # at most MOST_SIGNALS rows
+    newest = feed.recency_weights(favourites, AS_OF).orderBy(F.desc("at"), "item_id").select("item_id", "weight").collect()  # one (id, weight) a kept favourite
     picked = feed.select_seeds([(r["item_id"], r["weight"]) for r in newest], 5688000)
     if not picked:
         return g.item.limit(0).select(F.col("id").alias("item_id"), F.lit(0.0).alias("score"))
