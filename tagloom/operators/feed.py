@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,7 +135,7 @@ def excluded(favourite: DataFrame, dismissal: DataFrame, seeds: DataFrame, grp_i
     return favourite.select("item_id").unionByName(dismissal.select("item_id")).unionByName(members).unionByName(seeds.select(F.col("seed").alias("item_id"))).distinct()
 
 
-def first_claim(rows: list[tuple[int, list[int]]], claimed: set[int] | None = None) -> list[int]:
+def first_claim(rows: Iterable[tuple[int, list[int]]], claimed: set[int] | None = None) -> list[int]:
     """ids of the ranked (id, groups) rows, dropping one if any of its groups was claimed by a row kept before it.
 
     claimed: groups claimed by earlier lists of the same polarity; it grows.
@@ -156,23 +158,24 @@ def visual_first(ranked: DataFrame, item: DataFrame) -> DataFrame:
     return rows.withColumn("place", rank).where("place = 1").select("item_id", "score")
 
 
-#: Signals of one person that a feed folds, and how many times the seeds it needs are read of views and dismissals.
-MOST_SIGNALS, OVERFETCH = 100_000, 4
+#: How many times the seeds it needs a feed reads of views and dismissals.
+OVERFETCH = 4
+#: Kept signals that are broadcast; beyond, they are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def collapsed(signals: DataFrame, grp_item: DataFrame, claimed: set[int], most: int | None = None) -> DataFrame:
     """signals (item_id, at, ...) without those in a group that a newer one, or one of an earlier list, has claimed.
 
-    One person's signals are folded in order on the driver; more than MOST_SIGNALS of them are a caller's error.
+    Signals are folded in order on the driver, partition by partition as they arrive, however many there are; it holds the
+    kept ids and the claimed groups.
     """
     newest = signals.orderBy(F.desc("at"), "item_id").limit(most) if most else signals
     groups = grp_item.groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
-    rows = newest.select("item_id", "at").join(groups, "item_id", "left").orderBy(F.desc("at"), "item_id").limit(MOST_SIGNALS + 1).select("item_id", "groups").collect()
-    if len(rows) > MOST_SIGNALS:
-        raise ValueError(f"more than {MOST_SIGNALS} signals of one person")
-    kept = first_claim([(r["item_id"], r["groups"] or []) for r in rows], claimed)
+    rows = newest.select("item_id", "at").join(groups, "item_id", "left").orderBy(F.desc("at"), "item_id").select("item_id", "groups").toLocalIterator()
+    kept = first_claim(((r["item_id"], r["groups"] or []) for r in rows), claimed)
     ids = signals.sparkSession.createDataFrame([(i,) for i in kept], "item_id long")
-    return newest.join(F.broadcast(ids), "item_id", "left_semi")
+    return newest.join(F.broadcast(ids) if len(kept) <= MOST_BROADCAST else ids, "item_id", "left_semi")
 
 
 def one_of_each_group(ranked: DataFrame, grp_item: DataFrame) -> DataFrame:

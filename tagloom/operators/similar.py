@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.vectors import cosine, dot, hamming, norm
 # Results of a search, candidates and limit of a panel, sample of a calibration.
 SEARCH_CAP, CANDIDATES, PANEL, PANEL_FLOOR = 288, 200, 20, 0.25
 SAMPLE, LEAST_SAMPLE, PERCENTILE, MOST_BASELINE = 48, 16, 0.9, 0.95
-#: Seeds that one batch may broadcast.
+#: Seeds that one block may broadcast, about.
 MOST_SEEDS = 4_096
 
 
@@ -28,11 +30,16 @@ def nearest(vectors: DataFrame, query: DataFrame, *, exclude_self: bool = False,
 def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None = None, *, limit: int = PANEL, floor: float | None = None) -> DataFrame:
     """(seed, item_id, score, rank): for each seed (seed, q) the nearest vectors outside of its groups, then the floor.
 
-    A stated set of seeds against all vectors: each task keeps the best of its own part before the shuffle, and seeds beyond
-    MOST_SEEDS are a caller's error.
+    All seeds against all vectors: more than MOST_SEEDS of them are searched block by block.
     """
-    if seeds.limit(MOST_SEEDS + 1).count() > MOST_SEEDS:
-        raise ValueError(f"more than {MOST_SEEDS} seeds")
+    blocks = -(-seeds.count() // MOST_SEEDS)
+    if blocks > 1:
+        block = F.pmod(F.xxhash64("seed"), F.lit(blocks))
+        return reduce(DataFrame.unionAll, [_nearest_to_block(vectors, seeds.where(block == b), grp_item, limit, floor) for b in range(blocks)])
+    return _nearest_to_block(vectors, seeds, grp_item, limit, floor)
+
+
+def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None, limit: int, floor: float | None) -> DataFrame:
     # Each vector's length is found once, not once a pair.
     sized = vectors.select("item_id", "v", norm(F.col("v")).alias("nv")).where("nv > 0")
     asked = seeds.select("seed", "q", norm(F.col("q")).alias("nq")).where("nq > 0")

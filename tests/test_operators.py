@@ -181,6 +181,25 @@ def test_collapsed_signals(spark):
     assert sorted(r["item_id"] for r in feed.collapsed(signals, pairs, {8}, most=3).collect()) == [1]
 
 
+def test_collapsed_takes_any_number_of_signals(spark):
+    signals = spark.range(100_050).select(F.col("id").alias("item_id"), (-F.col("id")).alias("at"))
+    pairs = spark.createDataFrame([(7, 3), (7, 100_049)], "group_id long, item_id long")
+    assert feed.collapsed(signals, pairs, set()).count() == 100_049
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(40, 6)).round(3)
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id long, v array<double>")
+    seeds = vectors.selectExpr("item_id AS seed", "v AS q")
+    monkeypatch.setattr(similar, "MOST_SEEDS", 15)
+    got = {(r["seed"], r["rank"]): r["item_id"] for r in similar.nearest_to_each(vectors, seeds, limit=3).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    score = (unit @ unit.T).round(6)
+    exp = {(s, k + 1): i for s in range(40) for k, i in enumerate(sorted((i for i in range(40) if i != s), key=lambda i: (-score[s, i], i))[:3])}
+    assert got == exp
+
+
 def test_vector_cache(spark):
     key = vector_cache.text_key("  red   ring ")
     assert key == vector_cache.text_key("red ring") != vector_cache.image_key("a" * 64, 1024) != vector_cache.image_key("a" * 64, 512)
