@@ -1,21 +1,23 @@
 """Personal data and the terms that reveal it (operator 2, native).
 
 Patterns find the protected entities: e-mail addresses, IP addresses, card and phone numbers. Information-theoretic
-sanitisation finds what gives them away: with N documents, an entity e has the information content IC(e) = log2(N / df(e)),
-and a term t of its documents discloses PMI(e, t) = IC(e) - log2(df(t) / df(e, t)) bits of it. All counts are of whole documents,
-and an entity of one document is scored like any other. Terms that disclose at least DISCLOSURE of IC(e) become further spans
-wherever they stand in a document that holds the entity; sanitising generalises entities to their kind and removes such terms.
+sanitisation finds what gives them away: with N distinct texts, an entity e has the information content IC(e) = log2(N / df(e)),
+and a term t that occurs with it discloses PMI(e, t) = IC(e) - log2(df(t) / df(e, t)) bits of it. All counts are of whole texts,
+copies count once, and an entity of one text is scored like any other.
+
+A term that discloses at least DISCLOSURE of IC(e) becomes a span wherever it stands in a text that holds e. In all other texts
+it becomes one if it points at e by itself: it was met with e in SUPPORT texts or more, so that it is no chance neighbour, and
+it leaves at most HIDDEN bits of e open, which is to say that at least every second text with the term holds e. Sanitising
+generalises entities to their kind and removes such terms.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, row, small_side, table, text_or_empty, unpacked, written
-from .spans import SPAN, digest, listed, matches, of_kind
+from .common import packed, row, small_side, table, unpacked, written
+from .spans import SPAN, among, digest, let, listed, matches, of_kind, spliced, unmarked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL, IP, CARD, PHONE, TERM = range(5)
@@ -32,9 +34,11 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: The share of an entity's information content from which a term is disclosive.
 DISCLOSURE = 0.8
-TERM_PATTERN = r"(?<=[\x20\x09-\x0D])\p{L}[\p{L}\p{N}'-]{2,}+(?=[\x20\x09-\x0D.,;:!?])"
-#: Stands around disclosive terms while their positions are found; texts are freed of it first.
-MARK = "\x01"
+#: Texts that a term and an entity share, and bits that stay open, for a term to give the entity away without it.
+SUPPORT, HIDDEN = 2, 1.0
+#: A letter and the letters and digits after it, with single apostrophes and hyphens between them; shorter ones aren't terms.
+TERM_PATTERN = r"\p{L}[\p{L}\p{N}]*+(?:['-][\p{L}\p{N}]++)*+"
+LEAST_LENGTH = 3
 #: Rows up to which terms or pairs are broadcast; beyond, joins are by shuffle.
 MOST_ROWS = 200_000
 
@@ -54,11 +58,11 @@ def _phone_ok(value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """All spans of the four kinds that pass their checks."""
-    email = matches(text, EMAIL_PATTERN, EMAIL, text.contains("@") & text.rlike(EMAIL_PATTERN))
+    """All spans of the four kinds that pass their checks, of a text free of MARK."""
+    email = matches(text, EMAIL_PATTERN, EMAIL, text.contains("@"))
     ip = F.filter(matches(text, IP_PATTERN, IP), lambda s: s["value"].rlike(rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"))
     card = F.filter(matches(text, CARD_PATTERN, CARD), lambda s: _luhn(_digits(s["value"])))
-    phone = F.filter(matches(text, PHONE_PATTERN, PHONE, text.contains("+") & text.rlike(PHONE_PATTERN)), lambda s: _phone_ok(s["value"]))
+    phone = F.filter(matches(text, PHONE_PATTERN, PHONE, text.contains("+")), lambda s: _phone_ok(s["value"]))
     return F.concat(email, ip, card, phone)
 
 
@@ -67,143 +71,145 @@ def entity(span: Column) -> Column:
 
 
 def blanked(text: Column, spans: Column) -> Column:
-    """The text, with a blank before and after, in which NULs stand for the spans; positions stay, shifted by one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text in which NULs stand for the spans; positions stay."""
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["at"])
-        new = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (begin - acc["at"]).cast("int")), F.repeat(F.lit("\0"), (s["end"] - begin).cast("int")))
-        out = F.when(s["end"] > acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def piece(s: Column, at: Column, cut) -> Column:
+        begin = F.greatest(s["start"], at)
+        return F.when(s["end"] > at, F.concat(cut(at, begin), F.repeat(F.lit("\0"), (s["end"] - begin).cast("int")))).otherwise("")
 
-    tail = lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1))))
-    return F.concat(F.lit(" "), F.translate(F.aggregate(F.array_sort(spans), start, step, tail), MARK, "\0"), F.lit(" "))
+    return spliced(text, spans, piece)
 
 
-def words_of(blank: Column) -> Column:
-    """Distinct lower-cased terms of a blanked text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(blank, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
+def terms_of(text: Column) -> Column:
+    """Distinct lower-cased terms of a text."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
+    return F.filter(words, lambda w: F.length(w) >= LEAST_LENGTH)
 
 
 def spans_of(blank: Column, terms: Column) -> Column:
-    """The spans of the given terms in a blanked text. They are marked first, so that only their positions are added up."""
-    pieces = F.zip_with(F.split(blank, TERM_PATTERN, -1), F.regexp_extract_all(blank, F.lit(TERM_PATTERN), F.lit(0)), lambda gap, hit: F.concat(
-        gap, F.when(F.array_contains(terms, F.lower(hit)), F.concat(F.lit(MARK), hit, F.lit(MARK))).otherwise(F.coalesce(hit, F.lit("")))))
-    found = matches(F.concat_ws("", pieces), f"{MARK}[^{MARK}]++{MARK}", TERM)
-    own = lambda s, i: F.struct((s["start"] - 2 * i - 1).alias("start"), (s["end"] - 2 * i - 3).alias("end"), s["kind"].alias("kind"), F.lower(F.translate(s["value"], MARK, "")).alias("value"))
-    return F.transform(found, own).cast(SPAN)
+    """The spans in a blanked text of the given terms, an ordered array."""
+    found = matches(blank, TERM_PATTERN, TERM)
+    low = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
+    return let(terms, lambda t: F.filter(low, lambda s: among(t, s["value"])))
 
 
-def key_of(doc_id: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws("\0", doc_id.cast("string"), text))
+def key_of(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def spotted(docs: DataFrame) -> DataFrame:
-    """doc_id, tl_spans and, where there are some, tl_blank, tl_words and tl_key of every row; equal doc_id and text share a key."""
-    text, has = F.col("text"), F.size("tl_spans") > 0
-    own = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", base_spans(text).alias("tl_spans"))
-    own = own.select("doc_id", "tl_spans", F.when(has, key_of(F.col("doc_id"), text)).alias("tl_key"), F.when(has, blanked(text, F.col("tl_spans"))).alias("tl_blank"))
-    return own.select("*", F.when(has, words_of(F.col("tl_blank"))).alias("tl_words"))
+    """tl_row, tl_key (a hash of the text), tl_spans and, of texts with some, tl_blank, of every row."""
+    own = packed(docs).select("tl_row", unmarked(F.coalesce(row("text"), F.lit(""))).alias("tl_text"))
+    own = own.select("tl_row", "tl_text", key_of(F.col("tl_text")).alias("tl_key"), base_spans(F.col("tl_text")).alias("tl_spans"))
+    return own.select("tl_row", "tl_key", "tl_spans", F.when(F.size("tl_spans") > 0, blanked(F.col("tl_text"), F.col("tl_spans"))).alias("tl_blank"))
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct lower-cased terms of the whole text."""
-    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}'-]+"))
+def texts_of(docs: DataFrame) -> DataFrame:
+    """(tl_key, tl_text) of every row."""
+    own = docs.select(unmarked(F.coalesce(F.col("text"), F.lit(""))).alias("tl_text"))
+    return own.select(key_of(F.col("tl_text")).alias("tl_key"), "tl_text")
+
 
+def counted(docs: DataFrame, wanted: DataFrame, copied: DataFrame) -> DataFrame:
+    """(term, df_t): the distinct texts of the whole corpus that hold each wanted term. copied: (tl_key, copies) of repeated texts.
 
-def counted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(term, df_t): the documents of the whole corpus that hold each wanted term."""
-    words = docs.select(F.explode(terms_of(text_or_empty())).alias("term"))
+    A text of n copies adds 1 / n for each, so that counts are summed before the shuffle and nothing is sorted by text.
+    """
+    words = texts_of(docs).join(small_side(copied, MOST_ROWS), "tl_key", "left")
+    words = words.select(F.explode(terms_of(F.col("tl_text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
     few = wanted.limit(MOST_ROWS + 1).count() <= MOST_ROWS
     words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
-    counts = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    counts = words.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df_t"))
     return counts if few else counts.join(wanted, "term", "left_semi")
 
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(tl_key, tl_terms): the disclosive terms of each key.
+    """(tl_key, tl_own, tl_terms): the spans of disclosive terms of each text that has some; tl_own if it has entities too.
 
-    All entities that stand under one key only have the same counts, so they are scored as one. df(e, t) <= df(e) bounds the
-    df(t) of a disclosive term by df(e)^DISCLOSURE * n^(1 - DISCLOSURE); terms beyond are not paired.
+    All entities that stand in one text only have the same counts, so they are scored as one. df(e, t) <= df(e) bounds the
+    df(t) of a disclosive term by df(e)^DISCLOSURE * n^(1 - DISCLOSURE), and by 2^HIDDEN * df(e); terms beyond are not paired.
     """
-    n = float(max(found.count(), 1))
-    keyed = found.where("tl_key IS NOT NULL").groupBy("tl_key").agg(F.count("*").alias("copies"), F.first("tl_spans").alias("spans"), F.first("tl_words").alias("words"))
+    sizes = written(found.groupBy("tl_key").agg(F.count("*").alias("copies")), "texts")
+    n = float(max(sizes.count(), 1))
+    copied = written(sizes.where("copies > 1"), "copied")
+    keyed = found.where("tl_blank IS NOT NULL").groupBy("tl_key").agg(F.first("tl_spans").alias("spans"), F.first("tl_blank").alias("blank"))
     keyed = written(keyed.withColumn("k", F.monotonically_increasing_id()), "keyed")  # short numbers are shuffled instead of keys
-    held = keyed.select("k", "copies", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-    entities = written(held.groupBy("entity").agg(F.sum("copies").alias("df_e"), F.count("*").alias("keys")), "entities")
-    terms = written(keyed.select("k", F.explode("words").alias("term")), "words")
-    bound = F.pow(F.col("df_e"), DISCLOSURE) * n ** (1 - DISCLOSURE) * 1.000001
-    counts = counted(docs, written(terms.select("term").distinct(), "terms")).where(F.col("df_t") <= (entities.agg(F.max(bound)).first()[0] or 0.0))
+    held = keyed.select("k", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    entities = written(held.groupBy("entity").agg(F.count("*").alias("df_e")), "entities")
+    terms = written(keyed.select("k", F.explode(terms_of(F.col("blank"))).alias("term")), "words")
+    bound = F.greatest(F.pow(F.col("df_e"), DISCLOSURE) * n ** (1 - DISCLOSURE), F.col("df_e") * 2.0**HIDDEN) * 1.000001
+    counts = counted(docs, written(terms.select("term").distinct(), "terms"), copied).where(F.col("df_t") <= (entities.agg(F.max(bound)).first()[0] or 0.0))
     rare = terms.join(small_side(written(counts, "rare"), MOST_ROWS), "term")
-    many = small_side(entities.where("keys > 1").select("entity", "df_e"), MOST_ROWS)
+    many = small_side(entities.where("df_e > 1"), MOST_ROWS)
     who = F.coalesce(F.when(F.col("df_e").isNotNull(), F.col("entity")), F.concat(F.lit("key:"), F.col("k").cast("string")))
-    own = held.join(many, "entity", "left").select("k", "copies", who.alias("who"), F.coalesce("df_e", "copies").alias("df_e")).distinct()
+    own = held.join(many, "entity", "left").select("k", who.alias("who"), F.coalesce("df_e", F.lit(1)).alias("df_e")).distinct()
     pairs = written(own.join(rare, "k").where(F.col("df_t") <= bound), "pairs")
     ic = F.log2(F.lit(n) / F.col("df_e"))
-    pmi = ic - F.log2(F.greatest(F.col("df_t"), F.col("df_et")) / F.col("df_et"))
-    scored = pairs.groupBy("who", "term", "df_e", "df_t").agg(F.sum("copies").alias("df_et")).withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(0.0))
-    strong = small_side(written(scored.where(F.col("disclosure") >= DISCLOSURE).select("who", "term"), "disclosive"), MOST_ROWS)
-    hidden = pairs.join(strong, ["who", "term"], "left_semi").groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("tl_terms"))
-    return keyed.select("k", "tl_key").join(hidden, "k").select("tl_key", "tl_terms")
+    # A text's own terms have entities cut out, the corpus counts do not: df_t is never less than df_et.
+    open_bits = F.log2(F.greatest(F.col("df_t"), F.col("df_et")) / F.col("df_et"))
+    scored = pairs.groupBy("who", "term", "df_e", "df_t").agg(F.count("*").alias("df_et")).where(ic > 0)
+    scored = written(scored.select("who", "term", "df_et", ((ic - open_bits) / ic).alias("disclosure"), open_bits.alias("open_bits")), "scored")
+    strong = small_side(scored.where(F.col("disclosure") >= DISCLOSURE).select("who", "term"), MOST_ROWS)
+    inside = pairs.join(strong, ["who", "term"], "left_semi").select("k", "term").distinct()
+    inside = keyed.select("k", "tl_key").join(inside, "k").select("tl_key", "term")
+    telling = written(scored.where((F.col("df_et") >= SUPPORT) & (F.col("open_bits") <= HIDDEN)).select("term").distinct(), "telling")
+    outside = texts_of(docs).select("tl_key", F.explode(terms_of(F.col("tl_text"))).alias("term")).join(small_side(telling, MOST_ROWS), "term", "left_semi")
+    hidden = inside if telling.isEmpty() else inside.unionByName(outside.select("tl_key", "term"))
+    hidden = written(hidden.groupBy("tl_key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "hidden")
+    blanks = keyed.select("tl_key", "blank").join(hidden, "tl_key").select("tl_key", F.lit(True).alias("tl_own"), "blank", "terms")
+    if not telling.isEmpty():
+        others = written(hidden.join(keyed.select("tl_key"), "tl_key", "left_anti"), "others")
+        texts = texts_of(docs).join(small_side(others.select("tl_key"), MOST_ROWS), "tl_key", "left_semi").groupBy("tl_key").agg(F.min("tl_text").alias("blank"))
+        blanks = blanks.unionByName(texts.join(others, "tl_key").select("tl_key", F.lit(False).alias("tl_own"), "blank", "terms"))
+    return blanks.select("tl_key", "tl_own", spans_of(F.col("blank"), F.col("terms")).alias("tl_terms")).where(F.size("tl_terms") > 0)
+
+
+def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """found with tl_terms. Few terms are joined by broadcast; else texts with entities are dealt out by their hash, the others not."""
+    none = F.array().cast(SPAN)
+
+    def joined(rows: DataFrame, own: DataFrame) -> DataFrame:
+        right = small_side(own.select(F.col("tl_key").alias("tl_of"), "tl_terms"), MOST_ROWS)
+        return rows.join(right, F.col("tl_key") == F.col("tl_of"), "left").drop("tl_of").withColumn("tl_terms", F.coalesce("tl_terms", none))
+
+    if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+        return joined(found, terms)
+    return joined(found.where("tl_blank IS NULL"), terms.where("NOT tl_own")).unionByName(joined(found.where("tl_blank IS NOT NULL"), terms.where("tl_own")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base spans (tl_spans) and spans of disclosive terms (tl_terms) of every row, from its whole text.
 
-    Null texts count as empty; those without personal data have no spans. Repeated rows give repeated results, an empty table
-    an empty one; columns besides doc_id and text are not read. Copies count as documents in all statistics.
+    Null texts count as empty; texts without personal data have spans of such terms only as give away an entity of others.
+    Repeated rows give repeated results and count once in all statistics, as equal texts do; an empty table gives an empty
+    result; columns besides doc_id and text are not read.
     """
-    found = written(spotted(docs), "spotted")
-    terms = small_side(written(revealing(docs, found), "revealing"), MOST_ROWS)
-    none = F.array().cast(SPAN)
-    bare = found.where("tl_key IS NULL").select("doc_id", "tl_spans", none.alias("tl_terms"))
-    rest = found.where("tl_key IS NOT NULL").join(terms, "tl_key", "left")
-    rest = rest.select("doc_id", "tl_spans", F.when(F.col("tl_terms").isNotNull(), spans_of(F.col("tl_blank"), F.col("tl_terms"))).otherwise(none).alias("tl_terms"))
-    return bare.unionByName(rest)
+    own = docs.select("doc_id", "text")
+    found = written(spotted(own).select(F.struct(row("doc_id").alias("doc_id")).alias("tl_row"), "tl_key", "tl_spans", "tl_blank"), "spotted")
+    terms = written(revealing(own, found), "revealing")
+    return _with_terms(found, terms).select(row("doc_id").alias("doc_id"), "tl_spans", "tl_terms")
 
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span of an entity generalised to its kind in brackets, and each span of a term removed."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     names = F.array(*[F.lit(f"[{k}]" if k != "term" else "[...]") for k in KINDS])
-
-    def step(acc: Column, s: Column) -> Column:
-        new = F.array(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["kind"]))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], new)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["kind"] - b["kind"]).cast("int"))
-    tail = lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.length(text), F.lit(1))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(order, start, step, tail))
+    return spliced(text, spans, lambda s, at, cut: F.when(s["start"] >= at, F.concat(cut(at, s["start"]), F.get(names, s["kind"]))).otherwise(""))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """All documents and columns, with personal data generalised and disclosive terms removed from text; null texts stay null.
 
-    Terms are joined by broadcast while they are at most MOST_ROWS rows; beyond, only texts that hold personal data are
-    shuffled to theirs.
+    Empty texts and texts without spans stay as they are; repeated rows stay repeated and count once in all statistics; an
+    empty table gives an empty one. Rows are written once beside their spans, which are found once.
     """
     found = written(spotted(docs), "spotted")
-    terms = written(revealing(docs, found), "revealing").withColumnRenamed("tl_key", "tl_of")
-
-    def cleaned(rows: DataFrame, terms: DataFrame) -> DataFrame:
-        marked = packed(rows).select("tl_row", row("doc_id").alias("doc_id"), base_spans(F.coalesce(row("text"), F.lit(""))).alias("tl_spans"))
-        marked = marked.withColumn("tl_key", F.when(F.size("tl_spans") > 0, key_of(F.col("doc_id"), row("text"))))
-        marked = marked.join(terms, F.col("tl_key") == F.col("tl_of"), "left")
-        marked = marked.withColumn("tl_blank", F.when(F.col("tl_terms").isNotNull(), blanked(row("text"), F.col("tl_spans"))))
-        hidden = F.when(F.col("tl_terms").isNotNull(), spans_of(F.col("tl_blank"), F.col("tl_terms"))).otherwise(F.array().cast(SPAN))
-        spans = F.concat("tl_spans", hidden)
-        return unpacked(marked, docs.columns, text=masked(row("text"), spans))
-
-    if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
-        return cleaned(docs, F.broadcast(terms))
-    text = text_or_empty()
-    cheap = {EMAIL_PATTERN: text.contains("@"), PHONE_PATTERN: text.contains("+")}
-    has = reduce(Column.__or__, [cheap.get(p, F.lit(True)) & text.rlike(p) for p in (EMAIL_PATTERN, IP_PATTERN, CARD_PATTERN, PHONE_PATTERN)])
-    return docs.where(~has).unionByName(cleaned(docs.where(has), terms))
+    terms = written(revealing(found.select(row("text").alias("text")), found), "revealing")
+    spans = F.concat("tl_spans", "tl_terms")
+    return unpacked(_with_terms(found, terms), docs.columns, text=masked(row("text"), spans))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data; the cases of find_personal_data hold."""
     out = find_personal_data(table(spark, sf_dir, "documents"))
     counts = [of_kind(F.col("tl_spans"), i).alias(f"n_{KINDS[i]}") for i in range(4)]
     return out.select("doc_id", *counts, digest(F.col("tl_spans"), KINDS).alias("base_sha256"), listed(F.concat("tl_spans", "tl_terms"), KINDS).alias("spans"))

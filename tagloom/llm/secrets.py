@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_or_empty, written
-from .spans import SPAN, digest, listed, matches, of_kind
+from .spans import SPAN, apart, digest, listed, matches, of_kind, unmarked
 
 KINDS = ("assign", "access", "hex", "weak_secret", "identifier", "endpoint")
 ASSIGN, ACCESS, HEX, WEAK, IDENTIFIER, ENDPOINT = range(6)
@@ -36,7 +36,7 @@ ROLE_OF_KIND = {ASSIGN: SECRET, ACCESS: ID, HEX: SECRET, WEAK: SECRET, IDENTIFIE
 def base_spans(text: Column) -> Column:
     """The strong spans: assignments with a value of 12 characters or more, access keys, long runs of hex digits."""
     assign = F.filter(matches(text, ASSIGN_PATTERN, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN_PATTERN, 1)) >= 12)
-    return F.concat(assign, matches(text, ACCESS_PATTERN, ACCESS, text.contains("AKIA") & text.rlike(ACCESS_PATTERN)), matches(text, HEX_PATTERN, HEX))
+    return F.concat(assign, matches(text, ACCESS_PATTERN, ACCESS, text.contains("AKIA")), matches(text, HEX_PATTERN, HEX))
 
 
 def weak_spans(text: Column, strong: Column) -> Column:
@@ -44,12 +44,12 @@ def weak_spans(text: Column, strong: Column) -> Column:
     # A digit and a letter: UUIDs, lower-case and base32 keys count; whether they are reported is for their complement to say.
     looks_random = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= DISTINCT_CHARS)
     found = F.concat(F.filter(matches(text, WEAK_PATTERN, WEAK), looks_random), matches(text, IDENTIFIER_PATTERN, IDENTIFIER), matches(text, ENDPOINT_PATTERN, ENDPOINT))
-    return F.filter(found, lambda w: ~F.exists(strong, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    return apart(found, strong)
 
 
 def spotted(docs: DataFrame) -> DataFrame:
     """doc_id, tl_strong, tl_weak and tl_key of every row; rows of equal doc_id and parts share a key."""
-    own = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("tl_strong"))
+    own = docs.select("doc_id", unmarked(text_or_empty()).alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("tl_strong"))
     own = own.select("doc_id", "tl_strong", weak_spans(F.col("text"), F.col("tl_strong")).alias("tl_weak"))
     key = F.md5(F.concat_ws("\0", F.col("doc_id").cast("string"), listed(F.concat("tl_strong", "tl_weak"), KINDS)))
     return own.select("doc_id", "tl_strong", "tl_weak", F.when(F.size("tl_weak") > 0, key).alias("tl_key"))

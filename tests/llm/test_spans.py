@@ -100,24 +100,108 @@ def test_disclosure_of_one_document(spark, monkeypatch, most):
     assert clean[51] == f"{common} filler [...] [ip]" and clean[60] == "filler xyzzy" and clean[61] is None
 
 
-def test_disclosure_against_brute_force(spark):
+def brute_terms(texts):
+    """The disclosive terms of each text, from counts over the distinct texts."""
     import math
+
+    words = {t: {w.strip(",") for w in t.split()} for t in texts}
+    n, have, pair = len(words), {}, {}
+    for own in words.values():
+        for w in own:
+            have[w] = have.get(w, 0) + 1
+        for e in (w for w in own if "@" in w):
+            for w in own:
+                pair[e, w] = pair.get((e, w), 0) + 1
+    out = {}
+    for t, own in words.items():
+        for w in (w for w in own if "@" not in w):
+            for (e, x), both in pair.items():
+                bits = math.log2(n / have[e])
+                open_ = math.log2(have[w] / both)
+                if x == w and bits > 0 and ((e in own and bits - open_ >= pii.DISCLOSURE * bits) or (both >= pii.SUPPORT and open_ <= pii.HIDDEN)):
+                    out.setdefault(t, set()).add(w)
+    return {t: sorted(out.get(t, ())) for t in texts}
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_disclosure_against_brute_force(spark, monkeypatch, most):
     import random
 
+    monkeypatch.setattr(pii, "MOST_ROWS", most)
     rnd = random.Random(5)
     word = lambda: "w" + str(int(rnd.expovariate(0.04))).translate(str.maketrans("0123456789", "abcdefghij")) + "x"
     texts = [(i, " ".join(["the", *(word() for _ in range(25)), "end,"] + [f"u{rnd.randrange(9)}@x.org"] * (i % 3 > 0) + [f"v{i}@y.org"] * (i % 4 == 0))) for i in range(60)]
-    texts += texts[:3]  # repeated rows
-    words = [{w.strip(",") for w in t.split()} for _, t in texts]
-    df = lambda *of: sum(set(of) <= w for w in words)
-    exp = []
-    for (i, _), own in zip(texts, words, strict=True):
-        ents, terms = [w for w in own if "@" in w], [w for w in own if "@" not in w]
-        bits = lambda e: math.log2(len(texts) / df(e))
-        exp.append((i, sorted(t for t in terms if any(bits(e) - math.log2(df(t) / df(e, t)) >= pii.DISCLOSURE * bits(e) for e in ents))))
+    texts += texts[:3] + [(100 + i, texts[1][1]) for i in range(4)]  # repeated rows and copies
+    exp = brute_terms([t for _, t in texts])
     found = pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], sorted({s["value"] for s in r["tl_terms"]})) for r in found) == sorted(exp)
-    assert 20 < sum(len(t) for _, t in exp) < sum(map(len, words))
+    assert sorted((r["doc_id"], sorted({s["value"] for s in r["tl_terms"]})) for r in found) == sorted((i, exp[t]) for i, t in texts)
+    without = [t for _, t in texts if "@" not in t and exp[t]]
+    assert 20 < sum(map(len, exp.values())) and without  # some texts without an entity hold terms too
+
+
+def test_telling_terms_go_everywhere(spark):
+    """A note that holds a telling term and no address loses the term; copies of it lend the term no weight."""
+    rows = [(i, f"common words here then zyxxy jane@example.com follows with common words {i}") for i in range(3)]
+    rows += [(10 + i, f"common words here then follows with something {i}") for i in range(40)] + [(70, "a note on Zyxxy, and (zyxxy) again"), (71, None), (72, "")]
+    rows += [(80 + i, "plover words of lone@example.com") for i in range(5)] + [(90, "plover alone")]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[70] == "a note on [...], and ([...]) again" and clean[10] == rows[3][1]
+    assert clean[84] == "[...] words of [email]" and clean[90] == "plover alone"  # one distinct text is a chance neighbour
+
+
+def test_long_texts_are_linear(spark):
+    """A text of 1 MB with tens of thousands of matches, overlaps and weak parts."""
+    n = 20_000
+    text = " ".join(f"{i % 250}.{i % 99}.3.4 a{i}@b.org 0123456789abcdef{i:05x}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = df.select(pii.base_spans(F.col("text")).alias("s"), "text").select("s", pii.masked(F.col("text"), F.col("s")).alias("m")).first()
+    assert sorted((s["start"], s["kind"], s["end"]) for s in found["s"]) == sorted(cases.pii_spans(text)) and len(found["s"]) > n
+    assert not cases.pii_spans(found["m"])
+    strong = df.select(secrets.base_spans(F.col("text")).alias("s"), "text").select("s", secrets.weak_spans(F.col("text"), F.col("s")).alias("w")).first()
+    assert sorted((s["start"], s["kind"], s["end"]) for s in strong["s"]) == sorted(cases.secret_spans(text)) and not strong["w"]
+
+
+def test_span_helpers(spark):
+    """Splicing, overlap and membership against plain loops, over random spans."""
+    import random
+
+    from tagloom.llm import spans
+
+    rnd, rows = random.Random(3), []
+    for i in range(60):
+        text = "".join(rnd.choice("ab\U0001f600é \n") for _ in range(rnd.choice([0, 5, 1023, 1024, 1025, 3000])))
+        ends = [sorted((rnd.randint(0, len(text)), rnd.randint(0, len(text)))) for _ in range(rnd.choice([0, 1, 2, 7, 40]))]
+        own = [(a, b, rnd.randrange(5), "v") for a, b in ends if a < b]
+        rows.append((i, text, own[::2], own[1::2]))
+    df = spark.createDataFrame(rows, f"i long, text string, a {spans.SPAN}, b {spans.SPAN}")
+    for r in df.select("i", pii.masked(F.col("text"), F.col("a")).alias("m"), pii.blanked(F.col("text"), F.col("a")).alias("n"), spans.apart(F.col("a"), F.col("b")).alias("k")).collect():
+        _, text, a, b = rows[r["i"]]
+        out, at, blank = "", 0, list(text)
+        for s, e, k, _ in sorted(a, key=lambda x: (x[0], -x[1], x[2])):
+            if s >= at:
+                out += text[at:s] + ("[...]" if pii.KINDS[k] == "term" else f"[{pii.KINDS[k]}]")
+            at = max(at, e)
+            blank[s:e] = "\0" * (e - s)
+        assert r["m"] == out + text[at:] and r["n"] == "".join(blank)
+        assert [tuple(x) for x in r["k"]] == [x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
+    words = spark.createDataFrame([(["b", "d", "f"], x) for x in "abcdefg"] + [([], "a")], "o array<string>, x string")
+    assert [r[0] for r in words.select(spans.among(F.col("o"), F.col("x"))).collect()] == [False, True, False, True, False, True, False, False]
+
+
+def test_registered_queries(spark, tmp_path):
+    """op2 and op7 as registered, over the hard cases."""
+    path = str(tmp_path)
+    cases.edge_docs(spark).write.parquet(f"{path}/documents.parquet")
+    texts = [(r[0], r[1] or "") for r in cases.rows()]
+    for query, kinds, brute, columns in ((pii.op2_pii, pii.KINDS, cases.pii_spans, ["email", "ip", "card", "phone"]), (secrets.op7_secret_scans, secrets.KINDS, cases.secret_spans, ["assign", "access", "hex"])):
+        out = query(spark, path)
+        assert out.columns == ["doc_id", *[f"n_{c}" for c in columns], "base_sha256", "spans"]
+        got = out.collect()
+        exp = sorted((str(i), *[sum(k == c for _, c, _ in brute(t)) for k in range(len(columns))], cases.sha(cases.listed(brute(t), kinds))) for i, t in texts)
+        assert sorted((str(r[0]), *r[1:-1]) for r in got) == exp
+        for r in got:  # the method only adds
+            base = [x for x in r["spans"].split(",") if x.split(":")[0] in columns]
+            assert cases.sha(",".join(base)) == r["base_sha256"]
 
 
 def test_sanitise_edges(spark):
