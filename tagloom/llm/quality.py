@@ -22,21 +22,23 @@ UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-#: The rates that get a learned cutoff: (name, SQL expression, least distance of the cutoff from the upper quartile).
+#: The rates that get learned cutoffs: (name, SQL expression, whether small values are judged too).
 METRICS = (
-    ("symbol_rate", "n_symbols / greatest(word_chars, 1)", 0.05),
-    ("punct_rate", "n_punct / greatest(word_chars, 1)", 0.08),
-    ("digit_rate", "n_digits / greatest(word_chars, 1)", 0.25),
-    ("upper_rate", "n_upper / greatest(word_chars, 1)", 0.30),
-    ("dup_line_rate", "n_dup_lines / greatest(n_lines, 1)", 0.40),
-    ("repeat_rate", "n_repeat_words / greatest(n_words, 1)", 0.30),
-    ("word_length", "word_chars / greatest(n_words, 1)", 4.0),
+    ("symbol_rate", "n_symbols / greatest(word_chars, 1)", False),
+    ("punct_rate", "n_punct / greatest(word_chars, 1)", True),
+    ("digit_rate", "n_digits / greatest(word_chars, 1)", False),
+    ("upper_rate", "n_upper / greatest(word_chars, 1)", False),
+    ("dup_line_rate", "n_dup_lines / greatest(n_lines, 1)", False),
+    ("repeat_rate", "n_repeat_words / greatest(n_words, 1)", False),
+    ("word_length", "word_chars / greatest(n_words, 1)", True),
 )
 #: A sketch bin holds values within this share of each other; so is the relative error of its quantiles.
 ACCURACY = 0.02
-#: Times the distance of the quartiles that a cutoff lies above the upper one.
-FENCE = 4.0
-#: Fewer documents than this leave the thresholds to the next coarser sketch.
+#: A value is far out if it lies this many distances of the quartiles beyond one of them, all on a logarithmic scale.
+FENCE = 3.0
+#: Values above this quantile of a large group are out in any case: bounded rates can lie in no far fence.
+TAIL = 0.998
+#: Fewer non-zero values than this leave the thresholds to the next coarser sketch; if that has too few, there are none.
 LEAST_DOCS = 40
 
 
@@ -110,63 +112,74 @@ def base_failed(f: str = "") -> Column:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Mergeable sketches: counts by (lang, source, metric, bin) of logarithmic bins, zero in a bin of its own.
+    """Mergeable sketches of the non-zero values: counts by (lang, source, metric, bin) of logarithmic bins.
 
     Counts add up in any order, so partial sketches of tasks, days or tables merge exactly, and the result does not depend
     on the order of tasks. One sketch has at most about ln(range) / ACCURACY bins.
     """
-    gamma = math.log((1 + ACCURACY) / (1 - ACCURACY))
     metric = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.expr(f"CAST({e} AS DOUBLE)").alias("v")) for n, e, _ in METRICS])).alias("m")
-    bins = rows.select("lang", "source", metric).select("lang", "source", "m.metric", F.when(F.col("m.v") <= 1e-9, -(10**6)).otherwise(F.ceil(F.log("m.v") / gamma)).cast("long").alias("bin"))
+    bins = rows.select("lang", "source", metric).where("m.v > 0").select("lang", "source", "m.metric", F.ceil(F.log("m.v") / math.log(_gamma())).cast("long").alias("bin"))
     return bins.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
 
 
+def _gamma() -> float:
+    """The ratio of the bounds of a bin."""
+    return (1 + ACCURACY) / (1 - ACCURACY)
+
+
 def cutoffs(sketch: DataFrame) -> DataFrame:
-    """(lang, source, metric, level, n, cutoff) for each language and source, each language, and all documents (nulls)."""
-    gamma = (1 + ACCURACY) / (1 - ACCURACY)
-    least = F.create_map(*[F.lit(x) for n, _, s in METRICS for x in (n, s)])
+    """(lang, source, metric, level, n, low, high) for each language and source, each language, and all documents (nulls).
+
+    Both come from the sketch alone: high is the least of the far fence above the upper quartile and the TAIL quantile, low the
+    far fence below the lower quartile. The distance of the quartiles counts as one bin where they share one. Values are the
+    upper bounds of bins (the lower one for low), so that nothing is out for being rounded.
+    """
     none = F.lit(None).cast("string")
     at = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("l"), source.alias("s"))
     levels = F.explode(F.array(at(2, F.col("lang"), F.col("source")), at(1, F.col("lang"), none), at(0, none, none))).alias("at")
     merged = sketch.select(levels, "metric", "bin", "n").groupBy("at.level", "at.l", "at.s", "metric", "bin").agg(F.sum("n").alias("n"))
     # A sketch has a bounded number of bins, whatever the number of documents: it is one short list.
     whole = merged.groupBy("level", "l", "s", "metric").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("n"))
-    value = lambda b: F.when(b == -(10**6), 0.0).otherwise(2 * F.pow(F.lit(gamma), b) / (gamma + 1))
 
     def quantile(q: float) -> Column:
         step = lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["bin"].isNull() & (acc["seen"] + x["n"] >= F.col("n") * q), x["bin"]).otherwise(acc["bin"]).alias("bin"))
         zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("bin"))
-        return value(F.aggregate("bins", zero, step)["bin"])
+        return F.aggregate("bins", zero, step)["bin"]
 
-    q1, q3 = quantile(0.25), quantile(0.75)
-    cut = q3 + F.greatest(FENCE * (q3 - q1), least[F.col("metric")])
-    return whole.select("level", "l", "s", "metric", "n", cut.alias("cutoff"))
+    value = lambda bin_: F.pow(F.lit(_gamma()), bin_) * (1 + 1e-9)
+    marks = whole.select("level", "l", "s", "metric", "n", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"), quantile(TAIL).alias("tail"))
+    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), F.lit(1))
+    low = F.pow(F.lit(_gamma()), F.col("q1") - 1 - reach) * (1 - 1e-9)
+    return marks.select("level", "l", "s", "metric", "n", low.alias("low"), value(F.least(F.col("q3") + reach, F.col("tail"))).alias("high"))
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """One row (lang, source) -> map metric -> cutoff, from the finest sketch of at least LEAST_DOCS documents."""
+    """One row (lang, source) -> map metric -> (low, high, level), from the finest sketch of at least LEAST_DOCS values."""
     sketch = written(sketches(rows), "sketches")
-    cuts = written(cutoffs(sketch), "cutoffs")
-    groups = sketch.select("lang", "source", "metric").distinct()
-    out = groups
+    cuts = written(cutoffs(sketch).where(F.col("n") >= LEAST_DOCS), "cutoffs")
+    groups = rows.select("lang", "source").distinct()
+    out = groups.select("lang", "source", F.explode(F.array(*[F.lit(n) for n, _, _ in METRICS])).alias("metric"))
     for level, on in ((2, ("l", "s")), (1, ("l",)), (0, ())):
-        part = cuts.where(F.col("level") == level).where((F.col("n") >= LEAST_DOCS) | (F.lit(level) == 0)).select(F.col("l").alias(f"l{level}"), F.col("s").alias(f"s{level}"), F.col("metric").alias(f"m{level}"), F.col("cutoff").alias(f"c{level}"))
+        part = cuts.where(F.col("level") == level).select(F.col("l").alias(f"l{level}"), F.col("s").alias(f"s{level}"), F.col("metric").alias(f"m{level}"), F.struct("low", "high", "level").alias(f"c{level}"))
         cond = F.col("metric") == F.col(f"m{level}")
         for x, c in (("l", "lang"), ("s", "source")):
             if x in on:
                 cond = cond & F.col(c).eqNullSafe(F.col(f"{x}{level}"))
         out = out.join(part, cond, "left").drop(f"l{level}", f"s{level}", f"m{level}")
-    out = out.select("lang", "source", "metric", F.coalesce("c2", "c1", "c0").alias("cutoff"))
-    return out.groupBy(F.col("lang").alias("q_lang"), F.col("source").alias("q_source")).agg(F.map_from_entries(F.collect_list(F.struct("metric", "cutoff"))).alias("q_cutoffs"))
+    out = out.select("lang", "source", "metric", F.coalesce("c2", "c1", "c0").alias("cut")).where("cut IS NOT NULL")
+    return out.groupBy(F.col("lang").alias("q_lang"), F.col("source").alias("q_source")).agg(F.map_from_entries(F.collect_list(F.struct("metric", "cut"))).alias("q_cutoffs"))
 
 
 def within(cutoffs_col: str = "q_cutoffs", f: str = "") -> Column:
-    """True where every rate is at most its cutoff."""
+    """True where every rate is at most its upper cutoff and, if it is not zero and small values are judged, at least its lower."""
     ok = F.lit(True)
-    for name, expr, _ in METRICS:
+    for name, expr, both in METRICS:
         for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_punct", "n_digits"):
             expr = expr.replace(x, f"{f}{x}") if f else expr
-        ok = ok & (F.expr(f"CAST({expr} AS DOUBLE)") <= F.coalesce(F.element_at(cutoffs_col, F.lit(name)), F.lit(float("inf"))))
+        rate, cut = F.expr(f"CAST({expr} AS DOUBLE)"), F.element_at(cutoffs_col, F.lit(name))
+        ok = ok & (rate <= F.coalesce(cut["high"], F.lit(float("inf"))))
+        if both:
+            ok = ok & ((rate == 0) | (rate >= F.coalesce(cut["low"], F.lit(0.0))))
     return ok
 
 
@@ -177,9 +190,10 @@ MOST_GROUPS = 50_000
 def quality_rules(docs: DataFrame) -> DataFrame:
     """doc_id, the features, base_failed and kept of every document.
 
-    Learns cutoffs from the documents that pass the base rule, per language and source (nulls are a group of their own; small
-    groups fall back to the language, then to all documents), and joins them back. Null and empty texts have no words and so
-    fail the base rule. Repeated rows give repeated results, an empty table an empty one; further columns are not read.
+    Learns cutoffs from the documents that pass the base rule, per language and source (nulls are a group of their own; groups
+    with few non-zero values fall back to the language, then to all documents, then to none), and joins them back. Null and
+    empty texts have no words and so fail the base rule. A value equal to a cutoff is within. Repeated rows count and give
+    repeated results, an empty table an empty one; further columns are not read.
     """
     modest_batches(docs.sparkSession)
     own = docs.select("doc_id", F.col("lang").cast("string"), F.col("source").cast("string"), features(F.col("text")).alias("f")).select("doc_id", "lang", "source", "f.*")
@@ -190,15 +204,19 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that quality_rules keeps, all columns as they were; texts are not shuffled."""
+    """The documents that quality_rules keeps, all columns as they were; its cases hold.
+
+    Rows are written once beside their features, which are computed once; texts are not shuffled.
+    """
     modest_batches(docs.sparkSession)
     with_f = packed(docs).select("tl_row", features(row("text")).alias("tl_f"), row("lang").cast("string").alias("lang"), row("source").cast("string").alias("source"))
-    rows = written(with_f.select("lang", "source", "tl_f.*").withColumn("base_failed", base_failed()), "features")
-    cuts = small_side(thresholds(rows.where(~F.col("base_failed"))), MOST_GROUPS)
-    joined = with_f.where(~base_failed("tl_f.")).join(cuts, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
+    rows = written(with_f.where(~base_failed("tl_f.")), "features")
+    cuts = small_side(thresholds(rows.select("lang", "source", "tl_f.*")), MOST_GROUPS)
+    joined = rows.join(cuts, F.col("lang").eqNullSafe(F.col("q_lang")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
     return unpacked(joined.where(within(f="tl_f.")), docs.columns)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdicts; the cases of quality_rules hold."""
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -186,15 +186,54 @@ def test_cutoffs_adapt(spark):
     assert not kept.pop(999) and all(kept.values())
 
 
-def test_sketch_quantiles(spark):
-    """Quantiles from the bins are within the accuracy, and sketches of parts add up to that of the whole."""
+def rates_of(t):
+    n_words, word_chars, symbols, dup, repeat, lines, upper, punct, digits = quality.text_features(t)
+    chars = max(word_chars, 1)
+    return {"symbol_rate": symbols / chars, "punct_rate": punct / chars, "digit_rate": digits / chars, "upper_rate": upper / chars, "dup_line_rate": dup / max(lines, 1), "repeat_rate": repeat / max(n_words, 1), "word_length": word_chars / max(n_words, 1)}
+
+
+def brute_cutoffs(values):
+    """Cutoffs by sorted values, rounded up to the bounds of bins."""
+    import math
+
+    gamma = (1 + quality.ACCURACY) / (1 - quality.ACCURACY)
+    bins = sorted(math.ceil(math.log(v) / math.log(gamma)) for v in values if v > 0)
+    if len(bins) < quality.LEAST_DOCS:
+        return None
+    q1, q3, tail = (bins[max(math.ceil(q * len(bins)) - 1, 0)] for q in (0.25, 0.75, quality.TAIL))
+    reach = quality.FENCE * max(q3 - q1, 1)
+    return gamma ** (q1 - 1 - reach) * (1 - 1e-9), gamma ** min(q3 + reach, tail) * (1 + 1e-9)
+
+
+def test_kept_against_brute_force(spark, sf):
+    """kept of every document against quantiles of sorted values, and most cutoffs are the groups' own."""
+    rows = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    good = [r for r in rows if slow_features(r["text"])[0] >= 20 and 100 * slow_features(r["text"])[4] <= 30 * slow_features(r["text"])[0]]
+    rate, exp, cuts = {r["doc_id"]: rates_of(r["text"]) for r in good}, set(), set()
+    at = {}
+    for r in good:
+        for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+            at.setdefault(key, []).append(rate[r["doc_id"]])
+    cut_of = {(key, m): brute_cutoffs([x[m] for x in of]) for key, of in at.items() for m, _, _ in quality.METRICS}
+    for r in good:
+        ok = True
+        for m, _, both in quality.METRICS:
+            cut = next((c for key in ((r["lang"], r["source"]), (r["lang"],), ()) if (c := cut_of[key, m])), None)
+            v = rate[r["doc_id"]][m]
+            if cut:
+                cuts.add((m, round(cut[1], 9)))
+                ok &= v <= cut[1] and not (both and 0 < v < cut[0])
+        if ok:
+            exp.add(r["doc_id"])
+    got = {r["doc_id"] for r in quality.op9_quality_rules(spark, sf.replace("0.001", "0.01")).where("kept").collect()}
+    assert got == exp and 0.8 * len(good) < len(exp) < len(good)
+    assert len(cuts) > 2 * len(quality.METRICS)  # cutoffs differ by group
+
+
+def test_sketches_merge(spark):
+    """Sketches of parts add up to that of the whole."""
     rows = spark.createDataFrame([(i, cases.prose(i, 30 + i % 50), "en", "a") for i in range(200)], "doc_id long, text string, lang string, source string")
     f = rows.select("lang", "source", quality.features(F.col("text")).alias("f")).select("lang", "source", "f.*")
-    cut = {r["metric"]: r["cutoff"] for r in quality.cutoffs(quality.sketches(f)).where("level = 0").collect()}
-    v = np.sort([r["word_chars"] / r["n_words"] for r in f.collect()])
-    q1, q3 = v[int(np.ceil(0.25 * len(v))) - 1], v[int(np.ceil(0.75 * len(v))) - 1]
-    spread = max(quality.FENCE * (q3 - q1), 4.0)
-    assert cut["word_length"] == pytest.approx(q3 + spread, rel=3 * quality.ACCURACY)
     parts = quality.sketches(f.where("n_words % 2 = 0")).unionByName(quality.sketches(f.where("n_words % 2 = 1")))
     merged = parts.groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"))
     assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, quality.sketches(f).select(*merged.columns).collect()))
