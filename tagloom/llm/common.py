@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -18,24 +20,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, the context's checkpoint folder; without one, a temporary folder in local mode, and an error elsewhere:
+    on a cluster each executor would write to a disk of its own.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        if found:
-            path = found
-        else:
-            path = "file://" + os.path.join(tempfile.gettempdir(), "tagloom-checkpoints")
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), "tagloom-checkpoints")
     return path.rstrip("/")
 
 
+#: Helper tables that are still there, with the session that wrote each.
+_helpers: dict[str, SparkSession] = {}
+
+
+def helper_path(spark: SparkSession, name: str) -> str:
+    """A new path for a helper table, which is deleted by discard() or when Python ends."""
+    path = f"{shared_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
+    _helpers[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom/{name}-{uuid.uuid4().hex}"
+    path = helper_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.tl_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _helpers.pop(path, None)
+    if spark is not None:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes helper tables that written() returned and that nothing reads any more."""
+    for t in tables:
+        _delete(t.tl_path)
+
+
+def helpers() -> set[str]:
+    """The paths of the helper tables that are there."""
+    return set(_helpers)
+
+
+def discard_new(before: set[str], *kept: DataFrame) -> None:
+    """Deletes the helper tables made since helpers() gave before, but for kept ones; for callers that run one query at a time."""
+    for path in helpers() - before - {t.tl_path for t in kept}:
+        _delete(path)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_helpers):
+        with contextlib.suppress(Exception):  # the JVM may be gone before Python ends
+            _delete(path)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -47,6 +94,24 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Keys that spread() may find heavy: the bound of what it broadcasts.
+MOST_HEAVY = 20_000
+
+
+def spread(rows: DataFrame, facts: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which has one row a key and in tl_n how many of the total rows have it; columns of both.
+
+    A key with more than 2 / MOST_HEAVY of all rows is heavy. By counting there are at most MOST_HEAVY / 2 of these, so their
+    facts are broadcast and their rows stay where they are; the rows of all other keys are dealt out by key.
+    """
+    least = max(2 * total // MOST_HEAVY, 64)
+    heavy = facts.where(F.col("tl_n") > least).drop("tl_n")
+    marked = rows.join(F.broadcast(heavy.withColumn("tl_heavy", F.lit(True))), key, "left")
+    there = marked.where("tl_heavy").drop("tl_heavy")
+    rest = marked.where("tl_heavy IS NULL").select(*rows.columns)
+    return there.unionByName(rest.join(facts.where(F.col("tl_n") <= least).drop("tl_n"), key, how).select(*there.columns))
+
+
 def ship(module_name: str) -> None:
     """Sends the functions of a module to Python workers by value, so that executors need no copy of this package."""
     import sys

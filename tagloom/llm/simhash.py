@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, modest_batches, packed, row, ship, small_side, table, unpacked, written
+from .common import discard, lean, modest_batches, packed, row, ship, small_side, spread, table, unpacked, written
 from .components import components
 
 ship(__name__)
@@ -264,16 +264,16 @@ def near_groups(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     an empty table gives an empty result; columns besides doc_id and text are not read.
     """
     fps = written(fingerprints(docs), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    n = classes.count()
-    if n < 2:
-        return fps.join(classes, "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))
-    roots = components(fingerprint_edges(classes, n, most_bits)).withColumnRenamed("node", "fp")
-    rooted = classes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    ids = rooted.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id")
-    return fps.join(ids, F.col("fp") == F.col("c_fp")).select("doc_id", "fp", "component_id")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("tl_n")), "classes")
+    sizes = classes.agg(F.count("*").alias("n"), F.sum("tl_n").alias("rows")).first()
+    if sizes["n"] < 2:
+        return fps.join(F.broadcast(classes), "fp").select("doc_id", "fp", F.col("rep").alias("component_id"))  # one row at most
+    roots = components(fingerprint_edges(classes, sizes["n"], most_bits)).withColumnRenamed("node", "fp")
+    rooted = written(classes.join(roots, "fp", "left").select("fp", "rep", "tl_n", F.coalesce("root", "fp").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("tl_n")), "least")
+    ids = written(spread(rooted.select("fp", "root", F.col("tl_n").alias("copies")), least, "root", sizes["n"]).select("fp", "component_id", F.col("copies").alias("tl_n")), "ids")
+    discard(classes, rooted, least)
+    return spread(fps, ids, "fp", sizes["rows"]).select("doc_id", "fp", "component_id")
 
 
 #: Dropped documents up to which their ids are broadcast; beyond, the anti join is by shuffle.
@@ -283,7 +283,9 @@ MOST_DROPPED = 200_000
 def drop_near(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id, all columns as they were.
 
-    doc_id is the key: rows that share one are judged together, and of those that stay the one of the least text stays.
+    doc_id is the key: rows that share one are judged together, and of those that stay the one of the least text stays, then of
+    the least row as JSON; rows without a doc_id are one such group, and go if their group has a doc_id. Null and empty texts
+    are one group. An empty table gives an empty one.
     """
     groups = written(near_groups(docs, most_bits), "near-groups")
     dropped = groups.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("tl_drop"))
@@ -294,12 +296,13 @@ def drop_near(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
         return unpacked(left, docs.columns)
     again = small_side(twice, MOST_DROPPED)
     repeated = row("doc_id").eqNullSafe(F.col("tl_twice"))
-    order = F.struct(row("text").alias("tl_text"), F.col("tl_row"))
-    first = left.join(again, repeated, "left_semi").groupBy(row("doc_id").alias("tl_id")).agg(F.min(order)["tl_row"].alias("tl_row"))
+    order = F.struct(row("text").alias("tl_text"), F.to_json("tl_row").alias("tl_json"))  # rows may hold maps, which have no order
+    first = left.join(again, repeated, "left_semi").groupBy(row("doc_id").alias("tl_id")).agg(F.min_by("tl_row", order).alias("tl_row"))
     return unpacked(left.join(again, repeated, "left_anti").unionByName(first.select("tl_row")), docs.columns)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; the cases of near_groups hold."""
     out = near_groups(table(spark, sf_dir, "documents"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return out.select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -104,6 +104,28 @@ def test_near_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
+def test_drop_near_edges(spark):
+    """A column of maps, repeated rows, and rows without a doc_id; helper tables go with components."""
+    rows = [(1, "one two three four five", {"a": 1}), (1, "one two three four five", {"a": 2}), (None, "six seven eight nine", None), (None, "six seven eight nine ten", {}), (2, None, None), (3, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>")
+    kept = simhash.drop_near(docs)
+    assert kept.columns == docs.columns and sorted(str(tuple(r)) for r in kept.collect()) == sorted(["(1, 'one two three four five', {'a': 1})", "(None, 'six seven eight nine', None)", "(2, None, None)"])
+
+
+def test_op8_as_registered(spark, tmp_path):
+    cases.edge_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = simhash.op8_simhash_near_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert sorted((str(r[0]), r[1]) for r in out.collect()) == sorted((str(r[0]), f"{slow_fingerprint(r[1]):016x}") for r in cases.rows())
+
+
+def test_hubs(spark, monkeypatch):
+    """Stars beyond the bound of a heavy node, joined by broadcast, beside a long path."""
+    edges = [(0, i) for i in range(1, 300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(20)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {v: 0 if v < 1000 else 1000 if v < 2000 else 2000 for e in edges for v in e}
+
+
 @pytest.mark.parametrize("bucket", [8192, 40])
 def test_links_of_clumps(spark, monkeypatch, bucket):
     """Dense clumps, chains and strangers; with small buckets the blocks are compared too."""
