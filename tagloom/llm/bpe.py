@@ -53,6 +53,7 @@ _built: dict[str, object] = {}
 
 
 def encode_words(config: str, words: list[str]) -> list[list[int]]:
+    """The ids of each word, by the tokenizer file whose JSON is config; no words give no ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -283,47 +284,31 @@ def _decode_rows(pieces):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
         for b in batches:
-            out = [" ".join(map(table.__getitem__, x.as_py() or ())) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            ids, starts = np.asarray(b.column(1).flatten()), np.cumsum([0, *np.asarray(b.column(1).value_lengths().fill_null(0))])
+            out = [" ".join(map(table.__getitem__, ids[lo:hi].tolist())) for lo, hi in zip(starts[:-1], starts[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["doc_id", "ids", "text"])
 
     return rows
 
 
 def decode(ids: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids): the pieces of the ids, joined by a space, as the vocabulary has no decoder.
+    """(doc_id, ids, text) of rows (doc_id, ids): the pieces of the ids, joined by a space, as the vocabulary has no decoder.
 
-    The table of pieces has as many rows as the vocabulary, a proven bound, and is joined by broadcast. Null ids count as none.
+    The table of pieces has as many rows as the vocabulary, a proven bound, and is joined by broadcast. Null ids count as none;
+    repeated rows give repeated results, an empty table an empty one.
     """
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         pieces = ids.sparkSession.sparkContext.broadcast(piece_table(f.read()))
-    return ids.select("doc_id", "ids").mapInArrow(lean(_decode_rows(pieces)), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(_decode_rows(pieces)), f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
-def _digest_rows(pieces):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
-        names = list(map(str, range(len(table))))
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for b in batches:
-            ids, starts = np.asarray(b.column(1).flatten()), np.cumsum([0, *(np.asarray(b.column(1).value_lengths()))])
-            n, id_sha, text_sha = [], [], []
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                own = ids[lo:hi].tolist()
-                n.append(len(own))
-                id_sha.append(sha(" ".join(map(names.__getitem__, own))))
-                text_sha.append(sha(" ".join(map(table.__getitem__, own))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(id_sha), pa.array(text_sha)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows
-
-
-def digests(ids: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of their decoded text; decodes as decode() does, in the same pass."""
-    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        pieces = ids.sparkSession.sparkContext.broadcast(piece_table(f.read()))
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.select("doc_id", "ids").mapInArrow(lean(_digest_rows(pieces)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(decoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids and of the text of rows (doc_id, ids, text); null ids count as none."""
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    listed = F.array_join(ids.cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    """Every document's ids and decoded text as digests; the cases of encode and decode hold."""
+    return digests(decode(encode(table(spark, sf_dir, "documents"))))

@@ -14,19 +14,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, modest_batches, ship, table
+from .common import discard, lean, modest_batches, ship, table, written
 
 ship(__name__)
 
 #: Code points in an n-gram; words are set apart by one space.
 NGRAM = 4
-#: Slots of the table (a power of two), and slots that an n-gram takes.
-SLOTS, HASHES = 1 << 20, 2
+#: Least slots of the table, a power of two; it has SPARE or more for each n-gram of the largest filter. Slots of an n-gram.
+SLOTS, SPARE, HASHES = 1 << 20, 16, 2
 #: About the most labelled documents a language that the filters learn from, whole, in the order of a hash of doc_id: the
 #: documented bound of the fit.
 TRAIN_DOCS = 2_000
-#: Most n-grams a language that a filter holds: the most frequent of those typical of it.
-FILTER_GRAMS = 30_000
 #: An n-gram is typical of the languages in which its share is at least this part of its largest share.
 TYPICAL = 0.2
 
@@ -61,9 +59,10 @@ def _letters(points: np.ndarray) -> np.ndarray:
     return low
 
 
-def slots(code: np.ndarray) -> list[np.ndarray]:
+def slots(code: np.ndarray, size: int) -> list[np.ndarray]:
+    """The HASHES slots of each n-gram in a table of size slots, a power of two."""
     mixed = code ^ (code >> np.uint64(29))
-    return [((mixed * (SLOT_A if i == 0 else SLOT_B)) >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64) for i in range(HASHES)]
+    return [((mixed * (SLOT_A if i == 0 else SLOT_B)) >> np.uint64(64 - (size.bit_length() - 1))).astype(np.int64) for i in range(HASHES)]
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +87,8 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counted()
 
 
-def training_docs(docs: DataFrame) -> DataFrame:
-    """(lang, text) of a bounded sample: about TRAIN_DOCS documents a language at most.
+def training_docs(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) of a bounded sample, about TRAIN_DOCS documents a language at most, and the labelled documents of each.
 
     Which ones is decided by the smallest hashes of doc_id. Each language's bound is found on a histogram of 4096 hash
     ranges, so no language is gathered in one task.
@@ -108,10 +107,11 @@ def training_docs(docs: DataFrame) -> DataFrame:
             if left <= 0:
                 break
         bound.append((lang, end))
+    sizes = {lang: sum(n for _, n in cells) for lang, cells in hist.items()}
     if not bound:
-        return own.select("lang", "text").limit(0)
+        return own.select("lang", "text").limit(0), sizes
     limits = F.broadcast(docs.sparkSession.createDataFrame(bound, "b_lang string, bound long"))  # a row a language
-    return own.join(limits, (F.col("lang") == F.col("b_lang")) & (F.col("h") < F.col("bound"))).select("lang", "text")
+    return own.join(limits, (F.col("lang") == F.col("b_lang")) & (F.col("h") < F.col("bound"))).select("lang", "text"), sizes
 
 
 class Filters:
@@ -120,17 +120,20 @@ class Filters:
     def __init__(self, langs: list[str], chosen: list[np.ndarray]):
         self.langs = langs
         self.words = max(1, (len(langs) + 63) // 64)
-        self.table = np.zeros((SLOTS, self.words), np.uint64)
+        size = max(SLOTS, 1 << (SPARE * max(map(len, chosen), default=1) - 1).bit_length())
+        self.table = np.zeros((size, self.words), np.uint64)
         for i, code in enumerate(chosen):
-            for s in slots(code):
+            for s in slots(code, size):
                 np.bitwise_or.at(self.table[:, i // 64], s, np.uint64(1 << (i % 64)))
         fill = np.array([((self.table[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean() for i in range(len(langs))])
         self.false_rate = fill**HASHES
         self.share = np.ones(len(langs))
+        self.first = 0
 
     def state(self) -> tuple:
-        """Plain data for the workers: languages, table, false-positive rates, and the share of n-grams that a filter covers."""
-        return self.langs, self.table, self.false_rate, self.share
+        """Plain data for the workers: languages, table, false-positive rates, the share of n-grams that a filter covers, and
+        the place of the language of most labelled documents."""
+        return self.langs, self.table, self.false_rate, self.share, self.first
 
     def predict(self, text: str | None) -> tuple[str, float]:
         return decide(self.state(), text)
@@ -138,10 +141,10 @@ class Filters:
 
 def popcounts(state: tuple, code: np.ndarray) -> np.ndarray:
     """n-grams of the text that each language holds, corrected for false positives."""
-    langs, table_, false_rate, _ = state
-    held = table_[slots(code)[0]]
-    for s in slots(code)[1:]:
-        held &= table_[s]
+    langs, table_, false_rate = state[:3]
+    held, *more = (table_[s] for s in slots(code, len(table_)))
+    for x in more:
+        held &= x
     out = np.zeros(len(langs))
     if table_.shape[1] == 1:  # by the distinct masks
         mask, n = np.unique(held[:, 0], return_counts=True)
@@ -154,36 +157,41 @@ def popcounts(state: tuple, code: np.ndarray) -> np.ndarray:
 
 
 def decide(state: tuple, text: str | None) -> tuple[str, float]:
-    """The language of the largest corrected popcount for its filter's coverage, and its part of the sum of all."""
-    langs, share = state[0], state[3]
+    """The language of the largest corrected popcount for its filter's coverage, and its part of the sum of all.
+
+    Ties go to the first in alphabetical order. Without any known n-gram the language of most labelled documents is named, with
+    score 0.
+    """
+    langs, share, first = state[0], state[3], state[4]
     code = grams(text) if text else np.zeros(0, np.uint64)
     if not len(code) or not langs:
         return "und", 0.0
     part = popcounts(state, code) / share
     best = int(np.argmax(part))
     total = part.sum()
-    return langs[best], float(part[best] / total) if total > 0 else 1.0 / len(langs)
+    return (langs[best], float(part[best] / total)) if total > 0 else (langs[first], 0.0)
 
 
 def fit(docs: DataFrame) -> Filters:
     """Filters from the (doc_id, text, lang) rows of docs with neither text nor language null.
 
-    At most FILTER_GRAMS rows a language reach the driver; all counting is in Spark.
+    All counting is in Spark. The typical n-grams of the bounded sample reach the driver, all of them, and no others. A language
+    whose texts have no letter is not learned.
     """
-    from pyspark.sql import Window
-
     modest_batches(docs.sparkSession)
-    counts = training_docs(docs).mapInArrow(lean(_gram_rows), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample, sizes = training_docs(docs)
+    counts = sample.mapInArrow(lean(_gram_rows), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = written(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where("n >= 2")
+    rate = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))  # a row a language
     top = rate.groupBy("gram").agg(F.max("rate").alias("top"))
     typical = rate.join(top, "gram").where(F.col("rate") >= TYPICAL * F.col("top"))
-    # The sample is bounded, and so is the number of its n-grams.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = typical.select("lang", "gram", "n", "rate", rank.alias("r")).where(F.col("r") <= FILTER_GRAMS).select("lang", "gram", "rate").orderBy("lang", "gram").toPandas()
+    rows = typical.select("lang", "gram", "rate").orderBy("lang", "gram").toPandas()
+    discard(counts)
     langs = sorted(rows["lang"].unique())
     out = Filters(langs, [rows.loc[rows["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in langs])
     out.share = np.array([max(rows.loc[rows["lang"] == x, "rate"].sum(), 1e-9) for x in langs])
+    out.first = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i), default=0)
     return out
 
 
@@ -200,8 +208,9 @@ def _predict_rows(filters):
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from its whole text alone.
 
-    Null texts and texts without a letter are `und` with score 0, as is everything if nothing was learned. Repeated rows give
-    repeated results, an empty table an empty one; columns besides doc_id and text are not read.
+    Null texts and texts without a letter are `und` with score 0, as is everything if nothing was learned; letters without a
+    known n-gram get the language of most labelled documents with score 0. Repeated rows give repeated results, an empty table
+    an empty one; columns besides doc_id and text are not read.
     """
     modest_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters.state())
@@ -214,6 +223,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; the cases of predict hold, and those without a doc_id are not held out."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs.where(~held_out(F.col("doc_id")))))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

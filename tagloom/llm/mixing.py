@@ -21,12 +21,15 @@ TERMS = 96
 MOST_SOURCES = 20_000
 
 
-def rates(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
-    """(source, rate): the mean number of copies that gives each source its share of epochs * N documents. A null source is one."""
+def rates(docs: DataFrame, weights: dict[str, float] | DataFrame = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
+    """(source, rate): the mean number of copies that gives each source its share of epochs * N documents. A null source is one.
+
+    weights: by source, or a table (source, weight) with a row a source; sources it lacks weigh DEFAULT_WEIGHT.
+    """
     counts = docs.groupBy("source").agg(F.count("*").alias("n"))
-    named = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv]) if weights else None
-    weight = F.coalesce(named[F.col("source")], F.lit(DEFAULT_WEIGHT)) if named is not None else F.lit(DEFAULT_WEIGHT)
-    weighted = counts.withColumn("weight", weight)
+    given = weights if isinstance(weights, DataFrame) else docs.sparkSession.createDataFrame(sorted(weights.items()), "source string, weight double")
+    given = given.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
+    weighted = counts.join(given, F.col("source") == F.col("w_source"), "left").select("source", "n", F.coalesce("weight", F.lit(DEFAULT_WEIGHT)).alias("weight"))
     total = weighted.agg(F.sum("weight").alias("all_weight"), F.sum("n").alias("all_n"))
     return weighted.crossJoin(F.broadcast(total)).select("source", (F.col("weight") / F.col("all_weight") * F.col("all_n") * epochs / F.col("n")).alias("rate"))  # total is one row
 
@@ -55,7 +58,7 @@ def copies(doc_id: Column, rate: Column, seed: str = SEED) -> tuple[Column, Colu
     return cdf, F.aggregate(F.transform(F.sequence(F.lit(0), parts - 1), draw), F.lit(0), below)
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+def replicate(docs: DataFrame, weights: dict[str, float] | DataFrame = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """(tl_row, tl_rate, tl_copies, tl_replica, tl_order): each row of docs as often as drawn, in no particular order."""
     cdf, drawn = copies(row("doc_id"), F.col("tl_rate"), seed)
     table_ = rates(docs, weights, epochs).select(F.col("source").alias("tl_source"), F.col("rate").alias("tl_rate"))
@@ -66,20 +69,26 @@ def replicate(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: floa
     return exploded.select("tl_row", "tl_rate", "tl_copies", "tl_replica", order.alias("tl_order"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | DataFrame = WEIGHTS, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """Each document as often as a Poisson draw of its source's rate says, in a global order by hash; columns as they were.
 
     The draw depends on seed and doc_id alone, so a rerun or a lost task gives the same; rows of one doc_id draw alike, those
-    without a doc_id as one. A null source has the default weight. An empty table gives an empty one.
+    without a doc_id as one. Rows of equal order are in that of their texts' hashes. A null source has the default weight; null texts
+    are rows like any other. An empty table gives an empty one.
     """
-    rows = replicate(docs, weights, epochs, seed)
-    return unpacked(rows.repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order"), docs.columns)
+    return unpacked(_shuffled(replicate(docs, weights, epochs, seed)), docs.columns)
+
+
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """The rows in a global order by tl_order, with ties by the row's hash of text."""
+    return rows.repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order", F.xxhash64(row("text")))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rows = replicate(docs).repartitionByRange(F.col("tl_order")).sortWithinPartitions("tl_order")
-    return rows.select(row("doc_id").alias("doc_id"), row("source").alias("source"), F.round("tl_rate", 9).alias("rate"), F.col("tl_copies").alias("n_copies"), F.col("tl_replica").alias("replica"), F.col("tl_order").alias("order_key"))
+    """Whole documents are replicated and shuffled; each replica's text is reported by its hash. The cases of mix hold."""
+    rows = _shuffled(replicate(table(spark, sf_dir, "documents")))
+    own = [row(c).alias(c) for c in ("doc_id", "source")]
+    return rows.select(*own, F.sha2(row("text"), 256).alias("text_sha256"), F.round("tl_rate", 9).alias("rate"), F.col("tl_copies").alias("n_copies"), F.col("tl_replica").alias("replica"), F.col("tl_order").alias("order_key"))
 
 
 def op4_sql() -> str:
@@ -91,7 +100,7 @@ split AS (SELECT *, CAST(greatest(ceil(rate / {MOST_MEAN}), 1) AS BIGINT) AS par
 terms AS (SELECT source, 0 AS k, exp(-rate / parts) AS p, exp(-rate / parts) AS cdf, rate / parts AS mean FROM split
     UNION ALL SELECT source, k + 1, p * mean / (k + 1), cdf + p * mean / (k + 1), mean FROM terms WHERE k < {TERMS}),
 tables AS (SELECT source, list(cdf ORDER BY k) AS cdfs FROM terms GROUP BY source),
-draws AS (SELECT d.doc_id, d.source, s.rate, t.cdfs, unnest(range(s.parts)) AS i FROM documents d JOIN split s ON d.source IS NOT DISTINCT FROM s.source JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
-drawn AS (SELECT doc_id, source, rate, CAST(sum(len(list_filter(cdfs, lambda c: c <= CAST(CAST('0x' || substr(md5('{SEED}|' || doc_id || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496))) AS INTEGER) AS n_copies FROM draws GROUP BY doc_id, source, rate)
-SELECT doc_id, source, rate, n_copies, replica, md5('{SEED}/order|' || doc_id || '|' || replica) AS order_key
-FROM (SELECT doc_id, source, round(rate, 9) AS rate, n_copies, CAST(unnest(range(n_copies)) AS INTEGER) AS replica FROM drawn)"""
+draws AS (SELECT d.doc_id, d.source, d.text, s.rate, t.cdfs, unnest(range(s.parts)) AS i FROM documents d JOIN split s ON d.source IS NOT DISTINCT FROM s.source JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
+drawn AS (SELECT doc_id, source, text, rate, CAST(sum(len(list_filter(cdfs, lambda c: c <= CAST(CAST('0x' || substr(md5('{SEED}|' || doc_id || '|' || i), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496))) AS INTEGER) AS n_copies FROM draws GROUP BY doc_id, source, text, rate)
+SELECT doc_id, source, sha256(text) AS text_sha256, rate, n_copies, replica, md5('{SEED}/order|' || doc_id || '|' || replica) AS order_key
+FROM (SELECT doc_id, source, text, round(rate, 9) AS rate, n_copies, CAST(unnest(range(n_copies)) AS INTEGER) AS replica FROM drawn)"""

@@ -290,6 +290,35 @@ def test_bit_slices():
         assert counts[i] == pytest.approx(50, abs=0.5) and np.argmax(counts) == i
 
 
+def test_predictions_against_brute_force(spark):
+    """Sets in the place of Bloom filters: the same languages, and nearly the same scores; rare languages are learned too."""
+    texts = {"en": "the house of the morning and the river", "de": "das haus am morgen und der fluss", "fr": "la maison du matin et la riviere", "xx": "zqzq"}
+    rows = [(i, f"{t} {cases.prose(i, 3) if lang == 'en' else ''} {t.split()[i % len(t.split())]}", lang) for i in range(12) for lang, t in texts.items() if lang != "xx" or i == 0]
+    rows.append((12, "the morning", "en"))  # English has the most documents
+    docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)], "doc_id long, text string, lang string")
+    counts = {}
+    for _, text, lang in rows:
+        for g in langid.grams(text).tolist():
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {}
+    for c in rate.values():
+        for g, r in c.items():
+            top[g] = max(r, top.get(g, 0))
+    held = {lang: {g: r for g, r in c.items() if r >= langid.TYPICAL * top[g]} for lang, c in rate.items()}
+    asked = [t for _, t, _ in rows] + ["the fluss of la maison", "zqzq", "haus river", "ЖЖЖЖ", "123"]
+    found = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), langid.fit(docs)).collect()}
+    for i, t in enumerate(asked):
+        part = {lang: sum(g in c for g in langid.grams(t).tolist()) / sum(c.values()) for lang, c in held.items()}
+        if not any(part.values()):
+            assert (found[i]["lang_pred"], found[i]["score"]) == (("en", 0.0) if any(c.isalpha() for c in t) else ("und", 0.0))
+            continue
+        best = min(part, key=lambda x: (-part[x], x))
+        assert found[i]["lang_pred"] == best and found[i]["score"] == pytest.approx(part[best] / sum(part.values()), abs=0.01)
+    assert found[len(asked) - 4]["lang_pred"] == "xx"
+
+
 # --- 4
 
 
@@ -302,7 +331,7 @@ def test_mixing_matches_sql(spark, sf):
 
 
 def test_mixing_rates(spark):
-    rows = spark.createDataFrame([(i, "s0" if i % 3 else ("s2" if i % 2 else None)) for i in range(30_000)], "doc_id long, source string").withColumn("tl_row", F.lit(1))
+    rows = spark.createDataFrame([(i, "s0" if i % 3 else ("s2" if i % 2 else None), "t") for i in range(30_000)], "doc_id long, source string, text string").withColumn("tl_row", F.lit(1))
     out = mixing.mix(rows, weights={"s0": 3.0, "s2": 0.5}, epochs=2.0)
     assert out.columns == rows.columns
     n = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
@@ -311,6 +340,9 @@ def test_mixing_rates(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, mixing.mix(rows.repartition(7), weights={"s0": 3.0, "s2": 0.5}, epochs=2.0).collect()))
     big = mixing.replicate(spark.createDataFrame([(i, "a") for i in range(300)], "doc_id long, source string"), weights={}, epochs=90.0).select("tl_row.doc_id", "tl_copies").distinct().toPandas()["tl_copies"]
     assert big.mean() == pytest.approx(90, rel=0.05) and big.var() == pytest.approx(90, rel=0.35)
+    table = spark.createDataFrame([("s0", 3.0), ("s2", 0.5)], "source string, weight double")
+    again = mixing.mix(rows, weights=table, epochs=2.0)
+    assert sorted(map(str, out.collect())) == sorted(map(str, again.collect()))
     docs = cases.edge_docs(spark)
     assert mixing.mix(docs).columns == docs.columns and mixing.mix(cases.empty_docs(spark)).count() == 0
 
