@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, modest_batches, ship, table, written
+from .common import lean, modest_batches, plain_scan, ship, table, written
 
 ship(__name__)
 
@@ -243,12 +243,6 @@ def word_table(texts: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return rows.mapInArrow(lean(words), "word string, ids array<int>")
 
 
-def _repeatable(df: DataFrame) -> bool:
-    """Whether df is a plain scan, whose rows come in the same order each time that they are read."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.splitlines() if x.strip())
-
-
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, ids) of every row: what the tokenizers library gives for the whole text, without special tokens added.
 
@@ -260,7 +254,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         config = f.read()
     modest_batches(docs.sparkSession)
     own = docs.select("doc_id", "text")
-    own = own if _repeatable(own) else written(own, "texts")
+    own = own if plain_scan(own) else written(own, "texts")
     kind = own.schema["doc_id"].dataType.simpleString()
     parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = own.mapInArrow(lean(_word_rows(parts)), "part int, chunk binary, ranks binary, words binary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -85,6 +86,12 @@ def _discard_all() -> None:
             _delete(path)
 
 
+def plain_scan(df: DataFrame) -> bool:
+    """Whether df is a plain scan, whose rows come in the same parts and order each time that they are read."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return all(re.match(r"[\s:+-]*(Project|Filter|Relation|LocalRelation|LogicalRDD)\b", x) for x in plan.splitlines() if x.strip())
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

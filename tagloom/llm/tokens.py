@@ -1,8 +1,8 @@
 """Token counts by a separator scan over flat token files (operator 6).
 
-A flat token file is a run of token ids with an end-of-document id after each document and no index. It is scanned in blocks:
-each block's search for the separator is one vectorised comparison, and a prefix scan over block summaries (tokens before,
-separators before, place of the last separator) stitches the documents that cross block boundaries.
+A flat token file is a run of token ids, two bytes each, with an end-of-document id after each document and no index. It is
+read by byte ranges: each block's search for the separator is one vectorised comparison, and a prefix scan over block summaries
+(tokens before, separators before, place of the last separator) stitches the documents that cross block boundaries.
 """
 
 from __future__ import annotations
@@ -15,16 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, modest_batches, ship, table, written
+from .common import helper_path, lean, modest_batches, plain_scan, ship, table, written
 
 ship(__name__)
 
 END = 50256
-#: Tokens in a block, and blocks whose summaries are scanned as one group.
+#: Tokens in a block, blocks that a task reads, and blocks whose summaries are scanned as one group.
 BLOCK = 1 << 19
+TASK_BLOCKS = 32
 GROUP = 512
-#: doc_ids in a row of the manifest.
-MANIFEST = 20_000
 
 
 def default_ranks() -> tuple[str, str]:
@@ -40,70 +39,81 @@ def _encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
 
 
-def _file_rows(vocabulary, pattern: str):
-    """A task's token file: rows (file, block, payload) in order, and manifest rows (file, first ordinal, doc_ids)."""
+def _token_rows(vocabulary, pattern: str):
+    """The ids of each text as bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         encode = _encoding(vocabulary.value, pattern).encode_to_numpy
-        file, block, ordinal, held, size, ids = TaskContext.get().partitionId(), 0, 0, [], 0, []
-
-        def row(kind: int, at: int, payload: bytes | None, docs: list | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([kind], pa.int8()), pa.array([at], pa.int64()), pa.array([payload], pa.binary()), pa.array([docs], pa.list_(pa.int64()))], names=["file", "kind", "at", "payload", "docs"])
-
-        end = np.array([END], "<u2")
         for b in batches:
-            for doc_id, x in zip(b.column(0).to_pylist(), b.column(1)):
-                text = x.as_py() or ""
-                held += [encode(text, disallowed_special=()).astype("<u2"), end]
-                size += len(held[-2]) + 1
-                ids.append(doc_id)
-                if size >= BLOCK:
-                    flat = np.concatenate(held)
-                    for lo in range(0, len(flat) - BLOCK + 1, BLOCK):
-                        yield row(0, block, flat[lo : lo + BLOCK].tobytes(), None)
-                        block += 1
-                    held = [flat[len(flat) - len(flat) % BLOCK :]]
-                    size = len(held[0])
-                if len(ids) >= MANIFEST:
-                    yield row(1, ordinal, None, ids)
-                    ordinal, ids = ordinal + len(ids), []
-        if size:
-            yield row(0, block, np.concatenate(held).tobytes(), None)
-        if ids:
-            yield row(1, ordinal, None, ids)
+            yield pa.RecordBatch.from_arrays([pa.array([encode(x.as_py() or "", disallowed_special=()).astype("<u2").tobytes() for x in b.column(0)], pa.binary())], names=["tokens"])
 
     return rows
 
 
-def write_token_files(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, manifest) of flat token files in the shared folder, one a task: (file, block, payload) and (file, ordinal, doc_id)."""
-    modest_batches(docs.sparkSession)
+def write_token_files(docs: DataFrame) -> tuple[str, DataFrame]:
+    """The folder of flat token files that docs are written to, one file a task, and (part, ordinal, doc_id) of what each holds.
+
+    Spark's text sink writes the bytes as they are, with the separator's two bytes as the line end, so that lost tasks are
+    repeated and half-written files are never seen. Places are those of a second scan of doc_id alone: docs are written as a
+    table first, whose files come in the same parts and order both times.
+    """
+    spark = docs.sparkSession
+    modest_batches(spark)
     path, pattern = default_ranks()
     with open(path, "rb") as f:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
-    files = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_file_rows(vocabulary, pattern)), "file long, kind byte, at long, payload binary, docs array<long>"), "token-files")
-    blocks = files.where("kind = 0").select("file", F.col("at").alias("block"), "payload")
-    manifest = files.where("kind = 1").select("file", "at", F.posexplode("docs").alias("i", "doc_id")).select("file", (F.col("at") + F.col("i")).alias("ordinal"), "doc_id")
-    return blocks, manifest
+        vocabulary = spark.sparkContext.broadcast(f.read())
+    folder = helper_path(spark, "token-files")
+    tokens = docs.select("text").mapInArrow(lean(_token_rows(vocabulary, pattern)), "tokens binary").select(F.col("tokens").cast("string"))
+    tokens.write.option("lineSep", END.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(folder)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return folder, docs.select(F.spark_partition_id().cast("long").alias("part"), place.alias("ordinal"), "doc_id")
+
 
+def byte_ranges(spark: SparkSession, path: str, width: int, block: int) -> DataFrame:
+    """(file, block, start, size) of all files under path but hidden ones, in as many tasks as their sizes ask for.
+
+    A file's length must be a multiple of the token's width. The driver lists names and sizes, and holds nothing else.
+    """
+    jvm, at = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(at, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            files.append((f.getPath().toString(), f.getLen()))
+            if f.getLen() % width:
+                raise ValueError(f"{f.getPath().toString()}: {f.getLen()} bytes are no whole number of tokens of {width}")
+    step = width * block
+    tasks = max(1, -(-sum(n for _, n in files) // (step * TASK_BLOCKS)))
+    starts = spark.createDataFrame(files, "file string, bytes long").where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(step).cast("long"))).alias("start"))
+    return starts.select("file", (F.col("start") / step).cast("long").alias("block"), "start", F.least(F.lit(step), F.col("bytes") - F.col("start")).alias("size")).repartition(tasks, "file", "block")
+
+
+def _range_rows(dtype: str, end: int):
+    """(file, block, n, at) of byte ranges of files, read one at a time."""
 
-def _block_rows(width: int, block: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         for b in batches:
-            for file, content in zip(b.column(0), b.column(1)):
-                raw = content.as_py()
-                for i, lo in enumerate(range(0, len(raw), width * block)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file.as_py()], pa.string()), pa.array([i], pa.int64()), pa.array([raw[lo : lo + width * block]], pa.binary())], names=["file", "block", "payload"])
+            for file, block, start, size in zip(*(b.column(i).to_pylist() for i in range(4))):
+                store, inner = FileSystem.from_uri(file)
+                with store.open_input_file(inner) as f:
+                    tokens = np.frombuffer(f.read_at(size, start), dtype)
+                if tokens.nbytes != size:
+                    raise OSError(f"{file}: {size} bytes expected at {start}, {tokens.nbytes} read")
+                at = np.flatnonzero(tokens == end).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([at], pa.list_(pa.int32()))], names=["file", "block", "n", "at"])
 
     return rows
 
 
-def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
-    """(file, block, payload) of raw token files under path, each up to the reader's 2 GB."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_block_rows(np.dtype(dtype).itemsize, block), "file string, block long, payload binary")
+def file_lengths(spark: SparkSession, path: str, *, dtype: str = "<u2", end: int = END, block: int = BLOCK) -> DataFrame:
+    """(file, ordinal, n_tokens) of every document of the flat token files under path, of any size, read by byte ranges.
+
+    Files are read where they lie, by any of pyarrow's file systems. The cases of stitched hold.
+    """
+    ranges = byte_ranges(spark, path, np.dtype(dtype).itemsize, block)
+    return stitched(ranges.mapInArrow(lean(_range_rows(dtype, end)), "file string, block long, n long, at array<int>"))
 
 
 def _scan_rows(dtype: str, end: int):
@@ -117,13 +127,18 @@ def _scan_rows(dtype: str, end: int):
 
 
 def document_lengths(blocks: DataFrame, *, dtype: str = "<u2", end: int = END) -> DataFrame:
-    """(file, ordinal, n_tokens) of every document of flat token files given as rows (file, block, payload).
+    """(file, ordinal, n_tokens) of every document of flat token files given as rows (file, block, payload); as stitched."""
+    kind = blocks.schema["file"].dataType.simpleString()
+    return stitched(blocks.select("file", "block", "payload").mapInArrow(lean(_scan_rows(dtype, end)), f"file {kind}, block long, n long, at array<int>"))
+
+
+def stitched(scanned: DataFrame) -> DataFrame:
+    """(file, ordinal, n_tokens) from block summaries (file, block, n, at): tokens, and places of separators, of each block.
 
     n_tokens leaves out the separator. Tokens after a file's last separator are a document without one; a file that ends in a
-    separator has none. Two separators in a row are an empty document. A document may span any number of blocks.
+    separator has none. Two separators in a row are an empty document. A document may span any number of blocks; blocks come
+    in any order. No blocks, or empty files, give no documents.
     """
-    kind = blocks.schema["file"].dataType.simpleString()
-    scanned = blocks.select("file", "block", "payload").mapInArrow(lean(_scan_rows(dtype, end)), f"file {kind}, block long, n long, at array<int>")
     scanned = written(scanned, "separators").withColumn("grp", F.floor(F.col("block") / GROUP))
     # Prefix scan in two levels: over the groups of a file, then over the blocks of a group.
     inside = Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -152,9 +167,18 @@ def token_counts(docs: DataFrame) -> DataFrame:
     Null and empty texts have no tokens. Repeated rows give repeated results, an empty table an empty one; columns besides
     doc_id and text are not read.
     """
-    blocks, manifest = write_token_files(docs)
-    return document_lengths(blocks).join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    own = docs.select("doc_id", "text")
+    own = own if plain_scan(own) else written(own, "texts")
+    folder, places = write_token_files(own)
+    lengths = written(file_lengths(docs.sparkSession, folder), "lengths").withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
+    # A part's separators are its rows, or the second scan came in other parts.
+    held = places.groupBy("part").agg(F.count("*").alias("rows"))
+    counted = lengths.groupBy("part").agg(F.count("*").alias("seps"), F.max("ordinal").alias("last"))
+    if not held.join(counted, "part", "full_outer").where("NOT (rows <=> seps AND last = rows - 1)").isEmpty():
+        raise RuntimeError("token files and documents differ: the documents came in other parts the second time")
+    return lengths.select("part", "ordinal", "n_tokens").join(places, ["part", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens; the cases of token_counts hold."""
     return token_counts(table(spark, sf_dir, "documents"))

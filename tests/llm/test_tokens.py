@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from tagloom.llm import bpe, tokens
 
@@ -68,10 +69,32 @@ def test_separator_scan(spark, monkeypatch):
 
 
 def test_raw_files(spark, tmp_path):
-    x = np.array([5, 6, 3, 3, 7, 8, 9, 3, 1], "<u2")
-    (tmp_path / "a.bin").write_bytes(x.tobytes())
-    blocks = tokens.read_token_files(spark, str(tmp_path), block=2)
-    assert [r["n_tokens"] for r in tokens.document_lengths(blocks, end=3).orderBy("ordinal").collect()] == [2, 0, 3, 1]
+    """Files of several lengths, by blocks of two and three tokens, whose borders fall on and beside separators."""
+    rng = np.random.default_rng(5)
+    files = {"a": np.array([5, 6, 3, 3, 7, 8, 9, 3, 1], "<u2"), "b": np.array([3], "<u2"), "c": np.zeros(0, "<u2"), "d": np.array([772, 3, 772, 1027], "<u2"), "e": rng.choice([3, 4, 771], 200).astype("<u2")}
+    for name, x in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(x.tobytes())
+    for block in (2, 3, 1 << 19):
+        got = {}
+        for r in tokens.file_lengths(spark, f"file://{tmp_path}", end=3, block=block).orderBy("file", "ordinal").collect():
+            got.setdefault(r["file"].rsplit("/")[-1][0], []).append(r["n_tokens"])
+        assert got == {f: brute(x.tolist(), 3) for f, x in files.items() if len(x)}
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(ValueError, match="whole number"):
+        tokens.file_lengths(spark, f"file://{tmp_path}")
+
+
+def test_files_beyond_two_gigabytes(spark, tmp_path):
+    """One sparse file larger than an array of the JVM, read in many tasks."""
+    size, ends = 2_300_000_000, [0, 524_287, 524_288, 1_048_577, 1_149_999_999 - 7, 1_149_999_990 + 9]
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+        for at in ends:
+            f.seek(2 * at)
+            f.write(tokens.END.to_bytes(2, "little"))
+    assert tokens.byte_ranges(spark, str(tmp_path), 2, tokens.BLOCK).rdd.getNumPartitions() > 60
+    got = [r["n_tokens"] for r in tokens.file_lengths(spark, f"file://{tmp_path}").orderBy("ordinal").collect()]
+    assert got == [b - a - 1 for a, b in zip([-1, *ends], ends)]
 
 
 def test_token_counts(spark):
