@@ -192,7 +192,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
     The next document is the one of the next smaller doc_id, and the first after the last. Texts are dealt out once, by ranges
     of doc_id; of each range the document that the range above needs is sent there too. Null texts count as empty, a null
     doc_id comes last, repeated doc_ids follow each other by a hash of their texts, a single row is its own next one, and an
-    empty table gives an empty one. Columns besides doc_id and text are not read.
+    empty table gives an empty one. Columns besides doc_id and text are not read. doc_id is an integer, and the key: the rows of
+    one doc_id, or without any, are in one range.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -205,13 +206,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
     bucket = F.lit(0)
     if bounds:
         bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < place))
+    # The planner's own partition of a bucket is the bucket: none shares a task with another.
     most = [(r["bucket"], r["top"]) for r in own.groupBy(bucket.alias("bucket")).agg(F.max(place).alias("top")).orderBy("bucket").collect()]
     halo = {top: most[(i + 1) % len(most)][0] for i, (_, top) in enumerate(most)}
     rows = own.mapInArrow(lean(_deal_rows(bounds, halo)), "bucket int, halo byte, doc_id long, place long, tie binary, packed binary")
-    placed = rows.repartition("bucket").sortWithinPartitions("bucket", "halo", F.desc("place"), "tie")
+    placed = rows.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "halo", F.desc("place"), "tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return placed.select("bucket", "halo", "doc_id", "packed").mapInArrow(lean(_fingerprint_rows), schema)
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside its edited text and the next; the cases of neighbours hold."""
     return neighbours(table(spark, sf_dir, "documents"))

@@ -91,6 +91,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets; the cases of find_secrets hold."""
     out = find_secrets(table(spark, sf_dir, "documents"))
     counts = [of_kind(F.col("tl_strong"), i).alias(f"n_{KINDS[i]}") for i in range(3)]
     return out.select("doc_id", *counts, digest(F.col("tl_strong"), KINDS).alias("base_sha256"), listed(F.concat("tl_strong", "tl_linked"), KINDS).alias("spans"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_side, table
+from .common import small_side, spread, table, written
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the path starts with the rule's; the longest wins.
 HOST_RULES = (
@@ -74,7 +74,7 @@ def url_path(url: Column) -> Column:
 
 def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest host rule that fits, else nulls."""
-    rule, verdict = F, F
+    rule = verdict = F.when(F.lit(False), F.lit(""))
     for kind, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         rule, verdict = rule.when(fits, F.lit(h + p)), verdict.when(fits, F.lit(kind))
@@ -85,29 +85,33 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
-def rule_index(urls: DataFrame, rules: list[Rule], col: str = "url") -> DataFrame:
+#: Rows of rules, tokens or matched urls up to which they are broadcast; beyond, joins are by shuffle.
+MOST_ROWS = 200_000
+
+
+def rule_index(tokens: DataFrame, rules: list[Rule]) -> DataFrame:
     """A row (token, rule_id, allow, line, regex) for each rule, under that of its tokens that the fewest urls hold.
 
-    Rules without a whole literal token come under the empty token, which every url fetches. The counts cover all urls
-    but only the rules' own tokens, so at most one row a rule token reaches the driver.
+    tokens: (token, n) of each distinct url's tokens, n times. Rules without a whole literal token come under the empty token,
+    which every url fetches; ties go to the longer token, then in alphabetical order. Rules are a list of the caller's; the
+    counts of their tokens are joined to them in Spark. No rules give an empty index.
     """
-    spark = urls.sparkSession
-    wanted = sorted({t for r in rules for t in r.tokens})
-    counts = {t: 0 for t in wanted}
-    if wanted:
-        own = urls.select(F.explode(F.array_intersect(url_tokens(F.col(col)), F.array(*map(F.lit, wanted)))).alias("token"))
-        counts |= {r["token"]: r["n"] for r in own.groupBy("token").agg(F.count("*").alias("n")).collect()}
-    rows = [(min(r.tokens, key=lambda t: (counts[t], -len(t), t)) if r.tokens else "", r.rule_id, r.allow, r.line, r.regex) for r in rules]
-    return spark.createDataFrame(rows, "token string, rule_id long, allow boolean, line string, regex string")
+    spark = tokens.sparkSession
+    own = spark.createDataFrame([(r.rule_id, r.allow, r.line, r.regex, list(r.tokens) or [""]) for r in rules], "rule_id long, allow boolean, line string, regex string, tokens array<string>")
+    filed = own.select("rule_id", "allow", "line", "regex", F.explode("tokens").alias("token"))
+    counts = tokens.join(small_side(filed.select("token").distinct(), MOST_ROWS), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
+    ranked = filed.join(counts, "token", "left").select("rule_id", "allow", "line", "regex", F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("less"), "token").alias("place"))
+    return ranked.groupBy("rule_id").agg(F.min("place")["token"].alias("token"), F.first("allow").alias("allow"), F.first("line").alias("line"), F.first("regex").alias("regex"))
 
 
 def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES, *, key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and the deciding pattern of every row.
 
     A fitting host rule decides. Else the url's tokens fetch the pattern rules indexed under them and only those run their
-    regular expressions; one allowing pattern that matches beats all blocking ones, and without a match the verdict is
-    allow. Null or scheme-less urls have an empty host and path, no rule, and verdict allow (patterns still see the text).
-    Repeated rows give repeated results; an empty table gives an empty one; further columns are not read.
+    regular expressions, once for each distinct url; one allowing pattern that matches beats all blocking ones, of equals the
+    first in the list is named, and without a match the verdict is allow. Null or scheme-less urls have an empty host and path,
+    no rule, and verdict allow (patterns still see the text). Repeated rows give repeated results; an empty table gives an empty
+    one; further columns are not read. patterns: filter lines, of any number.
     """
     rules = [parse_rule(i, line) for i, line in enumerate(patterns)]
     own = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"))
@@ -115,18 +119,24 @@ def judge_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERN_RULES,
     based = own.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = host_rule(F.col("host"), F.col("path"), host_rules)
     based = based.select("*", rule.alias("rule"), verdict.alias("base_verdict"))
-    open_urls = based.where(F.col("rule").isNull() & F.col("url").isNotNull()).select("url")
-    index = small_side(rule_index(own, rules), 200_000)
-    fetched = open_urls.select("url", F.explode(F.array_append(url_tokens(F.col("url")), F.lit(""))).alias("token")).join(index, "token")
-    matched = fetched.where(F.expr("rlike(lower(url), regex)"))
+    is_open = F.col("rule").isNull() & F.col("url").isNotNull()
+    urls = written(based.where(is_open).groupBy("url").agg(F.count("*").alias("tl_n")), "urls")
+    tokens = urls.select("url", F.explode(F.array_append(url_tokens(F.col("url")), F.lit(""))).alias("token"))
+    index = written(rule_index(tokens.withColumn("n", F.lit(1)), rules), "rules")
+    matched = tokens.join(small_side(index, MOST_ROWS), "token").where(F.expr("rlike(lower(url), regex)"))
     best = F.min(F.struct((~F.col("allow")).alias("block"), "rule_id", "line"))
-    hits = matched.groupBy("url").agg(best.alias("hit")).select(F.col("url").alias("hit_url"), F.col("hit.block").alias("block"), F.col("hit.line").alias("pattern"))
-    out = based.join(hits, (F.col("url") == F.col("hit_url")) & F.col("rule").isNull(), "left")
+    hits = matched.groupBy("url").agg(best.alias("hit")).select("url", F.col("hit.block").alias("block"), F.col("hit.line").alias("pattern"))
+    hits = written(hits.join(urls, "url"), "hits")
+    total = urls.agg(F.sum("tl_n").alias("n")).first()["n"] or 0
+    judged = spread(based.where(is_open), hits, "url", total, "left")
+    closed = based.where(~is_open).select("*", F.lit(None).cast("boolean").alias("block"), F.lit(None).cast("string").alias("pattern"))
     by_method = F.when(F.col("block"), F.lit("block")).otherwise(F.lit("allow"))
+    out = judged.unionByName(closed)
     return out.select("page_id", "host", "path", "rule", F.coalesce("base_verdict", by_method).alias("verdict"), "pattern")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; the cases of judge_urls hold."""
     return judge_urls(table(spark, sf_dir, "pages"))
 
 

@@ -35,6 +35,71 @@ def test_neighbours(spark):
     assert alone["near_next"] == 1.0
 
 
+def slow_ctph(text):
+    """The fingerprint byte by byte, with a rolling state, and with chunk hashes as plain sums."""
+    data = text.encode("utf-8", "surrogatepass")
+    if not data:
+        return "3::"
+    size = 3
+    while size * 64 < len(data):
+        size *= 2
+
+    def signature(block, most):
+        out, window, start, value = [], [0] * 7, 0, 0
+        char = lambda v: ctph.ALPHABET[(((v ^ v >> 32) * 0xD6E8FEB86659FD93) % 2**64) >> 58]
+        for i, c in enumerate(data):
+            window = [*window[1:], c]  # the oldest first
+            plain = sum(window)
+            weighted = sum((k + 1) * x for k, x in enumerate(window))
+            shifted = 0
+            for x in window:
+                shifted = (shifted << 5 ^ x) % 2**32
+            value = (value + (c + 1) * pow(ctph.BASE, i - start, 2**64)) % 2**64
+            if (plain + weighted + shifted + 1) % 2**32 % block == 0 and len(out) < most - 1:
+                out.append(char(value))
+                start, value = i + 1, 0
+        return "".join(out) + (char(value) if start < len(data) else ""), len(out)
+
+    def cuts(block):
+        return signature(block, 10**9)[1]
+
+    while cuts(size) < 31 and size > 3:
+        size //= 2
+    return f"{size}:{signature(size, 64)[0]}:{signature(2 * size, 32)[0]}"
+
+
+def slow_likeness(x, y):
+    """Levenshtein distance without substitutions, by the plain table."""
+    if x == y:
+        return 1.0
+
+    def like(a, b):
+        a, b = (re.sub(r"(.)\1{3,}", r"\1\1\1", s) for s in (a, b))
+        k = min(7, len(a), len(b))
+        if not k or not any(a[i : i + k] in b for i in range(len(a) - k + 1)):
+            return 0.0
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            new = [i + 1]
+            for j, d in enumerate(b):
+                new.append(row[j] if c == d else 1 + min(row[j + 1], new[-1]))
+            row = new
+        return 1 - row[-1] / (len(a) + len(b))
+
+    (bx, *xs), (by, *ys) = x.split(":"), y.split(":")
+    same = [like(a, b) for i, a in enumerate(xs) for j, b in enumerate(ys) if int(bx) << i == int(by) << j]
+    return max(same, default=0.0)
+
+
+def test_fingerprints_against_brute_force():
+    texts = ["", "a", "abcdefg", "x" * 500, cases.prose(1, 20), cases.prose(2, 400), cases.prose(3, 2500), "é\U0001f600ß " * 300, cases.prose(2, 400)[:1500] + "NEW" + cases.prose(2, 400)[1500:], "\n".join(cases.prose(4, 30) for _ in range(20))]
+    found = [ctph.fingerprint(t) for t in texts]
+    assert found == [slow_ctph(t) for t in texts]
+    for a in found:
+        for b in found:
+            assert ctph.likeness(a, b) == pytest.approx(slow_likeness(a, b))
+
+
 def test_fingerprint_is_stable_under_edits():
     text = cases.prose(3, 2000)
     other = text[:4000] + "INSERTED" + text[4000:]
@@ -371,6 +436,18 @@ def test_urls_against_sql(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_many_rules_and_a_popular_url(spark, monkeypatch):
+    """Thousands of rules, a url that a third of the pages has, and joins by shuffle as by broadcast."""
+    rules = [f"||site{i}.example^" for i in range(3000)] + ["@@/free/", "^common^"]
+    rows = [(i, "http://site7.example/common/x") for i in range(400)] + [(1000 + i, f"http://site{i}.example/{'free/' if i % 3 else 'common/'}") for i in range(600)] + [(5000 + i, f"http://other{i}.example/free") for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    exp = sorted((i, "allow" if "/free/" in u or "other" in u else "block") for i, u in rows)
+    for most in (200_000, 0):
+        monkeypatch.setattr(urls, "MOST_ROWS", most)
+        assert sorted((r["page_id"], r["verdict"]) for r in urls.judge_urls(df, (), rules).collect()) == exp
+    assert {r["verdict"] for r in urls.judge_urls(df, (), ()).collect()} == {"allow"}
+
+
 def test_rule_tokens():
     for i, line in enumerate(urls.PATTERN_RULES):
         rule = urls.parse_rule(i, line)

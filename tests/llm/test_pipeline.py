@@ -36,8 +36,19 @@ def test_stages(spark, sf, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_tokenizer())
-    assert sorted((r["doc_id"], list(r["ids"])) for r in after.collect()) == sorted((r["doc_id"], t.encode(r["text"], add_special_tokens=False).ids) for r in before.collect())
+    exp = [(r["doc_id"], ids := t.encode(r["text"], add_special_tokens=False).ids, t.decode(ids, skip_special_tokens=False)) for r in before.collect()]
+    assert sorted((r["doc_id"], list(r["ids"]), r["text"]) for r in after.collect()) == sorted(exp)
 
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_hard_cases(spark, tmp_path):
+    """Null, empty and long texts, repeated rows, extra columns of clashing names; then none of it."""
+    cases.edge_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in out}
+    assert kept and kept <= {r[0] for r in cases.rows()} and all(r["ids"] for r in out)
+    cases.empty_docs(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
