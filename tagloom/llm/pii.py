@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import packed, row, small_side, table, unpacked, written
-from .spans import SPAN, among, digest, let, listed, matches, of_kind, spliced, unmarked
+from .spans import MARK, SPAN, among, digest, let, listed, marked_spans, matches, of_kind, spliced, unmarked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 EMAIL, IP, CARD, PHONE, TERM = range(5)
@@ -36,11 +36,14 @@ IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 DISCLOSURE = 0.8
 #: Texts that a term and an entity share, and bits that stay open, for a term to give the entity away without it.
 SUPPORT, HIDDEN = 2, 1.0
-#: A letter and the letters and digits after it, with single apostrophes and hyphens between them; shorter ones aren't terms.
-TERM_PATTERN = r"\p{L}[\p{L}\p{N}]*+(?:['-][\p{L}\p{N}]++)*+"
+#: A letter and the letters, marks and digits after it, with single apostrophes and hyphens between them; shorter ones aren't
+#: terms.
+TERM_PATTERN = r"\p{L}[\p{L}\p{M}\p{N}]*+(?:['-][\p{L}\p{M}\p{N}]++)*+"
 LEAST_LENGTH = 3
 #: Rows up to which terms or pairs are broadcast; beyond, joins are by shuffle.
 MOST_ROWS = 200_000
+#: Texts up to which their terms' spans are broadcast, and terms of a text up to which each word is compared with all of them.
+MOST_TEXTS, MOST_COMPARED = 20_000, 64
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,17 +83,17 @@ def blanked(text: Column, spans: Column) -> Column:
     return spliced(text, spans, piece)
 
 
-def terms_of(text: Column) -> Column:
-    """Distinct lower-cased terms of a text."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM_PATTERN), F.lit(0)), F.lower))
-    return F.filter(words, lambda w: F.length(w) >= LEAST_LENGTH)
+def words_of(text: Column) -> Column:
+    """Distinct lower-cased words of a text, short ones too."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0)))
 
 
 def spans_of(blank: Column, terms: Column) -> Column:
-    """The spans in a blanked text of the given terms, an ordered array."""
-    found = matches(blank, TERM_PATTERN, TERM)
-    low = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lower(s["value"]).alias("value")))
-    return let(terms, lambda t: F.filter(low, lambda s: among(t, s["value"])))
+    """The spans in a blanked text of the given terms, an ordered array. Only they are marked, so that few lengths are added up."""
+    pieces = F.split(F.regexp_replace(blank, TERM_PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    has = lambda t, w: F.when(F.size(t) <= MOST_COMPARED, F.array_contains(t, w)).otherwise(among(t, w))
+    marked = let(terms, lambda t: F.concat_ws("", F.transform(pieces, lambda x, i: F.when((i % 2 == 1) & has(t, F.lower(x)), F.concat(F.lit(MARK), x, F.lit(MARK))).otherwise(x))))
+    return marked_spans(marked, TERM)
 
 
 def key_of(text: Column) -> Column:
@@ -116,7 +119,7 @@ def counted(docs: DataFrame, wanted: DataFrame, copied: DataFrame) -> DataFrame:
     A text of n copies adds 1 / n for each, so that counts are summed before the shuffle and nothing is sorted by text.
     """
     words = texts_of(docs).join(small_side(copied, MOST_ROWS), "tl_key", "left")
-    words = words.select(F.explode(terms_of(F.col("tl_text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
+    words = words.select(F.explode(words_of(F.col("tl_text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
     few = wanted.limit(MOST_ROWS + 1).count() <= MOST_ROWS
     words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
     counts = words.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df_t"))
@@ -136,7 +139,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     keyed = written(keyed.withColumn("k", F.monotonically_increasing_id()), "keyed")  # short numbers are shuffled instead of keys
     held = keyed.select("k", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
     entities = written(held.groupBy("entity").agg(F.count("*").alias("df_e")), "entities")
-    terms = written(keyed.select("k", F.explode(terms_of(F.col("blank"))).alias("term")), "words")
+    terms = written(keyed.select("k", F.explode(words_of(F.col("blank"))).alias("term")).where(F.length("term") >= LEAST_LENGTH), "words")
     bound = F.greatest(F.pow(F.col("df_e"), DISCLOSURE) * n ** (1 - DISCLOSURE), F.col("df_e") * 2.0**HIDDEN) * 1.000001
     counts = counted(docs, written(terms.select("term").distinct(), "terms"), copied).where(F.col("df_t") <= (entities.agg(F.max(bound)).first()[0] or 0.0))
     rare = terms.join(small_side(written(counts, "rare"), MOST_ROWS), "term")
@@ -153,7 +156,7 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
     inside = pairs.join(strong, ["who", "term"], "left_semi").select("k", "term").distinct()
     inside = keyed.select("k", "tl_key").join(inside, "k").select("tl_key", "term")
     telling = written(scored.where((F.col("df_et") >= SUPPORT) & (F.col("open_bits") <= HIDDEN)).select("term").distinct(), "telling")
-    outside = texts_of(docs).select("tl_key", F.explode(terms_of(F.col("tl_text"))).alias("term")).join(small_side(telling, MOST_ROWS), "term", "left_semi")
+    outside = texts_of(docs).select("tl_key", F.explode(words_of(F.col("tl_text"))).alias("term")).join(small_side(telling, MOST_ROWS), "term", "left_semi")
     hidden = inside if telling.isEmpty() else inside.unionByName(outside.select("tl_key", "term"))
     hidden = written(hidden.groupBy("tl_key").agg(F.array_sort(F.collect_set("term")).alias("terms")), "hidden")
     blanks = keyed.select("tl_key", "blank").join(hidden, "tl_key").select("tl_key", F.lit(True).alias("tl_own"), "blank", "terms")
@@ -169,10 +172,10 @@ def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
     none = F.array().cast(SPAN)
 
     def joined(rows: DataFrame, own: DataFrame) -> DataFrame:
-        right = small_side(own.select(F.col("tl_key").alias("tl_of"), "tl_terms"), MOST_ROWS)
+        right = small_side(own.select(F.col("tl_key").alias("tl_of"), "tl_terms"), MOST_TEXTS)
         return rows.join(right, F.col("tl_key") == F.col("tl_of"), "left").drop("tl_of").withColumn("tl_terms", F.coalesce("tl_terms", none))
 
-    if terms.limit(MOST_ROWS + 1).count() <= MOST_ROWS:
+    if terms.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS:
         return joined(found, terms)
     return joined(found.where("tl_blank IS NULL"), terms.where("NOT tl_own")).unionByName(joined(found.where("tl_blank IS NOT NULL"), terms.where("tl_own")))
 

@@ -55,7 +55,12 @@ def matches(text: Column, pattern: str, kind: int, when: Column | None = None) -
     turn, and its lengths add up to positions. The pattern must not match the empty string. when: a cheap test that spares
     texts without a match.
     """
-    pieces = F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)
+    found = marked_spans(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), kind)
+    return found if when is None else F.when(when, found).otherwise(F.array().cast(SPAN))
+
+
+def marked_spans(marked: Column, kind: int) -> Column:
+    """Array of (start, end, kind, value) of what stands between pairs of MARK, in code points of the text without marks."""
 
     def spans(p: Column, ends: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
@@ -65,8 +70,7 @@ def matches(text: Column, pattern: str, kind: int, when: Column | None = None) -
         ends = scan(F.transform(p, lambda x: F.length(x).cast("long")), lambda a, b: a + b)
         return F.when(F.size(p) > 1, let(ends, lambda e: spans(p, e)).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
-    found = let(pieces, of)
-    return found if when is None else F.when(when, found).otherwise(F.array().cast(SPAN))
+    return let(F.split(marked, MARK, -1), of)
 
 
 def apart(spans: Column, others: Column) -> Column:
