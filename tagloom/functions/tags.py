@@ -70,10 +70,17 @@ def meta_tag(name: str) -> Column:
 
 
 META_TAGS = ("video", "animated", "portrait", "landscape", "square", "highres", "lowres", "favorite")
+# Descriptions, which are searched like names.
 META_TEXT = {
-    "video": "Video files", "animated": "Animated images", "portrait": "Taller than wide", "landscape": "Wider than tall",
-    "square": "As wide as tall", "highres": "At least 1920 pixels on a side", "lowres": "At most 500 pixels on both sides", "favorite": "Favourites",
-}
+    "video": "Video files (mp4, webm, etc.)",
+    "animated": "Animated images (GIF, APNG)",
+    "portrait": "Taller than wide",
+    "landscape": "Wider than tall",
+    "square": "Equal width and height",
+    "highres": "Full HD or higher (1920px+)",
+    "lowres": "Low resolution (500px or less)",
+    "favorite": "Posts you have favorited",
+}
 
 
 def without_meta(name: str, null_mode: str = "keep") -> Column:

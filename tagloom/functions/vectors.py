@@ -24,7 +24,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(length > 0, dot(a, b) / length)
 
 
-def valid_vector(v: Column, dimensions: int) -> Column:
+def valid_vector(v: Column, dimensions: int | Column) -> Column:
     """Whether v has the dimensions and only finite numbers."""
     return (F.size(v) == dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 

@@ -22,10 +22,20 @@ def meta_counts(items: DataFrame, favourite: DataFrame | None = None) -> DataFra
 
 def suggest(tag: DataFrame, item_tag: DataFrame, total: DataFrame, text: str = "", category: str | None = None, limit: int = 20) -> DataFrame:
     """Tags whose name holds the text, by number of items, with what would remain without them. total: one row (total)."""
-    rows = tag_counts(tag, item_tag).where(F.col("name").ilike(f"%{like_escape(text)}%"))
-    if category:
-        rows = rows.where(F.col("category") == category)
-    rows = rows.where((F.col("category") != "ARTIST") | valid_creator(F.col("name")))
+    names = _named(tag, text, category)
+    edges = item_tag if "post_count" in tag.columns else item_tag.join(names.select(F.col("id").alias("tag_id")), "tag_id", "left_semi")
+    return _top(tag_counts(names, edges), total, limit)
+
+
+def _named(tag: DataFrame, text: str, category: str | None) -> DataFrame:
+    """The tags of a category, if one is given, whose name holds the text, without invalid creators."""
+    rows = tag.where(F.col("name").ilike(f"%{like_escape(text)}%"))
+    rows = rows.where(F.col("category") == category) if category else rows
+    return rows.where((F.col("category") != "ARTIST") | valid_creator(F.col("name")))
+
+
+def _top(rows: DataFrame, total: DataFrame, limit: int) -> DataFrame:
+    """The tags of most items; total is one row."""
     top = rows.orderBy(F.desc("post_count"), "name", "id").limit(limit)
     return top.crossJoin(F.broadcast(total)).select("id", "name", "category", F.col("post_count").alias("count"), F.greatest(F.col("total") - F.col("post_count"), F.lit(0)).alias("remaining"))
 
@@ -43,9 +53,10 @@ def grouped_items(grp: DataFrame, grp_item: DataFrame) -> DataFrame:
 def suggest_grouped(tag: DataFrame, item_tag: DataFrame, grp: DataFrame, grp_item: DataFrame, text: str = "", category: str | None = None, limit: int = 20) -> DataFrame:
     """As suggest, counting only the items in eligible groups."""
     inside = grouped_items(grp, grp_item)
-    edges = item_tag.join(inside.select(F.col("id").alias("item_id")), "item_id", "left_semi")
-    rows = suggest(tag, edges, inside.agg(F.count("*").alias("total")), text, category, limit)
-    return rows.where(F.col("count") > 0)
+    names = _named(tag.select("id", "name", "category"), text, category)
+    edges = item_tag.join(names.select(F.col("id").alias("tag_id")), "tag_id", "left_semi").join(inside.select(F.col("id").alias("item_id")), "item_id", "left_semi")
+    rows = names.join(edges.groupBy("tag_id").agg(F.count("*").alias("post_count")), F.col("id") == F.col("tag_id"))
+    return _top(rows, inside.agg(F.count("*").alias("total")), limit)
 
 
 def filtered_items(item: DataFrame, tag: DataFrame, item_tag: DataFrame, query: Query, *, favourite: DataFrame | None = None, grouped: DataFrame | None = None, distinct: bool = True) -> DataFrame:

@@ -24,15 +24,16 @@ def norms(item: DataFrame, item_tag: DataFrame, weight: DataFrame) -> DataFrame:
     return item.select(F.col("id").alias("item_id")).join(sums, "item_id", "left").fillna({"norm": 0.0})
 
 
-def recommend(seeds: DataFrame, item: DataFrame, item_tag: DataFrame, grp_item: DataFrame, *, limit: int = 10) -> DataFrame:
+def recommend(seeds: DataFrame, item: DataFrame, item_tag: DataFrame, grp_item: DataFrame, *, limit: int = 10, weight: DataFrame | None = None, norm: DataFrame | None = None) -> DataFrame:
     """(item_id, recommended_id, score, rank) for each seed (item_id).
 
     Tags of one item only and of too many items don't count as a seed's tags, but norms cover all tags. Candidates share one of
     the seed's first RETRIEVAL_TAGS tags, aren't the seed and share no group with it; the RERANKED best by shared squared idf
     over their norm are scored with the seed's first SCORING_TAGS tags. Scores are rounded to 9 places before they rank.
+    weight, norm: what weights() and norms() gave, where a library has stored it.
     """
-    weight = weights(item, item_tag)
-    norm = norms(item, item_tag, weight)
+    weight = weights(item, item_tag) if weight is None else weight
+    norm = norms(item, item_tag, weight) if norm is None else norm
     kept = weight.where((F.col("post_count") > 1) & (F.col("post_count") <= F.greatest(F.lit(FLOOR_ITEMS), F.floor(F.lit(FLOOR_SHARE) * F.col("items"))))).select("tag_id", "idf")
     first = Window.partitionBy("seed").orderBy(F.desc("idf"), "tag_id")
     own = seeds.select(F.col("item_id").alias("seed")).distinct().join(item_tag, F.col("seed") == F.col("item_id")).join(kept, "tag_id").select("seed", "tag_id", "idf")

@@ -14,7 +14,9 @@ CARD = ("id", "hash", "width", "height", "blurhash", "mime_type")
 
 
 def tag_counts(tag: DataFrame, item_tag: DataFrame) -> DataFrame:
-    """tag with post_count, the items that carry each."""
+    """tag with post_count, the items that carry each; counts that tag has already are taken as they are."""
+    if "post_count" in tag.columns:
+        return tag
     counts = item_tag.groupBy("tag_id").agg(F.count("*").alias("post_count"))
     return tag.join(counts, F.col("id") == F.col("tag_id"), "left").drop("tag_id").fillna({"post_count": 0})
 
@@ -29,6 +31,12 @@ def resolve_wildcard(counted: DataFrame, pattern: str, cap: int = WILDCARD_CAP)
     return counted.where(F.col("name").ilike(wildcard_like(pattern))).orderBy(F.desc("post_count"), "id").limit(cap)
 
 
+def wildcard_truncated(counted: DataFrame, pattern: str, cap: int = WILDCARD_CAP) -> DataFrame:
+    """One row (truncated): whether a pattern matches more tags than resolve_wildcard gives."""
+    found = counted.where(F.col("name").ilike(wildcard_like(pattern))).limit(cap + 1)
+    return found.agg((F.count("*") > cap).alias("truncated"))
+
+
 def items_with(item_tag: DataFrame, tag_ids: DataFrame) -> DataFrame:
     return item_tag.join(tag_ids, "tag_id", "left_semi").select(F.col("item_id").alias("id"))
 

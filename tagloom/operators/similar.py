@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, hamming, norm
+from ..functions.vectors import cosine, hamming
 
 # Results of a search, candidates and limit of a panel, sample of a calibration.
 SEARCH_CAP, CANDIDATES, PANEL, PANEL_FLOOR = 288, 200, 20, 0.25
@@ -30,7 +30,8 @@ def nearest(vectors: DataFrame, query: DataFrame, *, exclude_self: bool = False,
 def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None = None, *, limit: int = PANEL, floor: float | None = None) -> DataFrame:
     """(seed, item_id, score, rank): for each seed (seed, q) the nearest vectors outside of its groups, then the floor.
 
-    All seeds against all vectors: more than MOST_SEEDS of them are searched block by block.
+    All seeds against all vectors, a block of at most about MOST_SEEDS at a time. Vectors of another length than the seeds',
+    and those without a direction, have no score.
     """
     blocks = -(-seeds.count() // MOST_SEEDS)
     if blocks > 1:
@@ -40,17 +41,73 @@ def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame |
 
 
 def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None, limit: int, floor: float | None) -> DataFrame:
-    # Each vector's length is found once, not once a pair.
-    sized = vectors.select("item_id", "v", norm(F.col("v")).alias("nv")).where("nv > 0")
-    asked = seeds.select("seed", "q", norm(F.col("q")).alias("nq")).where("nq > 0")
-    rows = sized.join(F.broadcast(asked), F.col("item_id") != F.col("seed"))
-    scored = rows.select("seed", "item_id", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
-    if grp_item is not None:
-        same = grp_item.select("group_id", F.col("item_id").alias("seed")).join(F.broadcast(seeds.select("seed")), "seed", "left_semi").join(grp_item.select("group_id", "item_id"), "group_id").select("seed", "item_id").distinct()
-        scored = scored.join(same, ["seed", "item_id"], "left_anti")
+    """Each task multiplies its vectors with the block and hands on the best of each seed only; ranks are taken over those."""
+    import numpy as np
+    import pyarrow as pa
+
+    none = F.lit(None).cast("array<long>")
+    if grp_item is None:
+        asked, held = seeds.withColumn("groups", none), vectors.withColumn("groups", none)
+    else:
+        own = seeds.join(grp_item.select(F.col("item_id").alias("seed"), "group_id"), "seed", "left").groupBy("seed").agg(F.collect_set("group_id").alias("groups"))
+        asked = seeds.join(own, "seed")
+        # Only the groups that a seed of the block is in: most vectors have none of them.
+        met = grp_item.join(own.select(F.explode("groups").alias("group_id")).distinct(), "group_id", "left_semi").groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
+        held = vectors.join(met, "item_id", "left")
+    rows = asked.select("seed", "q", "groups").where("q IS NOT NULL").collect()  # one block
+    width = len(rows[0]["q"]) if rows else 0
+    ids = np.array([r["seed"] for r in rows], np.int64)
+    matrix = np.array([r["q"] for r in rows if len(r["q"]) == width], np.float64).reshape(-1, width)
+    if len(matrix) < len(rows):
+        raise ValueError("the seeds of one search have vectors of one length")
+    length = np.sqrt((matrix * matrix).sum(axis=1))
+    ids, matrix, length = ids[length > 0], matrix[length > 0], length[length > 0]
+    at = {int(i): k for k, i in enumerate(ids)}
+    members: dict[int, list[int]] = {}
+    for r in rows:
+        for g in r["groups"] or ():
+            if r["seed"] in at:
+                members.setdefault(g, []).append(at[r["seed"]])
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix, length, at, members))
+
+    def best(seed, item, score):
+        """The first of each seed by rounded score, then id."""
+        order = np.lexsort((item, -score, seed))
+        seed, item, score = seed[order], item[order], score[order]
+        first = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]])) if len(seed) else np.zeros(0, np.int64)
+        place = np.arange(len(seed)) - np.repeat(first, np.diff(np.append(first, len(seed))))
+        keep = place < limit
+        return seed[keep], item[keep], score[keep]
+
+    def scored(batches):
+        ids, matrix, length, at, members = sent.value
+        top = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in batches:
+            item = np.asarray(b.column(0)).astype(np.int64)
+            v = np.asarray(b.column(1).flatten()).astype(np.float64).reshape(len(item), -1)
+            for lo in range(0, len(item), 512):
+                part, own = item[lo : lo + 512], v[lo : lo + 512]
+                size = np.sqrt((own * own).sum(axis=1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    score = np.round(matrix @ own.T / (length[:, None] * size), 6)
+                score[:, size == 0] = np.nan
+                for k, (i, groups) in enumerate(zip(part.tolist(), b.column(2)[lo : lo + 512].to_pylist())):
+                    if i in at:
+                        score[at[i], k] = np.nan
+                    for g in groups or ():
+                        score[members[g], k] = np.nan
+                if score.shape[1] > limit:
+                    bar = -np.partition(np.where(np.isnan(score), np.inf, -score), limit - 1, axis=1)[:, limit - 1]
+                    x, y = np.nonzero(score >= bar[:, None])  # nothing is at least a NaN, and all is at least the bar of too few numbers
+                else:
+                    x, y = np.nonzero(~np.isnan(score))
+                top = best(*(np.concatenate(z) for z in zip(top, (x, part[y], score[x, y]))))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[top[0]]), pa.array(top[1]), pa.array(top[2])], names=["seed", "item_id", "score"])
+
+    given = held.select("item_id", "v", "groups").where((F.size("v") == width) & F.forall("v", lambda x: x.isNotNull()))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "item_id"))
-    top = scored.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return top if floor is None else top.where(F.col("score") >= floor)
+    found = given.mapInArrow(scored, "seed long, item_id long, score double").withColumn("rank", rank).where(F.col("rank") <= limit)
+    return found if floor is None else found.where(F.col("score") >= floor)
 
 
 def baseline(vectors: DataFrame) -> DataFrame:

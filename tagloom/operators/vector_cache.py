@@ -46,5 +46,4 @@ def touched(cache: DataFrame, used: DataFrame, now: str) -> DataFrame:
 
 def remember(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """The cache with new rows in the place of those of equal scope; rows with unsound vectors are refused."""
-    sound = rows.where(F.size("embedding") == F.col("dimensions")).where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)))
-    return upsert(cache, sound, SCOPE, "last_used_at")
+    return upsert(cache, rows.where(valid_vector(F.col("embedding"), F.col("dimensions"))), SCOPE, "last_used_at")

@@ -78,7 +78,7 @@ def terms(name: str, text: str, condition: str, *, page: int = 1, null_mode: str
 
     def run(g):
         fav = g.favourite if "favorite" in text else None
-        return search.newest(search.search(g.item, g.tag, g.item_tag if "*" in text else g.edges, parse_terms(text), favourite=fav, null_mode=null_mode), page).select(*CARD)
+        return search.newest(search.search(g.item, g.counted, g.item_tag, parse_terms(text), favourite=fav, null_mode=null_mode), page).select(*CARD)
 
     query(f"{ctes} {PAGE.format(condition, (page - 1) * 48)}", name)(run)
 
@@ -110,7 +110,12 @@ terms("search_meta_negated_sizes", "-highres, -lowres", "NOT (width >= 1920 OR h
 
 @query(f"{COUNTED} SELECT id, name, post_count FROM counted WHERE name ILIKE '%ring%' ORDER BY post_count DESC, id LIMIT 500")
 def wildcard_resolve(g):
-    return search.resolve_wildcard(search.tag_counts(g.tag, g.item_tag), "*ring*").select("id", "name", "post_count")
+    return search.resolve_wildcard(g.counted, "*ring*").select("id", "name", "post_count")
+
+
+@query(f"{COUNTED} SELECT count(*) > 500 AS truncated FROM counted WHERE name ILIKE '%e%'")
+def wildcard_truncated(g):
+    return search.wildcard_truncated(g.counted, "*e*")
 
 
 @query("SELECT count(*) AS n FROM item")
@@ -128,7 +133,7 @@ def _around(condition: str) -> str:
 
 @query(_around(f"i.id IN {TAGGED.format('red plate')}"))
 def neighbors_search(g):
-    return search.neighbours(search.search(g.item, g.tag, g.edges, parse_terms("red plate")), g.item.where("id = 77"))
+    return search.neighbours(search.search(g.item, g.counted, g.item_tag, parse_terms("red plate")), g.item.where("id = 77"))
 
 
 @query(_around("true"))
@@ -168,12 +173,12 @@ VALID = "(category <> 'ARTIST' OR (NOT regexp_matches(name, '^[0-9]+$') AND NOT
 
 @query(f"{COUNTED} SELECT id, name, category, post_count AS count, greatest((SELECT count(*) FROM item) - post_count, 0) AS remaining FROM counted WHERE name ILIKE '%gear%' AND {VALID} ORDER BY post_count DESC, name, id LIMIT 20")
 def suggest_simple(g):
-    return facets.suggest(g.tag, g.item_tag, g.item.agg(F.count("*").alias("total")), "gear")
+    return facets.suggest(g.counted, g.item_tag, g.item.agg(F.count("*").alias("total")), "gear")
 
 
 @query(f"{COUNTED} SELECT id, name, category, post_count AS count, greatest((SELECT count(*) FROM item) - post_count, 0) AS remaining FROM counted WHERE category = 'ARTIST' AND {VALID} ORDER BY post_count DESC, name, id LIMIT 50")
 def suggest_popular(g):
-    return facets.suggest(g.tag, g.item_tag, g.item.agg(F.count("*").alias("total")), category="ARTIST", limit=50)
+    return facets.suggest(g.counted, g.item_tag, g.item.agg(F.count("*").alias("total")), category="ARTIST", limit=50)
 
 
 GROUPED = "eligible AS (SELECT * FROM grp WHERE member_count >= 2 AND member_hash IS NOT NULL), inside AS (SELECT DISTINCT item_id AS id FROM grp_item WHERE group_id IN (SELECT id FROM eligible))"
@@ -208,7 +213,7 @@ def cooccurrence(name: str, text: str, left: str, own: tuple[str, ...], *, group
     def run(g):
         fav = g.favourite if "favorite" in text else None
         inside = facets.grouped_items(g.grp, g.grp_item) if grouped else None
-        return facets.cooccurring(g.item, g.tag, g.item_tag, parse_terms(text), text=typed, category=category, favourite=fav, grouped=inside)
+        return facets.cooccurring(g.item, g.counted, g.item_tag, parse_terms(text), text=typed, category=category, favourite=fav, grouped=inside)
 
     query(body, name)(run)
 
@@ -235,12 +240,12 @@ _LIMIT = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in facets.B
 
 @query(f"{COUNTED}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY post_count DESC, id) AS rank FROM counted) SELECT id, name, category, post_count, rank FROM r WHERE rank <= {_LIMIT}")
 def tree_balanced(g):
-    return facets.balanced(g.tag, g.item_tag)
+    return facets.balanced(g.counted, g.item_tag)
 
 
 @query(f"{COUNTED}, l AS ({_T.format('red plate')} INTERSECT {_T.format('blue ring')}), c AS (SELECT tag_id, count(*) AS count FROM item_tag WHERE item_id IN (SELECT id FROM l) GROUP BY tag_id) SELECT id, name, category, post_count, count, (SELECT count(*) FROM l) - count AS remaining FROM counted JOIN c ON id = tag_id WHERE lower(name) NOT IN ('red plate', 'blue ring') AND (SELECT count(*) FROM l) - count > 0 ORDER BY count DESC, id LIMIT 50")
 def tree_selected(g):
-    return facets.tree(g.item, g.tag, g.item_tag, parse_terms("red plate, blue ring"))
+    return facets.tree(g.item, g.counted, g.item_tag, parse_terms("red plate, blue ring"))
 
 
 @query(f"p AS ({PAGE.format(f'id IN {TAGGED.format(chr(114) + "ed plate")}', 0)}), c AS (SELECT tag_id, count(*) AS count FROM item_tag WHERE item_id IN (SELECT id FROM p) GROUP BY tag_id) SELECT t.id, name, category, count FROM tag t JOIN c ON t.id = tag_id WHERE lower(name) <> 'red plate' ORDER BY count DESC, name, t.id LIMIT 30")
@@ -251,12 +256,12 @@ def related_tags_page(g):
 
 @query(f"{COUNTED} SELECT id, name, category, post_count FROM counted ORDER BY post_count DESC, id LIMIT 100")
 def tag_listing_count(g):
-    return facets.listing(g.tag, g.item_tag)
+    return facets.listing(g.counted, g.item_tag)
 
 
 @query(f"{COUNTED} SELECT id, name, category, post_count FROM counted WHERE category = 'META' AND name ILIKE '%ring%' ORDER BY name, id LIMIT 100")
 def tag_listing_name(g):
-    return facets.listing(g.tag, g.item_tag, "ring", "META", "name")
+    return facets.listing(g.counted, g.item_tag, "ring", "META", "name")
 
 
 @query("SELECT category, count(*) AS n FROM tag GROUP BY category UNION ALL SELECT NULL, count(*) FROM tag")
@@ -336,10 +341,10 @@ def reading_page_clamped(g):
 
 # --- similarity
 
-SEED_ITEMS = "id % 750 = 1"
+SEEDS = f"SELECT item_id AS seed FROM favourite ORDER BY \"at\" DESC, item_id LIMIT {feed.RECENT}"
 REC = f"""{WEIGHT}, norm AS (SELECT item_id, sqrt(sum(idf * idf)) AS norm FROM item_tag JOIN weight USING (tag_id) GROUP BY item_id),
 kept AS (SELECT tag_id, idf FROM weight WHERE post_count > 1 AND post_count <= greatest(500, floor(0.30 * items))),
-seeds AS (SELECT id AS seed FROM item WHERE {SEED_ITEMS}),
+seeds AS ({SEEDS}),
 own0 AS (SELECT seed, tag_id, idf, row_number() OVER (PARTITION BY seed ORDER BY idf DESC, tag_id) AS place FROM seeds JOIN item_tag ON item_id = seed JOIN kept USING (tag_id)),
 own AS (SELECT * FROM own0 WHERE place <= 64),
 met AS (SELECT seed, t.item_id, sum(idf * idf) AS shared FROM own o JOIN item_tag t USING (tag_id) WHERE place <= 16 AND t.item_id <> seed AND NOT EXISTS (SELECT 1 FROM grp_item a JOIN grp_item b USING (group_id) WHERE a.item_id = seed AND b.item_id = t.item_id) GROUP BY seed, t.item_id),
@@ -352,15 +357,16 @@ ranked AS (SELECT seed AS item_id, item_id AS recommended_id, score, row_number(
 
 @query(f"{REC} SELECT item_id, recommended_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 10")
 def rec_batch(g):
-    seeds = g.item.where(SEED_ITEMS).select(F.col("id").alias("item_id"))
-    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item).withColumn("score", F.round("score", 6))
+    """One batch of seeds as a feed asks for: the newest favourites."""
+    seeds = g.favourite.orderBy(F.desc("at"), "item_id").limit(feed.RECENT).select("item_id")
+    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item, weight=g.weight, norm=g.norm).withColumn("score", F.round("score", 6))
 
 
 @query(None)
 def rec_all(g):
-    """rec_batch for every item; a brute-force test stands for SQL, which is too slow over all."""
+    """Recommendations of every item; a brute-force test stands for SQL, which is too slow over all."""
     seeds = g.item.select(F.col("id").alias("item_id"))
-    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item).withColumn("score", F.round("score", 6))
+    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item, weight=g.weight, norm=g.norm).withColumn("score", F.round("score", 6))
 
 
 @query(f"{WEIGHT} SELECT count(*) AS tags, count(*) FILTER (WHERE post_count > 1 AND post_count <= greatest(500, floor(0.30 * items))) AS kept FROM weight")
@@ -385,15 +391,9 @@ def knn_min_score(g):
 _SAME = "NOT EXISTS (SELECT 1 FROM grp_item x JOIN grp_item y USING (group_id) WHERE x.item_id = b.item_id AND y.item_id = a.item_id)"
 
 
-@query(f"r AS (SELECT b.item_id AS seed, a.item_id, {COSINE} AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY {COSINE} DESC, a.item_id) AS rank FROM embedding a, embedding b WHERE b.item_id % 31 = 0 AND a.item_id <> b.item_id AND {_SAME}) SELECT * FROM r WHERE rank <= 20")
+@query(f"r AS (SELECT b.item_id AS seed, a.item_id, {COSINE} AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY {COSINE} DESC, a.item_id) AS rank FROM embedding a, embedding b WHERE a.item_id <> b.item_id AND {_SAME}) SELECT * FROM r WHERE rank <= 20")
 def knn_batch(g):
-    seeds = g.embedding.where("item_id % 31 = 0").select(F.col("item_id").alias("seed"), F.col("v").alias("q"))
-    return similar.nearest_to_each(g.embedding, seeds, g.grp_item)
-
-
-@query(None)
-def knn_all(g):
-    """knn_batch for every vector, block by block; a brute-force test stands for SQL."""
+    """The neighbours of every vector, block by block."""
     seeds = g.embedding.select(F.col("item_id").alias("seed"), F.col("v").alias("q"))
     return similar.nearest_to_each(g.embedding, seeds, g.grp_item)
 
@@ -438,14 +438,14 @@ def _channels(g):
     plus = feed.recency_weights(g.favourite, AS_OF).orderBy(F.desc("at"), "item_id").limit(10).select(F.col("item_id").alias("seed"), "weight", F.lit(True).alias("positive"))
     minus = feed.negative_seeds(g.dismissal, AS_OF).orderBy(F.desc("weight"), "seed").limit(10).withColumn("positive", F.lit(False))
     seeds = plus.unionByName(minus)
-    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED)
+    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED, weight=g.weight, norm=g.norm)
     return seeds, near.select(F.col("item_id").alias("seed"), F.col("recommended_id").alias("item_id"), F.col("score").alias("similarity"), F.lit("tag").alias("channel")).join(seeds, "seed")
 
 
 _FEED = f"""plus_seeds AS (SELECT item_id AS seed, {_DECAY.format(AS_OF, '"at"', 90.0)} AS weight, true AS positive FROM favourite ORDER BY "at" DESC, item_id LIMIT 10),
 minus30 AS (SELECT item_id AS seed, {_DECAY.format(AS_OF, '"at"', 60.0)} AS weight, false AS positive FROM dismissal ORDER BY "at" DESC, item_id LIMIT 30),
 minus_seeds AS (SELECT * FROM minus30 ORDER BY weight DESC, seed LIMIT 10), signed AS (SELECT * FROM plus_seeds UNION ALL SELECT * FROM minus_seeds),
-{REC.replace(f"SELECT id AS seed FROM item WHERE {SEED_ITEMS}", "SELECT seed FROM signed")},
+{REC.replace(SEEDS, "SELECT seed FROM signed")},
 each_ AS (SELECT s.seed, positive, recommended_id AS item_id, 0.3 * weight * least(greatest(score, 0), 1) / CASE WHEN recommended_id IN (SELECT item_id FROM embedding) AND s.seed IN (SELECT item_id FROM embedding) THEN 1.0 ELSE 0.3 END AS c FROM ranked r JOIN signed s ON s.seed = r.item_id WHERE rank <= 20),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id, positive ORDER BY c DESC) - 1 AS k FROM each_),
 merged_feed AS (SELECT item_id, round(coalesce(sum(CASE WHEN positive THEN round(c, 12) * pow(0.8, k) END), 0) - 0.8 * coalesce(sum(CASE WHEN NOT positive THEN c END), 0), 9) AS score FROM numbered GROUP BY item_id HAVING score > 0)"""
@@ -497,7 +497,7 @@ def feed_full(g):
     views = feed.view_seeds(viewed, explicit, AS_OF).withColumn("positive", F.lit(True))
     dismissed = feed.collapsed(g.dismissal, g.grp_item, set(), feed.NEGATIVES * feed.OVERFETCH)
     seeds = plus.unionByName(views).unionByName(feed.negative_seeds(dismissed, AS_OF).withColumn("positive", F.lit(False)))
-    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED)
+    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED, weight=g.weight, norm=g.norm)
     by_tag = near.select(F.col("item_id").alias("seed"), F.col("recommended_id").alias("item_id"), F.col("score").alias("similarity"), F.lit("tag").alias("channel"))
     own = seeds.join(g.embedding, F.col("seed") == F.col("item_id")).select("seed", F.col("v").alias("q"))
     by_vector = similar.nearest_to_each(g.embedding, own, g.grp_item, limit=feed.PER_SEED)
@@ -599,7 +599,7 @@ def home_stats(g):
 
 @query(f"{COUNTED}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY post_count DESC, id) AS rank FROM counted WHERE category <> 'META') SELECT category, rank, id, name, post_count FROM r WHERE rank <= 20")
 def popular_tags(g):
-    return stats.popular(g.tag, g.item_tag)
+    return stats.popular(g.counted, g.item_tag)
 
 
 @query("SELECT count(*) AS recent FROM item WHERE imported_at >= TIMESTAMP '1998-07-15 00:00:00' - INTERVAL 24 HOURS")

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import median_bits
+from ..operators.recommend import norms, weights
+from ..operators.search import tag_counts
+from ..sources.store import stored
 
 #: The moment that ages are counted from; queries never read the clock.
 AS_OF = "2024-02-01 00:00:00"
@@ -45,12 +48,32 @@ class Gallery:
         """item_tag with repeated rows: semi and anti joins need no distinct, which would be a shuffle."""
         return self.table("lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_partkey").alias("tag_id"))
 
+    def stored(self, name: str, tables: tuple[str, ...], build) -> DataFrame:
+        """A relation that a library holds as a table: derived once from the driver's tables, and read from then on."""
+        return stored(self.spark, name, [f"{self.sf_dir}/{t}.parquet" for t in tables], build)
+
     @cached_property
     def item_tag(self) -> DataFrame:
-        return self.edges.distinct()
+        return self.stored("item_tag", ("lineitem",), lambda: self.edges.distinct().repartitionByRange("tag_id").sortWithinPartitions("tag_id", "item_id"))
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """tag with its stored post_count."""
+        return self.stored("counted", ("part", "lineitem"), lambda: tag_counts(self.tag, self.item_tag))
+
+    @cached_property
+    def weight(self) -> DataFrame:
+        return self.stored("weight", ("orders", "lineitem"), lambda: weights(self.item, self.item_tag))
+
+    @cached_property
+    def norm(self) -> DataFrame:
+        return self.stored("norm", ("orders", "lineitem"), lambda: norms(self.item, self.item_tag, self.weight))
 
     @cached_property
     def grp_item(self) -> DataFrame:
+        return self.stored("grp_item", ("orders",), self._grp_item)
+
+    def _grp_item(self) -> DataFrame:
         orders = self.table("orders")
         place = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
         by_customer = orders.select("o_custkey", "o_orderkey", (F.row_number().over(place) - 1).alias("position"))
@@ -62,6 +85,9 @@ class Gallery:
 
     @cached_property
     def grp(self) -> DataFrame:
+        return self.stored("grp", ("orders", "customer"), self._grp)
+
+    def _grp(self) -> DataFrame:
         orders, customer = self.table("orders"), self.table("customer")
         own = orders.select(F.col("o_custkey").alias("c_custkey")).distinct().join(customer, "c_custkey")
         none = F.lit(None).cast("string")
@@ -87,7 +113,7 @@ class Gallery:
 
     @cached_property
     def phash(self) -> DataFrame:
-        return self.embedding.select("item_id", median_bits(F.col("v")).alias("phash"))
+        return self.stored("phash", ("embeddings",), lambda: self.embedding.select("item_id", median_bits(F.col("v")).alias("phash")))
 
     def signal(self, types: tuple[str, ...]) -> DataFrame:
         """(item_id, at, n): latest time and number of the events of the types, dealt over the items."""
@@ -97,15 +123,15 @@ class Gallery:
 
     @cached_property
     def favourite(self) -> DataFrame:
-        return self.signal(("purchase",)).select("item_id", "at")
+        return self.stored("favourite", ("orders", "events"), lambda: self.signal(("purchase",)).select("item_id", "at"))
 
     @cached_property
     def dismissal(self) -> DataFrame:
-        return self.signal(("error",)).select("item_id", "at").join(self.favourite.select("item_id"), "item_id", "left_anti")
+        return self.stored("dismissal", ("orders", "events"), lambda: self.signal(("error",)).select("item_id", "at").join(self.favourite.select("item_id"), "item_id", "left_anti"))
 
     @cached_property
     def view(self) -> DataFrame:
-        return self.signal(("view", "click")).select("item_id", "at", F.col("n").alias("view_count"))
+        return self.stored("view", ("orders", "events"), lambda: self.signal(("view", "click")).select("item_id", "at", F.col("n").alias("view_count")))
 
 
 def member_stats(grp_item: DataFrame) -> DataFrame:

@@ -19,8 +19,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 
 def upsert_if_changed(old: DataFrame, new: DataFrame, key: str, col: str) -> DataFrame:
-    """old with col replaced where new has another value that isn't null, and new's further rows."""
-    a, b = old.withColumnRenamed(key, "tl_a"), new.select(F.col(key).alias("tl_b"), F.col(col).alias("tl_value"))
+    """old with col replaced where new has another value that isn't null, and new's further rows.
+
+    Of several rows of new with one key the largest value counts.
+    """
+    a, b = old.withColumnRenamed(key, "tl_a"), new.groupBy(F.col(key).alias("tl_b")).agg(F.max(col).alias("tl_value"))
     joined = a.join(b, F.col("tl_a") == F.col("tl_b"), "full_outer")
     changed = F.col("tl_value").isNotNull() & ~F.col(col).eqNullSafe(F.col("tl_value"))
     rest = [c for c in old.columns if c not in (key, col)]

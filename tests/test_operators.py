@@ -29,7 +29,7 @@ def test_terms():
     assert refine(["a", "-B"], "b") == ["a", "b"] and refine(["a"], "A", negated=True) == ["-A"]
     assert [positive_int(x, 48, 100) for x in ("7", "abc", None, "1e9", "-3", "500")] == [7, 48, 48, 1, 1, 100]
     assert [min_score(x) for x in (2.0, -2.0, float("nan"), None)] == [1.0, -1.0, None, None]
-    assert search_meta("wide") == ["portrait", "landscape", "square"] and set(META_TAGS) >= set(search_meta(""))
+    assert search_meta("wide") == ["portrait", "landscape"] and search_meta("WebM") == ["video"] and search_meta("full hd") == ["highres"] and search_meta("gif") == ["animated"] and set(META_TAGS) >= set(search_meta(""))
 
 
 def test_tag_text(spark):
@@ -315,3 +315,37 @@ def test_plans(spark, sf):
     page = text(search.newest(search.search(g.item, g.tag, g.item_tag, parse_terms("red plate, -old rod")), 2))
     assert "TakeOrderedAndProject" in page and "CartesianProduct" not in page and "p_brand" not in page
     assert "WindowGroupLimit" in text(groups.previews(g.grp_item))
+
+
+def test_unsound_vectors_are_not_kept(spark):
+    cache = spark.createDataFrame([], "query_hash string, base_url string, model string, dimensions int, embedding array<double>, last_used_at timestamp")
+    rows = spark.sql("SELECT k AS query_hash, 'u' AS base_url, 'm' AS model, 2 AS dimensions, e AS embedding, timestamp '2024-01-01' AS last_used_at FROM VALUES ('a', array(1D, 2D)), ('b', array(double('inf'), 1D)), ('c', array(double('nan'), 1D)), ('d', array(1D)) AS t(k, e)")
+    kept = vector_cache.remember(cache, rows)
+    assert [r["query_hash"] for r in kept.collect()] == ["a"]
+
+
+def test_upsert_of_repeated_keys(spark):
+    from tagloom.sources import upsert
+
+    old = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, v string, w int")
+    new = spark.createDataFrame([(1, "c"), (1, "d"), (1, None), (3, "x"), (3, "y")], "k int, v string")
+    assert sorted(map(tuple, upsert.upsert_if_changed(old, new, "k", "v").collect()), key=str) == [(1, "d", 5), (2, "b", 6), (3, "y", None)]
+
+
+def test_stored_relations_follow_their_inputs(spark, tmp_path):
+    """A stored relation is built once, and again when the files that it comes from change."""
+    from tagloom.sources.store import stored
+
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(f"{tmp_path}/t.parquet").groupBy().count()
+
+    def now():
+        return stored(spark, "test-relation", [f"{tmp_path}/t.parquet"], build).first()["count"]
+
+    spark.range(5).write.parquet(f"{tmp_path}/t.parquet")
+    assert (now(), now(), len(built)) == (5, 5, 1)
+    spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert (now(), now(), len(built)) == (7, 7, 2)
