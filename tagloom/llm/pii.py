@@ -42,6 +42,8 @@ TERM_PATTERN = r"\p{L}[\p{L}\p{M}\p{N}]*+(?:['-][\p{L}\p{M}\p{N}]++)*+"
 LEAST_LENGTH = 3
 #: Rows up to which terms or pairs are broadcast; beyond, joins are by shuffle.
 MOST_ROWS = 200_000
+#: Numbers of eight bytes that are broadcast at most.
+MOST_HASHES = 1_000_000
 #: Texts up to which their terms' spans are broadcast, and terms of a text up to which each word is compared with all of them.
 MOST_TEXTS, MOST_COMPARED = 20_000, 64
 
@@ -120,10 +122,11 @@ def counted(docs: DataFrame, wanted: DataFrame, copied: DataFrame) -> DataFrame:
     """
     words = texts_of(docs).join(small_side(copied, MOST_ROWS), "tl_key", "left")
     words = words.select(F.explode(words_of(F.col("tl_text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
-    few = wanted.limit(MOST_ROWS + 1).count() <= MOST_ROWS
-    words = words.join(F.broadcast(wanted), "term", "left_semi") if few else words
-    counts = words.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df_t"))
-    return counts if few else counts.join(wanted, "term", "left_semi")
+    # Hashes of the wanted terms, where they are few enough, spare the others the shuffle; the join after it is exact.
+    hashed = wanted.select(F.xxhash64("term").alias("h")).distinct()
+    if wanted.limit(MOST_HASHES + 1).count() <= MOST_HASHES:
+        words = words.join(F.broadcast(hashed), F.xxhash64("term") == F.col("h"), "left_semi")
+    return words.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("df_t")).join(small_side(wanted, MOST_ROWS), "term", "left_semi")
 
 
 def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:

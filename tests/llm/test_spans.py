@@ -129,6 +129,7 @@ def test_disclosure_against_brute_force(spark, monkeypatch, most):
 
     monkeypatch.setattr(pii, "MOST_ROWS", most)
     monkeypatch.setattr(pii, "MOST_TEXTS", most)
+    monkeypatch.setattr(pii, "MOST_HASHES", most)
     monkeypatch.setattr(pii, "MOST_COMPARED", 2 if most else 64)
     rnd = random.Random(5)
     word = lambda: "w" + str(int(rnd.expovariate(0.04))).translate(str.maketrans("0123456789", "abcdefghij")) + "x"
