@@ -45,7 +45,7 @@ MOST_ROWS = 200_000
 #: Numbers of eight bytes that are broadcast at most.
 MOST_HASHES = 1_000_000
 #: Texts up to which their terms' spans are broadcast, and terms of a text up to which each word is compared with all of them.
-MOST_TEXTS, MOST_COMPARED = 20_000, 64
+MOST_TEXTS, MOST_COMPARED = 2_000, 64
 
 
 def _luhn(digits: Column) -> Column:
