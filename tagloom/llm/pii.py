@@ -171,7 +171,11 @@ def revealing(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """found with tl_terms. Few terms are joined by broadcast; else texts with entities are dealt out by their hash, the others not."""
+    """found with tl_terms.
+
+    Few terms are joined by broadcast. Else texts with entities are dealt out by their hash; of the others only those that may
+    hold a term, told by short hashes that are broadcast while they are at most MOST_HASHES.
+    """
     none = F.array().cast(SPAN)
 
     def joined(rows: DataFrame, own: DataFrame) -> DataFrame:
@@ -180,7 +184,14 @@ def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
 
     if terms.limit(MOST_TEXTS + 1).count() <= MOST_TEXTS:
         return joined(found, terms)
-    return joined(found.where("tl_blank IS NULL"), terms.where("NOT tl_own")).unionByName(joined(found.where("tl_blank IS NOT NULL"), terms.where("tl_own")))
+    bare, others = found.where("tl_blank IS NULL"), terms.where("NOT tl_own")
+    owners = joined(found.where("tl_blank IS NOT NULL"), terms.where("tl_own"))
+    if others.limit(MOST_HASHES + 1).count() > MOST_HASHES:
+        return owners.unionByName(joined(bare, others))
+    hashes = F.broadcast(others.select(F.xxhash64("tl_key").alias("tl_hash")).distinct())
+    hit = F.xxhash64("tl_key") == F.col("tl_hash")
+    clean = bare.join(hashes, hit, "left_anti").withColumn("tl_terms", none)
+    return owners.unionByName(clean).unionByName(joined(bare.join(hashes, hit, "left_semi"), others))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:

@@ -123,13 +123,13 @@ def brute_terms(texts):
     return {t: sorted(out.get(t, ())) for t in texts}
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_disclosure_against_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "hashes"), [(200_000, 200_000), (0, 0), (0, 200_000)])
+def test_disclosure_against_brute_force(spark, monkeypatch, most, hashes):
     import random
 
     monkeypatch.setattr(pii, "MOST_ROWS", most)
     monkeypatch.setattr(pii, "MOST_TEXTS", most)
-    monkeypatch.setattr(pii, "MOST_HASHES", most)
+    monkeypatch.setattr(pii, "MOST_HASHES", hashes)
     monkeypatch.setattr(pii, "MOST_COMPARED", 2 if most else 64)
     rnd = random.Random(5)
     word = lambda: "w" + str(int(rnd.expovariate(0.04))).translate(str.maketrans("0123456789", "abcdefghij")) + "x"
