@@ -171,7 +171,7 @@ def collapsed(signals: DataFrame, grp_item: DataFrame, claimed: set[int], most:
     kept ids and the claimed groups.
     """
     newest = signals.orderBy(F.desc("at"), "item_id").limit(most) if most else signals
-    groups = grp_item.groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
+    groups = grp_item.join(newest.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
     rows = newest.select("item_id", "at").join(groups, "item_id", "left").orderBy(F.desc("at"), "item_id").select("item_id", "groups").toLocalIterator()
     kept = first_claim(((r["item_id"], r["groups"] or []) for r in rows), claimed)
     ids = signals.sparkSession.createDataFrame([(i,) for i in kept], "item_id long")
@@ -181,13 +181,11 @@ def collapsed(signals: DataFrame, grp_item: DataFrame, claimed: set[int], most:
 def one_of_each_group(ranked: DataFrame, grp_item: DataFrame) -> DataFrame:
     """ranked (item_id, score) after the first-claim rule over the items' groups.
 
-    The rule is sequential, so the candidates of one feed (at most seeds times neighbours) are folded on the driver.
+    The rule is sequential, so the candidates of one feed (its seeds times their neighbours) are folded on the driver, partition
+    by partition as they arrive, however many there are.
     """
-    groups = grp_item.groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
-    rows = ranked.join(groups, "item_id", "left").orderBy(F.desc("score"), "item_id").select("item_id", "groups").limit(BATCH).collect()
-    kept = first_claim([(r["item_id"], r["groups"] or []) for r in rows])
-    return ranked.join(F.broadcast(ranked.sparkSession.createDataFrame([(i,) for i in kept], "item_id long")), "item_id", "left_semi")
-
-
-#: Candidates of one feed: all seeds' neighbours of both channels, twice over.
-BATCH = 2 * (RECENT + SAMPLED + VIEWS + NEGATIVES) * PER_SEED * 2
+    groups = grp_item.join(ranked.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
+    rows = ranked.join(groups, "item_id", "left").orderBy(F.desc("score"), "item_id").select("item_id", "groups").toLocalIterator()
+    kept = first_claim((r["item_id"], r["groups"] or []) for r in rows)
+    ids = ranked.sparkSession.createDataFrame([(i,) for i in kept], "item_id long")
+    return ranked.join(F.broadcast(ids) if len(kept) <= MOST_BROADCAST else ids, "item_id", "left_semi")

@@ -10,6 +10,8 @@ from .facets import eligible_groups
 from .search import cursor_of, tag_counts
 
 PREVIEW, CREATORS = 10, 3
+# Artists that a group's page looks at, and those that it names.
+PAGE_ARTISTS, PAGE_CREATORS = 10, 5
 
 
 def merged(grp: DataFrame) -> DataFrame:
@@ -61,6 +63,19 @@ def creators(grp_item: DataFrame, tag: DataFrame, item_tag: DataFrame, most: int
     return top.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("creators"))
 
 
+def page_creators(grp_item: DataFrame, tag: DataFrame, item_tag: DataFrame) -> DataFrame:
+    """(group_id, creators): of the PAGE_ARTISTS artists of most items, ties by id, the first PAGE_CREATORS valid ones.
+
+    Validity is judged after the cut, so a group of many invalid names can show none.
+    """
+    artists = tag_counts(tag, item_tag).where(F.col("category") == "ARTIST").select(F.col("id").alias("tag_id"), "name", "post_count")
+    met = grp_item.select("group_id", "item_id").join(item_tag, "item_id").join(artists, "tag_id").select("group_id", "tag_id", "name", "post_count").distinct()
+    first = Window.partitionBy("group_id")
+    top = met.withColumn("place", F.row_number().over(first.orderBy(F.desc("post_count"), "tag_id"))).where(F.col("place") <= PAGE_ARTISTS)
+    valid = top.where(valid_creator(F.col("name"))).withColumn("rank", F.row_number().over(first.orderBy("place"))).where(F.col("rank") <= PAGE_CREATORS)
+    return valid.groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ", ").alias("creators"))
+
+
 def type_counts(grp: DataFrame) -> DataFrame:
     """(source_type, n): distinct member lists a type, and under a null type those of all groups."""
     rows = eligible_groups(grp)

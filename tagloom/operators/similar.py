@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, hamming
+from ..sources.upsert import replace_keys
+from .jobs import VectorConfig
 
 # Results of a search, candidates and limit of a panel, sample of a calibration.
 SEARCH_CAP, CANDIDATES, PANEL, PANEL_FLOOR = 288, 200, 20, 0.25
+MOST_RESULTS = 1000
 SAMPLE, LEAST_SAMPLE, PERCENTILE, MOST_BASELINE = 48, 16, 0.9, 0.95
 #: Seeds that one block may broadcast, about.
 MOST_SEEDS = 4_096
@@ -27,6 +30,19 @@ def nearest(vectors: DataFrame, query: DataFrame, *, exclude_self: bool = False,
     return top if min_score is None else top.where(F.col("score") >= min_score)
 
 
+def complete(vectors: DataFrame, config: VectorConfig) -> DataFrame:
+    """(item_id, v) of the vectors of one config that are done."""
+    return vectors.where(config.matches() & (F.col("status") == "COMPLETE") & F.col("v").isNotNull()).select("item_id", "v")
+
+
+def result_page(vectors: DataFrame, config: VectorConfig, query: DataFrame, *, skip: int = 0, limit: int = PANEL, cap: int = MOST_RESULTS, min_score: float | None = None, exclude_self: bool = False) -> DataFrame:
+    """(item_id, score, total): a page of what nearest gives over a config's vectors; total counts all that pass the floor."""
+    cap = min(max(cap, 1), MOST_RESULTS)
+    passing = nearest(complete(vectors, config), query, exclude_self=exclude_self, cap=cap, min_score=min_score)
+    total = F.count("*").over(Window.partitionBy(F.lit(0)))  # at most MOST_RESULTS rows
+    return passing.withColumn("total", total).orderBy(F.desc("score"), "item_id").offset(skip).limit(limit)
+
+
 def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None = None, *, limit: int = PANEL, floor: float | None = None) -> DataFrame:
     """(seed, item_id, score, rank): for each seed (seed, q) the nearest vectors outside of its groups, then the floor.
 
@@ -123,6 +139,23 @@ def baseline(vectors: DataFrame) -> DataFrame:
     return at.crossJoin(n).select(F.round(F.when(F.col("sample") >= LEAST_SAMPLE, clamped).otherwise(0.0), 6).alias("baseline"), "sample")  # one row each
 
 
+SETTING = ["base_url", "model", "dimensions", "resolution"]
+
+
+def known_baseline(settings: DataFrame, config: VectorConfig, generation: int) -> DataFrame:
+    """(baseline, sample) as stored for a config under the present generation; none if vectors were cleared since."""
+    return settings.where(config.matches() & (F.col("generation") == generation)).select("baseline", "sample")
+
+
+def remember_baseline(settings: DataFrame, estimate: DataFrame, config: VectorConfig, generation: int) -> DataFrame:
+    """The settings with an estimate (baseline, sample) in the place of the config's row, stamped with the generation read before
+    it was made. Estimates from less than a whole sample aren't stored, as more vectors will change them."""
+    stamp = {"base_url": config.base_url, "model": config.model, "dimensions": config.dimensions, "resolution": config.resolution, "generation": generation}
+    whole = estimate.where(F.col("sample") >= SAMPLE)
+    rows = whole.select(*[F.lit(v).cast(settings.schema[k].dataType).alias(k) for k, v in stamp.items()], "baseline", "sample")
+    return replace_keys(settings, rows, SETTING)
+
+
 def calibrated(score, base):
     """The score above the baseline as a part of what lies above it, between 0 and 1."""
     return F.least(F.greatest((score - base) / (1 - base), F.lit(0.0)), F.lit(1.0))

@@ -133,6 +133,47 @@ class Gallery:
     def view(self) -> DataFrame:
         return self.stored("view", ("orders", "events"), lambda: self.signal(("view", "click")).select("item_id", "at", F.col("n").alias("view_count")))
 
+    @cached_property
+    def job(self) -> DataFrame:
+        """(item_id, thumbnail_status, ocr_status)."""
+        return self.item.selectExpr(
+            "id AS item_id",
+            "CASE id % 9 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'PROCESSING' WHEN 4 THEN 'UNSUPPORTED' ELSE 'COMPLETE' END AS thumbnail_status",
+            "CASE id % 10 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PENDING' ELSE 'COMPLETE' END AS ocr_status",
+        )
+
+    @cached_property
+    def vector_row(self) -> DataFrame:
+        """(item_id, base_url, model, dimensions, resolution, status, v): the vectors as rows of two configs."""
+        return self.embedding.selectExpr(
+            "item_id", "'http://local' AS base_url", "CASE WHEN item_id % 5 = 0 THEN 'old' ELSE 'base' END AS model", "size(v) AS dimensions", "512 AS resolution",
+            "CASE WHEN item_id % 6 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status", "v",
+        )
+
+    @cached_property
+    def region(self) -> DataFrame:
+        """Text boxes: one of some hundred images a document, partly outside of it."""
+        return self.table("documents").selectExpr(
+            "doc_id % 300 AS item_id", "doc_id AS reading_order", "CAST(doc_id * 7 % 131 - 20 AS DOUBLE) AS x", "CAST(doc_id * 11 % 101 - 10 AS DOUBLE) AS y",
+            "CAST(doc_id % 40 AS DOUBLE) AS width", "CAST(doc_id % 30 AS DOUBLE) AS height", "100.0D AS image_width", "80.0D AS image_height",
+            "CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE concat(' box ', doc_id, ' ') END AS ocr_text",
+        )
+
+    @cached_property
+    def rec_cache(self) -> DataFrame:
+        """(item_id, recommended_id, score, computed_at): two cached rows an item, of some days."""
+        return self.item.selectExpr(
+            "id AS item_id", "explode(array(1, 2)) AS k",
+        ).selectExpr("item_id", "item_id + k AS recommended_id", "1.0D / k AS score", f"TIMESTAMP '{AS_OF}' - make_interval(0, 0, 0, 0, CAST(item_id % 40 + 3 * k AS INT)) AS computed_at")
+
+    @cached_property
+    def query_vector(self) -> DataFrame:
+        """The cache of query vectors: the embeddings as answers to texts."""
+        return self.embedding.selectExpr(
+            "sha2(concat('query ', item_id), 256) AS query_hash", "'http://local' AS base_url", "CASE WHEN item_id % 5 = 0 THEN 'old' ELSE 'base' END AS model",
+            "size(v) AS dimensions", "concat('query ', item_id) AS query", "v AS embedding", f"TIMESTAMP '{AS_OF}' - make_interval(0, 0, 0, CAST(item_id % 30 AS INT)) AS last_used_at",
+        )
+
 
 def member_stats(grp_item: DataFrame) -> DataFrame:
     """(group_id, member_count, member_hash): MD5 of the members' ids in numeric order, comma-joined."""
@@ -169,7 +210,14 @@ phash AS (SELECT item_id, list_sum(list_transform(range(1, 64), lambda i: CASE W
 signals AS (SELECT event_id * 7919 % (SELECT count(*) FROM orders) AS item_id, event_type, ts FROM events),
 favourite AS (SELECT item_id, max(ts) AS "at" FROM signals WHERE event_type = 'purchase' GROUP BY item_id),
 dismissal AS (SELECT item_id, max(ts) AS "at" FROM signals WHERE event_type = 'error' AND item_id NOT IN (SELECT item_id FROM favourite) GROUP BY item_id),
-view_ AS (SELECT item_id, max(ts) AS "at", count(*) AS view_count FROM signals WHERE event_type IN ('view', 'click') GROUP BY item_id)"""
+view_ AS (SELECT item_id, max(ts) AS "at", count(*) AS view_count FROM signals WHERE event_type IN ('view', 'click') GROUP BY item_id),
+job AS (SELECT id AS item_id, CASE id % 9 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'PROCESSING' WHEN 4 THEN 'UNSUPPORTED' ELSE 'COMPLETE' END AS thumbnail_status,
+    CASE id % 10 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PENDING' WHEN 2 THEN 'PENDING' ELSE 'COMPLETE' END AS ocr_status FROM item),
+vector_row AS (SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE 'base' END AS model, CASE WHEN item_id % 6 = 0 THEN 'FAILED' ELSE 'COMPLETE' END AS status, v FROM embedding),
+region AS (SELECT doc_id % 300 AS item_id, doc_id AS reading_order, CAST(doc_id * 7 % 131 - 20 AS DOUBLE) AS x, CAST(doc_id * 11 % 101 - 10 AS DOUBLE) AS y, CAST(doc_id % 40 AS DOUBLE) AS width, CAST(doc_id % 30 AS DOUBLE) AS height,
+    CASE WHEN doc_id % 11 = 0 THEN '  ' ELSE ' box ' || doc_id || ' ' END AS ocr_text FROM documents),
+rec_cache AS (SELECT id AS item_id, id + k AS recommended_id, CAST(1 AS DOUBLE) / k AS score, TIMESTAMP '{AS_OF}' - to_hours(CAST(id % 40 + 3 * k AS INTEGER)) AS computed_at FROM item, (VALUES (1), (2)) AS t(k)),
+query_vector AS (SELECT sha256('query ' || item_id) AS query_hash, CASE WHEN item_id % 5 = 0 THEN 'old' ELSE 'base' END AS model, TIMESTAMP '{AS_OF}' - to_days(CAST(item_id % 30 AS INTEGER)) AS last_used_at, item_id FROM embedding)"""
 
 
 def sql(body: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import services as services  # registers its queries
 from .plans.catalogue import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
