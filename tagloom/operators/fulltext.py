@@ -60,21 +60,33 @@ def matches(ws: Column, query: str, prefix: bool = True) -> Column:
 
 
 def rank(ws: Column, query: str, prefix: bool = True) -> Column:
-    """Cover density: the sum over minimal stretches that hold all wanted terms of a weight over their length."""
-    terms = sorted({t for part in parse(query) for negated, ts in part if not negated for t in ts})
-    if not terms:
-        return F.lit(0.0)
+    """Cover density: the sum, over the minimal stretches that satisfy an alternative, of a weight over one plus the words in the
+    stretch that match nothing. The alternatives of the query add up; one that asks for all that another does is left out."""
+    wanted = {frozenset(t for negated, ts in part if not negated for t in ts) for part in parse(query)} - {frozenset()}
+    least = sorted(sorted(x) for x in wanted if not any(y < x for y in wanted))
+    single = [terms[0] for terms in least if len(terms) == 1]
+    # Each hit of a word that is an alternative by itself is a stretch.
+    total = F.aggregate(ws, F.lit(0.0), lambda s, w: s + sum((F.when(_hit(w, t, prefix), COVER_WEIGHT).otherwise(0.0) for t in single), F.lit(0.0))) if single else F.lit(0.0)
+    return sum((_covers(ws, terms, prefix) for terms in least if len(terms) > 1), total)
+
+
+def _covers(ws: Column, terms: list[str], prefix: bool) -> Column:
     which = lambda w: F.coalesce(*[F.when(_hit(w, t, prefix), F.lit(i)) for i, t in enumerate(terms)])
     hits = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("at"), which(w).alias("t"))), lambda h: h["t"].isNotNull())
-    n = len(terms)
-    never = F.array(*[F.lit(-1)] * n)
-    zero = F.struct(never.alias("last"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
+    hits = F.transform(hits, lambda h, i: F.struct(h["at"].alias("at"), h["t"].alias("t"), i.alias("n")))
+    never = F.array(*[F.lit(-1)] * len(terms))
+    zero = F.struct(never.alias("last"), never.alias("nth"), F.lit(-1).alias("from"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, h: Column) -> Column:
         last = F.transform(acc["last"], lambda v, i: F.when(i == h["t"], h["at"]).otherwise(v))
-        start = F.array_min(last)
-        new = (start >= 0) & (start > acc["from"])  # a cover begins where its earliest latest term stands
-        return F.struct(last.alias("last"), F.when(new, start).otherwise(acc["from"]).alias("from"), (acc["sum"] + F.when(new, COVER_WEIGHT / (h["at"] - start + 1)).otherwise(0.0)).alias("sum"))
+        nth = F.transform(acc["nth"], lambda v, i: F.when(i == h["t"], h["n"]).otherwise(v))
+        now = F.struct(last.alias("last"), nth.alias("nth"))
+        return _bound(now, lambda x: _bound(F.struct(x["last"].alias("last"), x["nth"].alias("nth"), F.array_min(x["last"]).alias("start")), lambda y: grown(acc, h, y)))
+
+    def grown(acc: Column, h: Column, x: Column) -> Column:
+        new = (x["start"] >= 0) & (x["start"] > acc["from"])  # a cover begins where its earliest latest term stands
+        others = h["at"] - x["start"] - (h["n"] - F.array_min(x["nth"]))
+        return F.struct(x["last"].alias("last"), x["nth"].alias("nth"), F.when(new, x["start"]).otherwise(acc["from"]).alias("from"), (acc["sum"] + F.when(new, COVER_WEIGHT / (1 + others)).otherwise(0.0)).alias("sum"))
 
     return F.aggregate(hits, zero, step, lambda acc: acc["sum"])
 
@@ -85,14 +97,23 @@ def headline(text: Column, query: str) -> Column:
     plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     if not terms:
         return plain
-    pieces = F.split(plain, r"\s+")
     pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(re.escape(t) for t in terms) + ")"
-    at = F.filter(F.transform(pieces, lambda w, i: F.when(w.rlike(pattern), i)), lambda i: i.isNotNull())
     half = MOST_WORDS // (2 * MOST_FRAGMENTS)
-    first = F.coalesce(F.get(at, F.lit(0)), F.lit(0))
-    second = F.get(F.filter(at, lambda i: i > first + half), F.lit(0))
-    cut = lambda c: F.array_join(F.slice(pieces, F.greatest(c - half, F.lit(0)) + 1, 2 * half), " ")
-    return F.regexp_replace(F.concat_ws(" ... ", cut(first), F.when(second.isNotNull(), cut(second))), pattern, "<mark>$1</mark>")
+
+    def fragments(pieces: Column, at: Column) -> Column:
+        first = F.coalesce(F.get(at, F.lit(0)), F.lit(0))
+        second = F.get(F.filter(at, lambda i: i > first + half), F.lit(0))
+        cut = lambda c: F.array_join(F.slice(pieces, F.greatest(c - half, F.lit(0)) + 1, 2 * half), " ")
+        return F.concat_ws(" ... ", cut(first), F.when(second.isNotNull(), cut(second)))
+
+    hits = lambda pieces: F.filter(F.transform(pieces, lambda w, i: F.when(w.rlike(pattern), i)), lambda i: i.isNotNull())
+    shown = _bound(F.split(plain, r"\s+"), lambda pieces: _bound(hits(pieces), lambda at: fragments(pieces, at)))
+    return F.regexp_replace(shown, pattern, "<mark>$1</mark>")
+
+
+def _bound(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it: an array of one element binds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def search_notes(note: DataFrame, translation: DataFrame, grp: DataFrame, grp_item: DataFrame, item: DataFrame, query: str, page: int = 1) -> DataFrame:

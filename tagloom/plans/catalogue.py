@@ -481,6 +481,61 @@ def feed_dedupe_visual(g):
     return feed.visual_first(_scores(g), g.item).select("item_id", F.round("score", 9).alias("score"))
 
 
+def neighbourhoods(g, seeds):
+    """(seed, item_id, similarity, channel, weight, positive): the neighbours of the seeds (seed, weight, positive) in both channels."""
+    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED, weight=g.weight, norm=g.norm)
+    by_tag = near.select(F.col("item_id").alias("seed"), F.col("recommended_id").alias("item_id"), F.col("score").alias("similarity"), F.lit("tag").alias("channel"))
+    own = seeds.join(g.embedding, F.col("seed") == F.col("item_id")).select("seed", F.col("v").alias("q"))
+    by_vector = similar.nearest_to_each(g.embedding, own, g.grp_item, limit=feed.PER_SEED)
+    base = similar.baseline(g.embedding).select("baseline")
+    by_vector = by_vector.crossJoin(F.broadcast(base)).withColumn("similarity", similar.calibrated(F.col("score"), F.col("baseline"))).where("similarity >= 0.25")  # base is one row
+    return by_tag.unionByName(by_vector.select("seed", "item_id", "similarity", F.lit("embedding").alias("channel"))).join(seeds, "seed")
+
+
+_SIGNED = f"""signed AS (SELECT * FROM (SELECT item_id AS seed, {_DECAY.format(AS_OF, '"at"', 90.0)} AS weight, true AS positive FROM favourite ORDER BY "at" DESC, item_id LIMIT 30)
+    UNION ALL SELECT *, true FROM ({_VIEWS}) UNION ALL SELECT * FROM (SELECT item_id AS seed, {_DECAY.format(AS_OF, '"at"', 60.0)} AS weight, false AS positive FROM dismissal ORDER BY "at" DESC, item_id LIMIT 30))"""
+_BASE = "s48 AS (SELECT item_id, v FROM embedding ORDER BY md5(CAST(item_id AS VARCHAR)) LIMIT 48), base AS (SELECT round(least(greatest(quantile_cont(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 0.9), 0.0), 0.95), 6) AS baseline FROM s48 a JOIN s48 b ON a.item_id < b.item_id)"
+_CHANNELS = f"""{_SIGNED}, {REC.replace(SEEDS, "SELECT seed FROM signed")}, {_BASE},
+near_v AS (SELECT b.item_id AS seed, a.item_id, {COSINE} AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY {COSINE} DESC, a.item_id) AS place FROM embedding a, embedding b WHERE b.item_id IN (SELECT seed FROM signed) AND a.item_id <> b.item_id AND {_SAME}),
+met_by AS (SELECT item_id AS seed, recommended_id AS item_id, 0.3 AS share, score AS similarity FROM ranked WHERE rank <= 20
+    UNION ALL SELECT seed, item_id, 0.7, least(greatest((score - baseline) / (1 - baseline), 0), 1) AS c FROM near_v, base WHERE place <= 20 AND c >= 0.25),
+each_ AS (SELECT seed, positive, item_id, sum(share * weight * least(greatest(similarity, 0), 1) / CASE WHEN item_id IN (SELECT item_id FROM embedding) AND seed IN (SELECT item_id FROM embedding) THEN 1.0 ELSE 0.3 END) AS c FROM met_by JOIN signed USING (seed) GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY item_id, positive ORDER BY c DESC) - 1 AS k FROM each_),
+merged_both AS (SELECT item_id, round(coalesce(sum(CASE WHEN positive THEN round(c, 12) * pow(0.8, k) END), 0) - 0.8 * coalesce(sum(CASE WHEN NOT positive THEN c END), 0), 9) AS score FROM numbered GROUP BY item_id HAVING score > 0)
+SELECT item_id, round(score, 6) AS score FROM merged_both"""
+
+
+@query(_CHANNELS)
+def feed_merge_channels(g):
+    """Both channels of the newest favourites, views and dismissals, as many of each as a feed takes."""
+    plus = feed.recency_weights(g.favourite, AS_OF).orderBy(F.desc("at"), "item_id").limit(feed.RECENT).select(F.col("item_id").alias("seed"), "weight")
+    plus = plus.unionByName(feed.view_seeds(g.view, g.favourite.unionByName(g.dismissal), AS_OF)).withColumn("positive", F.lit(True))
+    seeds = plus.unionByName(feed.negative_seeds(g.dismissal, AS_OF).withColumn("positive", F.lit(False)))
+    return feed.merge(neighbourhoods(g, seeds), g.embedding).withColumn("score", F.round("score", 6))
+
+
+def _claim(ranked: str) -> str:
+    """SQL of the first-claim rule over rows (n, item_id) numbered from 1."""
+    return f"""ranked0 AS ({ranked}), lists AS (SELECT item_id, list(DISTINCT group_id) AS gs FROM grp_item WHERE item_id IN (SELECT item_id FROM ranked0) GROUP BY item_id),
+    rows_ AS MATERIALIZED (SELECT n, item_id, coalesce(gs, []) AS gs FROM ranked0 LEFT JOIN lists USING (item_id)),
+    fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS item_id, CAST([] AS BIGINT[]) AS claimed, false AS kept
+        UNION ALL SELECT r.n, r.item_id, CASE WHEN list_has_any(claimed, gs) THEN claimed ELSE list_concat(claimed, gs) END, NOT list_has_any(claimed, gs) FROM fold f JOIN rows_ r ON r.n = f.n + 1)
+    SELECT item_id FROM fold WHERE kept"""
+
+
+@query(_claim('SELECT row_number() OVER (ORDER BY "at" DESC, item_id) AS n, item_id FROM (SELECT * FROM dismissal ORDER BY "at" DESC, item_id LIMIT 120)'))
+def feed_collapse(g):
+    """Dismissals, as many as a feed reads, of which each group has one."""
+    return feed.collapsed(g.dismissal, g.grp_item, set(), feed.NEGATIVES * feed.OVERFETCH).select("item_id")
+
+
+@query(_claim("SELECT row_number() OVER (ORDER BY 1.0 / (1 + item_id % 97) DESC, item_id) AS n, item_id FROM dismissal"))
+def feed_claim_groups(g):
+    """The first-claim rule over scored items."""
+    ranked = g.dismissal.select("item_id", (1.0 / (1 + F.col("item_id") % 97)).alias("score"))
+    return feed.one_of_each_group(ranked, g.grp_item).select("item_id")
+
+
 @query(None)
 def feed_full(g):
     """Seeds, neighbourhoods of both channels, merge, exclusions, boosts and dedupe, to a feed of at most FEED_SIZE items."""
@@ -497,14 +552,7 @@ def feed_full(g):
     views = feed.view_seeds(viewed, explicit, AS_OF).withColumn("positive", F.lit(True))
     dismissed = feed.collapsed(g.dismissal, g.grp_item, set(), feed.NEGATIVES * feed.OVERFETCH)
     seeds = plus.unionByName(views).unionByName(feed.negative_seeds(dismissed, AS_OF).withColumn("positive", F.lit(False)))
-    near = recommend.recommend(seeds.select(F.col("seed").alias("item_id")), g.item, g.item_tag, g.grp_item, limit=feed.PER_SEED, weight=g.weight, norm=g.norm)
-    by_tag = near.select(F.col("item_id").alias("seed"), F.col("recommended_id").alias("item_id"), F.col("score").alias("similarity"), F.lit("tag").alias("channel"))
-    own = seeds.join(g.embedding, F.col("seed") == F.col("item_id")).select("seed", F.col("v").alias("q"))
-    by_vector = similar.nearest_to_each(g.embedding, own, g.grp_item, limit=feed.PER_SEED)
-    base = similar.baseline(g.embedding).select("baseline")
-    by_vector = by_vector.crossJoin(F.broadcast(base)).withColumn("similarity", similar.calibrated(F.col("score"), F.col("baseline"))).where("similarity >= 0.25")  # base is one row
-    both = by_tag.unionByName(by_vector.select("seed", "item_id", "similarity", F.lit("embedding").alias("channel"))).join(seeds, "seed")
-    rows = feed.merge(both, g.embedding).join(feed.excluded(g.favourite, g.dismissal, seeds, g.grp_item), "item_id", "left_anti")
+    rows = feed.merge(neighbourhoods(g, seeds), g.embedding).join(feed.excluded(g.favourite, g.dismissal, seeds, g.grp_item), "item_id", "left_anti")
     rows = feed.fade_viewed(feed.freshen(rows, g.item, AS_OF), g.view, AS_OF)
     return feed.visual_first(feed.one_of_each_group(rows, g.grp_item), g.item).orderBy(F.desc("score"), "item_id").limit(feed.FEED_SIZE)
 
@@ -546,11 +594,37 @@ def fts_union_dedupe(g):
     return every.where(fulltext.matches(fulltext.words(F.col("shown")), "customer or der")).select("result_type", "id").distinct()
 
 
-@query(None)
+def _ranked(terms: tuple[str, str], both: bool) -> str:
+    """SQL of a ranked search for two beginnings of words, neither of which begins the other."""
+    a, b = terms
+    marked = f"(^|[^\\p{{L}}\\p{{N}}])((?i:{a}|{b}))"
+    value = "CASE WHEN t <> t0 THEN CAST(0.1 AS DOUBLE) / (pos - pos0) END" if both else "CAST(0.1 AS DOUBLE)"
+    cut = lambda i: f"array_to_string(pieces[greatest({i} - 12, 0) + 1:greatest({i} - 12, 0) + 24], ' ')"
+    return f"""b AS (SELECT 'note' AS result_type, n.id, n.item_id, imported_at, n.content_hash, content AS shown FROM note n JOIN item ON item.id = n.item_id
+        UNION ALL SELECT 'group', g.id, p.item_id, imported_at, title_hash, title FROM grp g JOIN grp_item p ON g.id = group_id AND position = 0 JOIN item ON item.id = p.item_id WHERE title IS NOT NULL),
+    x AS (SELECT * FROM b UNION ALL SELECT result_type, id, item_id, imported_at, content_hash, translated_content FROM b JOIN translation USING (content_hash)),
+    w AS MATERIALIZED (SELECT result_type, id, item_id, imported_at, shown, row_number() OVER () AS k, {_WORDS.format('shown')} AS ws FROM x),
+    h AS (SELECT k, pos, CASE WHEN starts_with(word, '{a}') THEN 1 ELSE 2 END AS t FROM (SELECT k, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w) WHERE starts_with(word, '{a}') OR starts_with(word, '{b}')),
+    c AS (SELECT k, t, pos, lag(t) OVER (PARTITION BY k ORDER BY pos) AS t0, lag(pos) OVER (PARTITION BY k ORDER BY pos) AS pos0 FROM h),
+    q AS (SELECT k, round(coalesce(sum({value} ORDER BY pos), 0), 6) AS rank FROM c GROUP BY k HAVING {'count(DISTINCT t) = 2' if both else 'true'}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY result_type, id ORDER BY rank DESC, item_id, shown) AS place FROM w JOIN q USING (k)),
+    one AS (SELECT * FROM o WHERE place = 1),
+    top AS (SELECT *, (SELECT count(*) FROM one) AS total, regexp_split_to_array(replace(replace(replace(shown, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\s+') AS pieces FROM one ORDER BY rank DESC, imported_at DESC, result_type, id LIMIT 48),
+    m AS (SELECT *, list_filter(range(0, len(pieces)), lambda i: regexp_matches(pieces[i + 1], '{marked}')) AS hits FROM top),
+    f AS (SELECT *, coalesce(hits[1], 0) AS i1, list_filter(hits, lambda i: i > coalesce(hits[1], 0) + 12)[1] AS i2 FROM m)
+    SELECT result_type, id, item_id, rank, total, regexp_replace({cut('i1')} || CASE WHEN i2 IS NULL THEN '' ELSE ' ... ' || {cut('i2')} END, '{marked}', '\\1<mark>\\2</mark>', 'g') AS headline FROM f"""
+
+
+@query(_ranked(("the", "custom"), both=False))
 def fts_ranked(g):
     return fulltext.search_notes(g.note, g.translation, g.grp, g.grp_item, g.item, "the or custom")
 
 
+@query(_ranked(("the", "with"), both=True))
+def fts_ranked_and(g):
+    return fulltext.search_notes(g.note, g.translation, g.grp, g.grp_item, g.item, "the with")
+
+
 @query(f"SELECT id, hash FROM item WHERE id IN (SELECT item_id FROM note WHERE list_contains({_WORDS.format('content')}, 'src3') OR list_contains({_WORDS.format('name')}, 'src3')) ORDER BY imported_at DESC, id DESC LIMIT 48")
 def search_note_filter(g):
     found = search.search(g.item, g.tag, g.item_tag, parse_terms(""), note_ids=fulltext.items_with_note(g.note, "src3"))

@@ -248,7 +248,9 @@ def test_fulltext(spark):
     assert hit("red old ring", '"old ring"') and not hit("old red ring", '"old ring"') and hit("old rings", '"old ring"') and not hit("old rings", '"old ring"', prefix=False)
     assert hit("a cat", "dog or cat") and not hit("a cat and dog", "cat -dog") and not hit(None, "cat") and not hit("cat", "--")
     rank = one(spark, lambda c: fulltext.rank(fulltext.words(c), "red ring"), "red ring", "red x x ring", "ring red ring", "red")
-    assert rank == [pytest.approx(0.05), pytest.approx(0.025), pytest.approx(0.1), 0.0]
+    assert rank == [pytest.approx(0.1), pytest.approx(0.1 / 3), pytest.approx(0.2), 0.0]  # words in between that match nothing weigh less
+    either = one(spark, lambda c: fulltext.rank(fulltext.words(c), "red or ring or red ring or big blue -x"), "red ring", "x red red", "big y blue ring", "none", None)
+    assert either == [pytest.approx(0.2), pytest.approx(0.2), pytest.approx(0.1 + 0.05), 0.0, None]
     assert one(spark, lambda c: fulltext.headline(c, "back"), "a <b> Background & co")[0] == "a &lt;b&gt; <mark>Back</mark>ground &amp; co"
 
 
