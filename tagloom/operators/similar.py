@@ -70,8 +70,10 @@ def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame
         # Only the groups that a seed of the block is in: most vectors have none of them.
         met = grp_item.join(own.select(F.explode("groups").alias("group_id")).distinct(), "group_id", "left_semi").groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
         held = vectors.join(met, "item_id", "left")
-    rows = asked.select("seed", "q", "groups").where("q IS NOT NULL").collect()  # one block
-    width = len(rows[0]["q"]) if rows else 0
+    rows = asked.select("seed", "q", "groups").where("q IS NOT NULL AND size(q) > 0").collect()  # one block
+    if not rows:  # no seed has a vector
+        return vectors.sparkSession.createDataFrame([], "seed long, item_id long, score double, rank int")
+    width = len(rows[0]["q"])
     ids = np.array([r["seed"] for r in rows], np.int64)
     matrix = np.array([r["q"] for r in rows if len(r["q"]) == width], np.float64).reshape(-1, width)
     if len(matrix) < len(rows):

@@ -52,6 +52,27 @@ def test_recommendations_of_all_items(spark, duck, sf):
     assert sorted(got) == sorted(exp) and len({r[0] for r in got}) > 5 * len({r[0] for r in QUERIES["rec_batch"](spark, sf).collect()})
 
 
+@pytest.fixture(scope="module")
+def far(sf, tmp_path_factory):
+    """The smallest tables with vectors of other items than the feed's seeds."""
+    at = tmp_path_factory.mktemp("far")
+    for f in os.listdir(sf):
+        if f != "embeddings.parquet":
+            os.symlink(f"{sf}/{f}", at / f)
+    duckdb.connect().sql(f"COPY (SELECT * REPLACE (vec_id + 1000000 AS vec_id) FROM '{sf}/embeddings.parquet') TO '{at}/embeddings.parquet'")
+    return str(at)
+
+
+def test_channels_of_seeds_without_vectors(spark, far):
+    """Seeds of which none has a vector keep what the tag channel finds."""
+    con = duckdb.connect()
+    for f in os.listdir(far):
+        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{far}/{f}'")
+    exp = con.sql(f"SELECT item_id, score FROM ({ORACLES['feed_merge_channels']})").fetchall()
+    got = [tuple(r) for r in QUERIES["feed_merge_channels"](spark, far).select("item_id", "score").collect()]
+    assert exp and sorted(got) == sorted(exp)
+
+
 def test_entry(spark):
     import __spark_entry__
 
