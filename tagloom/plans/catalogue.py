@@ -365,8 +365,7 @@ def rec_batch(g):
 @query(None)
 def rec_all(g):
     """Recommendations of every item; a brute-force test stands for SQL, which is too slow over all."""
-    seeds = g.item.select(F.col("id").alias("item_id"))
-    return recommend.recommend(seeds, g.item, g.item_tag, g.grp_item, weight=g.weight, norm=g.norm).withColumn("score", F.round("score", 6))
+    return recommend.recommend_all(g.item, g.item_tag, g.grp_item, weight=g.weight, norm=g.norm).withColumn("score", F.round("score", 6))
 
 
 @query(f"{WEIGHT} SELECT count(*) AS tags, count(*) FILTER (WHERE post_count > 1 AND post_count <= greatest(500, floor(0.30 * items))) AS kept FROM weight")

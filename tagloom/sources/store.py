@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import gc
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +49,43 @@ def stored(spark: SparkSession, name: str, inputs: list[str], build: Callable[[]
     if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+#: Scratch folders that are still there, with the session that asked for each.
+_scratch: dict[str, SparkSession] = {}
+
+
+def scratch(spark: SparkSession, name: str) -> str | None:
+    """A new folder beside the stored relations, deleted by discard() or when Python ends; none without a shared folder."""
+    base = base_dir(spark)
+    if base is None:
+        return None
+    path = f"{base}/scratch/{name}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+def discard(path: str) -> None:
+    spark = _scratch.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in list(_scratch):
+        with contextlib.suppress(Exception):  # the JVM may be gone before Python ends
+            discard(path)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a table, by name."""
+    names = (x.rsplit(" ", 2)[0] for x in _listing(spark, path))
+    return [x for x in names if not x.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now; else they stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

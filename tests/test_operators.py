@@ -351,3 +351,16 @@ def test_stored_relations_follow_their_inputs(spark, tmp_path):
     assert (now(), now(), len(built)) == (5, 5, 1)
     spark.range(7).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
     assert (now(), now(), len(built)) == (7, 7, 2)
+
+
+def test_recommendations_in_rounds(spark):
+    """Rounds over light and heavy seeds give every item what one plan over all seeds gives."""
+    item = spark.range(200)
+    pairs = [(i, i % 23) for i in range(200)] + [(i, 100 + i % 31) for i in range(200)] + [(i, 200 + t) for i in range(10) for t in range(20)]
+    edges = spark.createDataFrame(pairs, "item_id long, tag_id long")
+    members = spark.createDataFrame([(i // 5, i) for i in range(200)] + [(1000 + i % 23, i) for i in range(100)], "group_id long, item_id long")
+    got = recommend.recommend_all(item, edges, members, limit=7, round_pairs=500)
+    assert {f.split("/")[-2].split("-")[0] for f in got.inputFiles()} == {"light", "heavy"} and any("/light-1/" in f for f in got.inputFiles())
+    exp = recommend.recommend(item.withColumnRenamed("id", "item_id"), item, edges, members, limit=7)
+    order = lambda df: sorted(tuple(r) for r in df.select("item_id", "recommended_id", "score", "rank").collect())
+    assert order(got) == order(exp) and len({r[0] for r in order(got)}) > 100
