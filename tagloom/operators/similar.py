@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, hamming
+from ..sources.store import scratch, sweep
 from ..sources.upsert import replace_keys
 from .jobs import VectorConfig
 
@@ -49,15 +48,35 @@ def nearest_to_each(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame |
     All seeds against all vectors, a block of at most about MOST_SEEDS at a time. Vectors of another length than the seeds',
     and those without a direction, have no score.
     """
+    spark = vectors.sparkSession
     blocks = -(-seeds.count() // MOST_SEEDS)
-    if blocks > 1:
-        block = F.pmod(F.xxhash64("seed"), F.lit(blocks))
-        return reduce(DataFrame.unionAll, [_nearest_to_block(vectors, seeds.where(block == b), grp_item, limit, floor) for b in range(blocks)])
-    return _nearest_to_block(vectors, seeds, grp_item, limit, floor)
-
-
-def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None, limit: int, floor: float | None) -> DataFrame:
-    """Each task multiplies its vectors with the block and hands on the best of each seed only; ranks are taken over those."""
+    if blocks <= 1:
+        return _nearest_to_block(vectors, seeds, grp_item, limit, floor)[0]
+    path = scratch(spark, "nearest")
+    if path is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if grp_item is not None:
+        # Only groups of seeds and vectors matter; they are read once, not once a block.
+        ids = seeds.select(F.col("seed").alias("item_id")).unionByName(vectors.select("item_id")).distinct()
+        grp_item.join(ids, "item_id", "left_semi").select("group_id", "item_id").write.parquet(f"{path}/groups")
+        grp_item = spark.read.parquet(f"{path}/groups")
+        sweep(spark)
+    block, parts = F.pmod(F.xxhash64("seed"), F.lit(blocks)), []
+    for b in range(blocks):
+        # One block after the other: the driver holds the vectors, the broadcast and the plan of one.
+        found, sent = _nearest_to_block(vectors, seeds.where(block == b), grp_item, limit, floor)
+        found.write.parquet(f"{path}/block-{b}")
+        parts.append(f"{path}/block-{b}")
+        if sent is not None:
+            sent.destroy()
+        del found, sent
+        sweep(spark)
+    return spark.read.schema("seed long, item_id long, score double, rank int").parquet(*parts)
+
+
+def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame | None, limit: int, floor: float | None):
+    """The neighbours, and the broadcast they are found with if any. Each task multiplies its vectors with the block and hands on
+    the best of each seed only; ranks are taken over those."""
     import numpy as np
     import pyarrow as pa
 
@@ -72,7 +91,7 @@ def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame
         held = vectors.join(met, "item_id", "left")
     rows = asked.select("seed", "q", "groups").where("q IS NOT NULL AND size(q) > 0").collect()  # one block
     if not rows:  # no seed has a vector
-        return vectors.sparkSession.createDataFrame([], "seed long, item_id long, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], "seed long, item_id long, score double, rank int"), None
     width = len(rows[0]["q"])
     ids = np.array([r["seed"] for r in rows], np.int64)
     matrix = np.array([r["q"] for r in rows if len(r["q"]) == width], np.float64).reshape(-1, width)
@@ -125,7 +144,7 @@ def _nearest_to_block(vectors: DataFrame, seeds: DataFrame, grp_item: DataFrame
     given = held.select("item_id", "v", "groups").where((F.size("v") == width) & F.forall("v", lambda x: x.isNotNull()))
     rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "item_id"))
     found = given.mapInArrow(scored, "seed long, item_id long, score double").withColumn("rank", rank).where(F.col("rank") <= limit)
-    return found if floor is None else found.where(F.col("score") >= floor)
+    return (found if floor is None else found.where(F.col("score") >= floor)), sent
 
 
 def baseline(vectors: DataFrame) -> DataFrame:

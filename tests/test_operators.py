@@ -364,3 +364,17 @@ def test_recommendations_in_rounds(spark):
     exp = recommend.recommend(item.withColumnRenamed("id", "item_id"), item, edges, members, limit=7)
     order = lambda df: sorted(tuple(r) for r in df.select("item_id", "recommended_id", "score", "rank").collect())
     assert order(got) == order(exp) and len({r[0] for r in order(got)}) > 100
+
+
+def test_neighbours_block_by_block(spark, monkeypatch):
+    """Blocks are written one after the other, and give what one block gives."""
+    rows = [(i, [float(i % 7) + 1, float(i % 5), float(i % 3)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "item_id long, v array<double>")
+    seeds = vectors.selectExpr("item_id AS seed", "v AS q")
+    members = spark.createDataFrame([(i // 4, i) for i in range(60)], "group_id long, item_id long")
+    rows = lambda: similar.nearest_to_each(vectors, seeds, members, limit=5)
+    exp = sorted(tuple(r) for r in rows().collect())
+    monkeypatch.setattr(similar, "MOST_SEEDS", 25)
+    got = rows()
+    assert any("/block-2/" in f for f in got.inputFiles())
+    assert sorted(tuple(r) for r in got.collect()) == exp and len(exp) == 300
