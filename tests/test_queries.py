@@ -73,6 +73,12 @@ def test_channels_of_seeds_without_vectors(spark, far):
     assert exp and sorted(got) == sorted(exp)
 
 
+def test_full_feed_of_seeds_without_vectors(spark, far):
+    """The feed goes on by tags where none of its seeds has a vector."""
+    rows = QUERIES["feed_full"](spark, far).collect()
+    assert rows and len({r["item_id"] for r in rows}) == len(rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
