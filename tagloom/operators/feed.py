@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import delete, discard, scratch, sweep
+
 # Fixed values of the feed.
 RECENT, SAMPLED, BANDS, PER_SEED = 30, 60, 5, 20
 EMBEDDING_WEIGHT, TAG_WEIGHT = 0.7, 0.3
@@ -72,6 +74,85 @@ def select_seeds(newest_first: list[tuple[int, float]], bucket: int) -> list[tup
     return recent + [(i, max(w, SAMPLED_FLOOR)) for i, w in picked]
 
 
+#: Favourites in a block: the driver holds the sum of each block, and the rows of the blocks that a draw falls into.
+BLOCK = 1_024
+
+
+def seeds_of(favourite: DataFrame, bucket: int) -> list[tuple[int, float]]:
+    """What select_seeds gives for favourite (item_id, at, weight), newest first.
+
+    The favourites stay in a table, in order; a draw finds its block by the blocks' sums, then its row in the block.
+    """
+    spark = favourite.sparkSession
+    path = scratch(spark, "favourites")
+    newest = favourite.orderBy(F.desc("at"), "item_id").select("item_id", "weight")
+    if path is None:
+        return select_seeds([tuple(r) for r in newest.collect()], bucket)
+    newest.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    # A row's number is its partition, which is a range of the order, and its place in there, in 33 bits.
+    rows = spark.read.parquet(path).withColumn("part", F.shiftright("row", 33).cast("int"))
+    sizes = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # one row a partition
+    starts, n = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(n)
+        n += sizes.get(part, 0)
+    if n <= max(BLOCK, RECENT + SAMPLED):
+        out = select_seeds([(r["item_id"], r["weight"]) for r in rows.orderBy("row").collect()], bucket)
+        discard(path)
+        return out
+    older = n - RECENT
+    size = older // BANDS
+    start = F.element_at(F.lit(starts).cast("array<long>"), F.col("part") + 1)
+    rows = rows.withColumn("place", start + F.col("row").bitwiseAND((1 << 33) - 1) - RECENT)
+    recent = [(r["item_id"], r["weight"]) for r in rows.where("place < 0").orderBy("place").collect()]  # RECENT rows
+    band = F.least(F.floor(F.col("place") / size), F.lit(BANDS - 1))
+    rows = rows.where("place >= 0").withColumn("band", band).withColumn("block", F.floor((F.col("place") - F.col("band") * size) / BLOCK))
+    # Added in the order of the rows, so that sums don't depend on tasks.
+    in_order = F.array_sort(F.collect_list(F.struct("place", "weight")))
+    sums: list[dict[int, float]] = [{} for _ in range(BANDS)]
+    for r in rows.groupBy("band", "block").agg(F.aggregate(in_order, F.lit(0.0), lambda t, x: t + x["weight"]).alias("sum")).orderBy("band", "block").collect():  # one row a block
+        sums[r["band"]][r["block"]] = r["sum"]
+    met: dict[tuple[int, int], list[tuple[int, float]]] = {}
+
+    def fetch(keys: set[tuple[int, int]]) -> None:
+        asked = rows.where((F.col("band") * (1 << 32) + F.col("block")).isin([b * (1 << 32) + k for b, k in keys]))
+        for r in asked.orderBy("place").collect():  # at most a block a draw
+            met.setdefault((r["band"], r["block"]), []).append((r["item_id"], r["weight"]))
+
+    def fall(left: dict[int, float], u: float) -> tuple[int, float]:
+        """The block that a draw falls into, and what is left of it there."""
+        at = u * sum(left.values())
+        for k, w in left.items():
+            if at - w <= 0:
+                return k, at
+            at -= w
+        return k, at + w
+
+    draw = mulberry32(bucket)
+    quota = [SAMPLED // BANDS + (SAMPLED % BANDS if b == 0 else 0) for b in range(BANDS)]  # no band is short of rows here
+    draws = [[draw() for _ in range(q)] for q in quota]
+    fetch({(b, fall(sums[b], u)[0]) for b in range(BANDS) for u in draws[b]})
+    picked = []
+    for b in range(BANDS):
+        left = sums[b]
+        for u in draws[b]:
+            k, at = fall(left, u)
+            if (b, k) not in met:  # what was drawn before has moved the draw into another block
+                fetch({(b, k)})
+            own = met[b, k]
+            for i, (_, w) in enumerate(own):
+                at -= w
+                if at <= 0 or i == len(own) - 1:
+                    picked.append(own.pop(i))
+                    break
+            if own:
+                left[k] = sum(w for _, w in own)
+            else:
+                del left[k]
+    discard(path)
+    return recent + [(i, max(w, SAMPLED_FLOOR)) for i, w in picked]
+
+
 def recency_weights(signals: DataFrame, as_of: str, half_life: float = FAVOURITE_HALF_LIFE) -> DataFrame:
     """signals (item_id, at) with weight, halved every half_life days."""
     return signals.withColumn("weight", decay(age_days(F.col("at"), as_of), half_life))
@@ -178,6 +259,58 @@ def collapsed(signals: DataFrame, grp_item: DataFrame, claimed: set[int], most:
     return newest.join(F.broadcast(ids) if len(kept) <= MOST_BROADCAST else ids, "item_id", "left_semi")
 
 
+#: Signals that are folded on the driver, and rounds after which it folds the rest however many there are.
+FOLDED, ROUNDS = 20_000, 30
+
+
+def collapsed_all(signals: DataFrame, grp_item: DataFrame) -> DataFrame:
+    """(item_id, at, groups) of what collapsed keeps of all signals (item_id, at), of which an item has one; groups: those they claim.
+
+    In each round a signal that is the first in all of its groups is kept, and the others in those groups are dropped, which is what
+    the fold in order comes to. A round decides one signal at least and mostly nearly all.
+    """
+    spark = signals.sparkSession
+    groups = grp_item.join(signals.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.collect_set("group_id").alias("groups"))
+    marked = signals.select("item_id", "at").join(groups, "item_id", "left")
+    path = scratch(spark, "collapsed")
+    if path is None:
+        return collapsed(signals, grp_item, set()).select("item_id").join(marked, "item_id")
+    marked.write.parquet(f"{path}/open-0")
+    sweep(spark)
+    left = spark.read.parquet(f"{path}/open-0")
+    left.where("groups IS NULL").write.parquet(f"{path}/kept")
+    left, r = left.where("groups IS NOT NULL"), 0
+    while n := left.count():
+        if n <= FOLDED or r == ROUNDS:
+            rows = left.orderBy(F.desc("at"), "item_id").select("item_id", "groups").toLocalIterator()
+            ids = spark.createDataFrame([(i,) for i in first_claim((x["item_id"], x["groups"]) for x in rows)], "item_id long")
+            left.join(ids, "item_id", "left_semi").write.mode("append").parquet(f"{path}/kept")
+            break
+        pairs = left.select("item_id", F.struct("at", -F.col("item_id")).alias("key"), F.explode("groups").alias("group_id"))
+        first = pairs.groupBy("group_id").agg(F.max("key").alias("first"))
+        won = pairs.join(first, "group_id").groupBy("item_id").agg(F.bool_and(F.col("key") == F.col("first")).alias("won")).where("won")
+        left.join(won, "item_id", "left_semi").write.parquet(f"{path}/won-{r}")
+        sweep(spark)
+        won = spark.read.parquet(f"{path}/won-{r}")
+        won.write.mode("append").parquet(f"{path}/kept")
+        decided = pairs.join(won.select(F.explode("groups").alias("group_id")), "group_id", "left_semi").select("item_id")  # those kept among them
+        left.join(decided, "item_id", "left_anti").write.parquet(f"{path}/open-{r + 1}")
+        sweep(spark)
+        delete(spark, f"{path}/open-{r}")
+        delete(spark, f"{path}/won-{r}")
+        r += 1
+        left = spark.read.parquet(f"{path}/open-{r}")
+    delete(spark, f"{path}/open-{r}")
+    return spark.read.parquet(f"{path}/kept")
+
+
+def claimed_among(kept: DataFrame, signals: DataFrame, grp_item: DataFrame, most: int) -> set[int]:
+    """Of the groups that kept (groups) has claimed, those of the most newest signals (item_id, at)."""
+    newest = signals.orderBy(F.desc("at"), "item_id").limit(most).select("item_id")
+    met = grp_item.join(newest, "item_id", "left_semi").select("group_id")
+    return {r["group_id"] for r in kept.select(F.explode("groups").alias("group_id")).join(met, "group_id", "left_semi").distinct().collect()}
+
+
 def one_of_each_group(ranked: DataFrame, grp_item: DataFrame) -> DataFrame:
     """ranked (item_id, score) after the first-claim rule over the items' groups.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import titles, urls
 from ..functions.tags import META_TAGS, META_TEXT, parse_terms, tag_category, tag_name, valid_creator
 from ..operators import facets, feed, fulltext, groups, ingest, recommend, search, similar, stats
+from ..sources.store import held
 from ..streaming import counters
 from .gallery import AS_OF, Gallery, sql
 
@@ -538,21 +539,23 @@ def feed_claim_groups(g):
 @query(None)
 def feed_full(g):
     """Seeds, neighbourhoods of both channels, merge, exclusions, boosts and dedupe, to a feed of at most FEED_SIZE items."""
-    claimed: set[int] = set()
-    favourites = feed.collapsed(g.favourite, g.grp_item, claimed)
-    newest = feed.recency_weights(favourites, AS_OF).orderBy(F.desc("at"), "item_id").select("item_id", "weight").collect()  # one (id, weight) a kept favourite
-    picked = feed.select_seeds([(r["item_id"], r["weight"]) for r in newest], 5688000)
+    favourites = feed.collapsed_all(g.favourite, g.grp_item)
+    picked = feed.seeds_of(feed.recency_weights(favourites, AS_OF), 5688000)
     if not picked:
         return g.item.limit(0).select(F.col("id").alias("item_id"), F.lit(0.0).alias("score"))
     plus = g.spark.createDataFrame(picked, "seed long, weight double").withColumn("positive", F.lit(True))
     explicit = g.favourite.unionByName(g.dismissal)
-    unmarked = g.view.join(explicit.select("item_id").distinct(), "item_id", "left_anti")
-    viewed = feed.collapsed(unmarked, g.grp_item, claimed, feed.VIEWS * feed.OVERFETCH)
+    unmarked = held(g.view.join(explicit.select("item_id").distinct(), "item_id", "left_anti"), "unmarked")
+    most = feed.VIEWS * feed.OVERFETCH
+    viewed = feed.collapsed(unmarked, g.grp_item, feed.claimed_among(favourites, unmarked, g.grp_item, most), most)
     views = feed.view_seeds(viewed, explicit, AS_OF).withColumn("positive", F.lit(True))
     dismissed = feed.collapsed(g.dismissal, g.grp_item, set(), feed.NEGATIVES * feed.OVERFETCH)
-    seeds = plus.unionByName(views).unionByName(feed.negative_seeds(dismissed, AS_OF).withColumn("positive", F.lit(False)))
-    rows = feed.merge(neighbourhoods(g, seeds), g.embedding).join(feed.excluded(g.favourite, g.dismissal, seeds, g.grp_item), "item_id", "left_anti")
-    rows = feed.fade_viewed(feed.freshen(rows, g.item, AS_OF), g.view, AS_OF)
+    seeds = held(plus.unionByName(views).unionByName(feed.negative_seeds(dismissed, AS_OF).withColumn("positive", F.lit(False))).coalesce(1), "seeds")
+    rows = held(feed.merge(neighbourhoods(g, seeds), g.embedding), "merged")
+    # Only groups of candidates can exclude one; those are at most the seeds times their neighbours.
+    met = g.grp_item.join(F.broadcast(rows.select("item_id")), "item_id", "left_semi").select("group_id")
+    rows = rows.join(feed.excluded(g.favourite, g.dismissal, seeds, g.grp_item.join(met, "group_id", "left_semi")), "item_id", "left_anti")
+    rows = held(feed.fade_viewed(feed.freshen(rows, g.item, AS_OF), g.view, AS_OF), "ranked")
     return feed.visual_first(feed.one_of_each_group(rows, g.grp_item), g.item).orderBy(F.desc("score"), "item_id").limit(feed.FEED_SIZE)
 
 

@@ -65,11 +65,25 @@ def scratch(spark: SparkSession, name: str) -> str | None:
     return path
 
 
+def held(df: DataFrame, name: str) -> DataFrame:
+    """df worked out once: written to a scratch folder and read from there; as it is without a shared folder."""
+    path = scratch(df.sparkSession, name)
+    if path is None:
+        return df
+    df.write.parquet(path)
+    sweep(df.sparkSession)
+    return df.sparkSession.read.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def discard(path: str) -> None:
     spark = _scratch.pop(path, None)
     if spark is not None:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        delete(spark, path)
 
 
 @atexit.register

@@ -187,6 +187,40 @@ def test_collapsed_takes_any_number_of_signals(spark):
     assert feed.collapsed(signals, pairs, set()).count() == 100_049
 
 
+def test_collapsed_in_rounds(spark, monkeypatch):
+    """Rounds keep what the fold keeps, also where a chain of groups needs many and where the fold takes what they leave."""
+    rng = np.random.default_rng(11)
+    chain = [(i, 100 - i) for i in range(20)]
+    some = [(100 + i, int(rng.integers(0, 40))) for i in range(300)]
+    signals = spark.createDataFrame([*chain, *some, (900, None), (901, None), (902, 7)], "item_id long, at int")
+    member = {(g, i) for i in range(20) for g in (1000 + i, 1001 + i)} | {(int(rng.integers(0, 120)), 100 + i) for i in range(300) for _ in range(i % 3)} | {(2000, 900), (2000, 901), (2000, 77_777)}
+    pairs = spark.createDataFrame(sorted(member), "group_id long, item_id long")
+    claimed: set = set()
+    exp = sorted(r["item_id"] for r in feed.collapsed(signals, pairs, claimed).collect())
+    assert 0 < len(exp) < signals.count() and set(range(0, 20, 2)) <= set(exp) and 900 in exp and 901 not in exp
+    for folded, rounds in ((0, 30), (0, 2), (40, 30), (10**6, 30)):
+        monkeypatch.setattr(feed, "FOLDED", folded)
+        monkeypatch.setattr(feed, "ROUNDS", rounds)
+        kept = feed.collapsed_all(signals, pairs)
+        assert sorted(r["item_id"] for r in kept.collect()) == exp
+        assert {g for r in kept.collect() for g in r["groups"] or ()} == claimed
+    newest = spark.createDataFrame([(0, 9), (900, 8), (3, 7)], "item_id long, at int")
+    assert feed.claimed_among(kept, newest, pairs, 2) == {1000, 1001, 2000}
+    none = feed.collapsed_all(signals.limit(0), pairs)
+    assert none.count() == 0 and feed.seeds_of(feed.recency_weights(none.withColumn("at", F.lit(None).cast("timestamp")), "2024-01-01"), 5) == []
+
+
+@pytest.mark.parametrize("n", [3, 91, 1000])
+def test_seeds_by_blocks(spark, monkeypatch, n):
+    """Draws from blocks are those from the whole list."""
+    monkeypatch.setattr(feed, "BLOCK", 7)
+    rng = np.random.default_rng(n)
+    weight = rng.random(n).round(6).tolist()
+    rows = spark.createDataFrame([(i, -(i // 3), w) for i, w in enumerate(weight)], "item_id long, at int, weight double").repartition(5)
+    for bucket in (5, 5688000):
+        assert feed.seeds_of(rows, bucket) == feed.select_seeds(list(enumerate(weight)), bucket)
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(40, 6)).round(3)

@@ -8,6 +8,7 @@ import os
 import duckdb
 import pytest
 
+from tagloom.operators import feed
 from tagloom.registry import ORACLES, QUERIES
 
 
@@ -79,6 +80,16 @@ def test_full_feed_of_seeds_without_vectors(spark, far):
     assert rows and len({r["item_id"] for r in rows}) == len(rows)
 
 
+def test_full_feed_leaves_favourites_in_tables(spark, sf, monkeypatch):
+    """The driver gets a bounded part of the kept favourites, and the feed is that of all of them."""
+    exp = QUERIES["feed_full"](spark, sf).collect()
+    got, select = [], feed.select_seeds
+    monkeypatch.setattr(feed, "select_seeds", lambda rows, bucket: (got.append(len(rows)), select(rows, bucket))[1])
+    for name in ("BLOCK", "FOLDED"):
+        monkeypatch.setattr(feed, name, 4, raising=False)
+    assert QUERIES["feed_full"](spark, sf).collect() == exp and max(got, default=0) <= feed.RECENT + feed.SAMPLED
+
+
 def test_entry(spark):
     import __spark_entry__
 
