@@ -393,9 +393,9 @@ _SAME = "NOT EXISTS (SELECT 1 FROM grp_item x JOIN grp_item y USING (group_id) W
 
 @query(f"r AS (SELECT b.item_id AS seed, a.item_id, {COSINE} AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY {COSINE} DESC, a.item_id) AS rank FROM embedding a, embedding b WHERE a.item_id <> b.item_id AND {_SAME}) SELECT * FROM r WHERE rank <= 20")
 def knn_batch(g):
-    """The neighbours of every vector, block by block."""
+    """The neighbours of every vector."""
     seeds = g.embedding.select(F.col("item_id").alias("seed"), F.col("v").alias("q"))
-    return similar.nearest_to_each(g.embedding, seeds, g.grp_item)
+    return similar.nearest_to_each(g.embedding, seeds, g.membership)
 
 
 @query(f"s AS (SELECT item_id, v FROM embedding ORDER BY md5(CAST(item_id AS VARCHAR)) LIMIT 48), p AS (SELECT list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM s a JOIN s b ON md5(CAST(a.item_id AS VARCHAR)) < md5(CAST(b.item_id AS VARCHAR))) SELECT round(least(greatest(quantile_cont(c, 0.9), 0.0), 0.95), 6) AS baseline, (SELECT count(*) FROM s) AS sample FROM p")

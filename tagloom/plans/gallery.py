@@ -73,6 +73,11 @@ class Gallery:
     def grp_item(self) -> DataFrame:
         return self.stored("grp_item", ("orders",), self._grp_item)
 
+    @cached_property
+    def membership(self) -> DataFrame:
+        """(group_id, item_id) of grp_item as it is derived: without positions that is a scan, which few items needn't store."""
+        return self._grp_item().select("group_id", "item_id")
+
     def _grp_item(self) -> DataFrame:
         orders = self.table("orders")
         place = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

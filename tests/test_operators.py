@@ -412,3 +412,52 @@ def test_neighbours_block_by_block(spark, monkeypatch):
     got = rows()
     assert any("/block-2/" in f for f in got.inputFiles())
     assert sorted(tuple(r) for r in got.collect()) == exp and len(exp) == 300
+
+
+def test_neighbours_read_vectors_once(spark, monkeypatch):
+    """However many blocks the seeds make, the vectors are worked out once."""
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "item_id long, v array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(similar, "MOST_SEEDS", 15)
+    got = similar.nearest_to_each(rows.mapInArrow(counted, rows.schema), rows.selectExpr("item_id AS seed", "v AS q"), limit=3)
+    assert got.count() == 180 and seen.value == 60
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 50])
+def test_neighbours_of_many_seeds(spark, monkeypatch, pairs):
+    """Copies, large groups and odd vectors, in tiles of a few rows, against all pairs one by one."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(12, 8)).astype(np.float32).astype(float)[rng.integers(0, 12, 300)]
+    v[::3] += rng.normal(scale=1e-3, size=(100, 8))
+    v[7], v[8], v[9], v[10] = 0, np.nan, v[9] * 1e-155, v[10] * 1e155
+    groups = {(0, i) for i in range(120)} | {(1 + i // 4, i) for i in range(100, 300)} | {(900 + i % 3, i) for i in range(0, 300, 11)} | {(5000, 10**6)}
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + [(400, [1.0, 2.0]), (401, None), (402, [None] * 8)], "item_id long, v array<double>")
+    seeds = vectors.where("item_id < 300 OR item_id = 401").selectExpr("item_id AS seed", "v AS q")
+    members = spark.createDataFrame(sorted(groups), "group_id long, item_id long")
+    for name, n in (("MOST_SEEDS", 170), ("TILE", 32), ("CHUNK", 40), ("TASK_SEEDS", 50), ("PAIRS", pairs)):
+        monkeypatch.setattr(similar, name, n)
+    got = sorted(tuple(r) for r in similar.nearest_to_each(vectors, seeds, members, limit=6, floor=-0.2).select("seed", "rank", "item_id", "score").collect())
+    of = {i: {g for g, j in groups if j == i} for i in range(300)}
+    with np.errstate(all="ignore"):
+        score = np.round(np.einsum("id,jd->ij", v, v) / (np.sqrt((v * v).sum(axis=1))[:, None] * np.sqrt((v * v).sum(axis=1))), 6)
+    exp = []
+    for s in range(300):
+        best = sorted((-score[s, i], i) for i in range(300) if i != s and not of[s] & of[i] and not np.isnan(score[s, i]))[:6]
+        exp += [(s, k + 1, i, -x) for k, (x, i) in enumerate(best) if -x >= -0.2]
+    assert got == sorted(exp) and len(got) > 1000
+
+
+def test_many_seeds_of_several_lengths(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [1.0] * (2 + i % 2)) for i in range(9)], "item_id long, v array<double>")
+    monkeypatch.setattr(similar, "MOST_SEEDS", 4)
+    with pytest.raises(ValueError, match="one length"):
+        similar.nearest_to_each(rows, rows.selectExpr("item_id AS seed", "v AS q"))
+    none = rows.selectExpr("item_id AS seed", "CAST(NULL AS array<double>) AS q")
+    assert similar.nearest_to_each(rows, none).count() == 0
